@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,17 +14,30 @@ def durable(df: DataFrame) -> DataFrame:
     Without that setting, as in local tests, a temporary folder stands in for it; on a cluster that would be a local
     folder of the driver, so there the setting is asked for.
     """
-    spark: SparkSession = df.sparkSession
+    shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written as Parquet in the shared folder and read again: for wide rows, of which later steps need some columns."""
+    path = f"{shared(df.sparkSession)}/palimp-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder for checkpoints, set if it isn't yet."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="palimp-")
     sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def joined(left: DataFrame, right: DataFrame, on, how: str = "inner", most_rows: int = 200_000, rows: int | None = None) -> DataFrame:

@@ -69,8 +69,11 @@ def rates(balanced: DataFrame) -> DataFrame:
     return balanced.withColumn("rate", F.when(F.coalesce(ratio, F.lit(0.0)) > 0, F.exp(multiplier)).otherwise(F.lit(0.0)))
 
 
-def round_cells(sizes: list[int], counts: list[int], extra: list[int], rate: float, most: float, hot: int) -> list[tuple[int, int, int]]:
-    """(size, copies of each document, documents with one more) of a source's cells of up to `hot` documents."""
+def round_cells(sizes: list[int], counts: list[int], extra: list[int], rate: float, hot: int) -> list[tuple[int, int, int]]:
+    """(size, copies of each document, documents with one more) of a source's cells of up to `hot` documents.
+
+    Every document is taken as often as its rate, rounded down or up.
+    """
     error, out, whole = 0.0, [], int(rate)
     cells = sorted(zip(sizes, counts, extra, strict=True), reverse=True)
     for s, n, m in cells:
@@ -79,7 +82,7 @@ def round_cells(sizes: list[int], counts: list[int], extra: list[int], rate: flo
     for s, n, _ in cells:
         if n <= hot:
             wanted = error + rate * s * n
-            k = min(max(round(wanted / s), 0), int(most) * n)
+            k = min(max(round(wanted / s), whole * n), (whole + (rate > whole)) * n)
             error = wanted - k * s
             out.append((s, *divmod(k, n)))
     return out
@@ -106,7 +109,7 @@ def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s, of, rate in zip(b["source"], b["cells"], b["rate"], strict=True):
-                rows = round_cells([c["size"] for c in of], [c["n"] for c in of], [c["m"] for c in of], rate, most, hot)
+                rows = round_cells([c["size"] for c in of], [c["n"] for c in of], [c["m"] for c in of], rate, hot)
                 yield pd.DataFrame([(s, *r) for r in rows], columns=["source", "size", "copies", "extra"])
 
     kind = base.schema["source"].dataType.simpleString()
