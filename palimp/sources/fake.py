@@ -1,0 +1,10 @@
+"""A service of 25 made-up rows, for tests and trials of the paged source."""
+
+from __future__ import annotations
+
+
+def fetch(params: dict, timeout: float) -> dict:
+    rows = [{"numeroRegistro": str(i), "idProduto": i, "cnpj": "x" if i % 2 else "y"} for i in range(25)]
+    rows = [r for r in rows if params.get("cnpj") in (None, r["cnpj"])]
+    size, n = params["count"], params["page"]
+    return {"content": rows[(n - 1) * size : n * size], "totalPages": -(-len(rows) // size), "totalElements": len(rows), "last": n * size >= len(rows), "number": n}
