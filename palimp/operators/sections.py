@@ -66,3 +66,10 @@ def html_report(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
     made = rows.select(*keys, F.struct("documento", "pos", cells.alias("c"), body.alias("b")).alias("__r")).groupBy(*keys).agg(F.array_sort(F.collect_list("__r")).alias("__r"))
     head = F.concat(F.lit("<meta charset=utf-8><h1>"), tx.escaped(F.lit(title)), F.lit("</h1><table>"))
     return made.select(*keys, F.concat(head, F.concat_ws("", F.transform("__r", lambda x: x["c"])), F.lit("</table>"), F.concat_ws("", F.transform("__r", lambda x: x["b"]))).alias("report"))
+
+
+def two_columns(rows: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """keys, pos, antes, depois: the paragraphs of a marked-up difference, once without what is new and once without what is gone."""
+    parts = rows.select(*keys, F.posexplode(F.split(html, '<span class="pbr"></span>')).alias("__n", "__x"))
+    without = lambda tag: F.trim(F.regexp_replace(F.regexp_replace("__x", f"(?s)<{tag}>.*?</{tag}>", ""), " +", " "))
+    return parts.select(*keys, (F.col("__n") + 1).cast("long").alias("pos"), without("ins").alias("antes"), without("del").alias("depois"))

@@ -196,3 +196,38 @@ def test_feed_replay_and_duplicates(spark, tmp_path):
     seen = []
     feed.run_available(stream(), f"{tmp_path}/t", f"{tmp_path}/c", lambda new: seen.append(new.count()))
     assert seen == [1] and spark.read.parquet(f"{tmp_path}/t").count() == 3
+
+
+def test_sql_functions(spark):
+    from palimp.functions.register import register
+
+    register(spark)
+    assert spark.sql("select word_diff('a b', 'a c').words as w").first()["w"] == 2
+    spark.createDataFrame([(leaflet(1, 2, 3),)], "l array<string>").createOrReplaceTempView("leaflets")
+    (doc,) = spark.sql("select split_documents(l) as d from leaflets").first()["d"]
+    assert doc["tipo"] == "vp" and doc["secoes"][3]["secao"] == "1"
+
+
+def test_owners_and_blocks(spark):
+    tree = [(1, "r", "Document", None), (1, "p", "Custom", "r"), (1, "s", "Span", "p"), (1, "tr", "TR", "r"), (1, "td", "TD", "tr")]
+    got = {r["element_id"]: (r["block"], r["row"]) for r in layout.owners(spark.createDataFrame(tree, "doc int, element_id string, tag string, parent_id string"), spark.createDataFrame([("Custom", "P")], "tag string, standard_tag string"), ["doc"]).collect()}
+    assert got == {"r": ("r", None), "p": ("p", None), "s": ("p", None), "tr": ("tr", "tr"), "td": ("td", "tr")}
+    signs = [(1, 1, 0, 0, "a", 0.0, 5.0, 1.0), (1, 1, 1, 0, "b", 5.0, 10.0, 1.0), (1, 1, 2, 1, "c", 0.0, 5.0, 20.0), (1, 1, 3, 2, "x", 0.0, 5.0, 40.0), (1, 1, 4, 3, "y", 30.0, 35.0, 40.0), (1, 1, 5, 9, "z", 0.0, 5.0, 60.0)]
+    owned = [(1, 1, 0, "p", None), (1, 1, 1, "p", None), (1, 1, 2, "td", "tr"), (1, 1, 3, "td2", "tr")]
+    got = layout.blocks(spark.createDataFrame(signs, "doc int, page int, seq int, mcid int, text string, x0 double, x1 double, top double"), spark.createDataFrame(owned, "doc int, page int, mcid int, block string, row string")).orderBy("pos").collect()
+    assert [r["text"] for r in got] == ["ab c", "x y"]
+
+
+def test_two_columns_and_validity(spark):
+    from palimp.operators import views
+
+    html = 'a <del>b</del> <ins>c</ins> d<span class="pbr"></span>e <ins>f</ins>'
+    got = [(r["antes"], r["depois"]) for r in sections.two_columns(spark.createDataFrame([(1, html)], "k int, html string"), ["k"]).orderBy("pos").collect()]
+    assert got == [("a <del>b</del> d", "a <ins>c</ins> d"), ("e", "e <ins>f</ins>")]
+    rows = [([1, 2, 3], True), ([2, 3], False), ([1, 3, 2], False), ([], True)]
+    assert [r["x"] for r in spark.createDataFrame(rows, "n array<int>, y boolean").select(views.ascending(F.col("n")).alias("x")).collect()] == [y for _, y in rows]
+
+
+def test_routes_and_expired_ids(spark):
+    assert paged.route("https://a", {}) == ("https://a", {}) and paged.route("https://a", {"PALIMP_PROXY": "https://p/", "PALIMP_PROXY_KEY": "k"}) == ("https://p", {"x-proxy-key": "k"})
+    assert [r["x"] for r in spark.createDataFrame([(400,), (403,), (404,)], "c int").select(paged.expired(F.col("c")).alias("x")).collect()] == [True, True, False]
