@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-CHUNK, OVERLAP, MARGIN = 8192, 256, 8
+from palimp.llm.durable import few_at_once
+
+CHUNK, OVERLAP, MARGIN = 16_384, 256, 8
 
 
 class ByteBPE:
@@ -124,7 +126,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "tex
     kind = docs.select(F.col(f"`{key}`").alias(key)).schema
     schema = T.StructType([*kind.fields, *columns.fields])
     names = columns.fieldNames()
-    source = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
+    source = few_at_once(docs).select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
     long = F.length("__text") > chunk
     made: dict[str, object] = {}  # filled once for each task
 

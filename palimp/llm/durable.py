@@ -40,6 +40,18 @@ def shared(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of whole texts that go to Python at once, at most.
+TEXTS_AT_ONCE = 1000
+
+
+def few_at_once(df: DataFrame) -> DataFrame:
+    """`df`; from now on its session hands texts to Python in small batches, so that long ones don't add up."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_AT_ONCE:
+        conf.set(key, str(TEXTS_AT_ONCE))
+    return df
+
+
 def joined(left: DataFrame, right: DataFrame, on, how: str = "inner", most_rows: int = 200_000, rows: int | None = None) -> DataFrame:
     """Joins with a broadcast right side if it has at most `most_rows` rows, else as Spark plans it (AQE splits hot keys)."""
     from pyspark.sql import functions as F

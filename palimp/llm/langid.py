@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimp.llm import textvec as tv
+from palimp.llm.durable import few_at_once
 
 BITS, ORDERS, DIM = 14, (2, 3, 4), 16
 #: The bounds of the training sample, which comes to the driver: rows, characters of a row, languages.
@@ -198,4 +199,4 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(judge, schema)
+    return few_at_once(docs).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(judge, schema)

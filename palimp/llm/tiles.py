@@ -28,8 +28,16 @@ def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
     unless `zero`; of rows that share an id and a block, the first stays.
     """
 
+    def packed(place: int, dim: int, ids: list[np.ndarray], x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, first = np.unique(np.concatenate(ids), return_index=True)
+        rows = np.concatenate(x)[first]
+        for a in range(0, len(own), block):
+            part = slice(a, a + block)
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([dim], pa.int32()), pa.array([own[part].astype(np.int64).tobytes()], pa.binary()), pa.array([rows[part].tobytes()], pa.binary())], names=["place", "dim", "ids", "vectors"])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() % groups
+        held: dict[int, tuple[list, list]] = {}
         for b in batches:
             col = b.column(1)
             size = np.asarray(col.value_lengths().fill_null(0))
@@ -42,11 +50,13 @@ def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
                 rows = np.flatnonzero((size == dim) & known)
                 x = values[(ends[rows] - dim)[:, None] + np.arange(dim)]
                 good = np.isfinite(x).all(1) & (zero | x.any(1))
-                own, first = np.unique(ids[rows[good]], return_index=True)
-                x = x[good][first]
-                for a in range(0, len(own), block):
-                    part = slice(a, a + block)
-                    yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([dim], pa.int32()), pa.array([own[part].astype(np.int64).tobytes()], pa.binary()), pa.array([x[part].tobytes()], pa.binary())], names=["place", "dim", "ids", "vectors"])
+                mine = held.setdefault(dim, ([], []))
+                mine[0].append(ids[rows[good]])
+                mine[1].append(x[good])
+                if sum(map(len, mine[0])) >= block:
+                    yield from packed(place, dim, *held.pop(dim))
+        for dim, mine in held.items():
+            yield from packed(place, dim, *mine)
 
     return df.mapInArrow(blocks, "place int, dim int, ids binary, vectors binary")
 

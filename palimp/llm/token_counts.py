@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimp.llm import textvec as tv
+from palimp.llm.durable import few_at_once
 
 #: Distinct pre-tokens a worker remembers; beyond, it forgets them all and counts anew.
 REMEMBERED = 400_000
@@ -89,7 +90,7 @@ def token_counts(docs: DataFrame, model: str, *, text: str = "text", keep: tuple
     are not read, so their names cannot clash; an empty table gives an empty result. Equal 64-bit hashes of different
     segments of one worker would miscount; at a million distinct segments the odds are about 3 in 100 million.
     """
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema
+    kept = few_at_once(docs).select(*(F.col(f"`{c}`") for c in keep)).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model)
