@@ -49,9 +49,9 @@ class ByteBPE:
             yield a, text[a : a + self.chunk + self.overlap]
 
     def boundaries(self, window: str, last: bool) -> list[int]:
-        """Ends of the pre-tokens that text behind the window cannot move."""
+        """Ends of the pre-tokens that text behind the window cannot move, of those that lie in an overlap: only there chunks can agree."""
         sure = len(window) if last else len(window) - MARGIN
-        return [e for m in self.pattern.finditer(window) if (e := m.end()) <= sure]
+        return [e for m in self.pattern.finditer(window) if (e := m.end()) <= sure and (e <= self.overlap or e >= self.chunk)]
 
     def stitch(self, text: str, found: Iterable[tuple[int, list[int]]]) -> list[int]:
         """Positions, each a boundary of the whole text, that cut it into pieces; found: (start, ends from there) of the chunks in order."""

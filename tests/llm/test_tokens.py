@@ -36,9 +36,10 @@ def texts():
     return [*ODD, *(sentence(rng, n) for n in (1, 5, 400, 4000)), "word\n" * 5000, " " * 20_000 + "end", "a" * 20_000 + " b" * 3]
 
 
-def test_bpe_equals_library(spark, library):
+@pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (300, 24)])
+def test_bpe_equals_library(spark, library, chunk, overlap):
     data = documents(spark, [*texts(), *texts()[:6]])
-    got = {r["doc_id"]: r for r in bpe.encode_decode(data, RANKS, P.PATTERN, emit=bpe.Digest, columns=bpe.AS_DIGEST).collect()}
+    got = {r["doc_id"]: r for r in bpe.encode_decode(data, RANKS, P.PATTERN, emit=bpe.Digest, columns=bpe.AS_DIGEST, chunk=chunk, overlap=overlap).collect()}
     for r in data.collect():
         ids = library.encode_ordinary(r["text"] or "")
         x = got[r["doc_id"]]
