@@ -3,11 +3,15 @@
 A text's subwords are the runs of 2 to 4 bytes of its words with their bounding blanks (letters of A-Z lower-cased, all
 other ASCII signs taken for blanks). Prediction uses whole texts. Because the embeddings are averaged before the linear
 layer, both fold into one table of scores for each subword bucket.
+
+A softmax only says which learned language is nearest, so that of foreign text and gibberish is sure of itself as well. What
+a text has of its language is its familiarity: the mean log probability of its subwords among those of the language's
+training texts, against even odds. Its threshold lies between texts held from training and texts made to be out of class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +26,10 @@ from palimp.llm.durable import few_at_once
 BITS, ORDERS, DIM = 14, (2, 3, 4), 16
 #: The bounds of the training sample, which comes to the driver: rows, characters of a row, languages.
 TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 1200, 20_000, 256
-#: A text is rejected if its calibrated score is below what all but this part of the calibration texts reach, and below MOST_DOUBT.
-REJECT, MOST_DOUBT = 0.002, 0.4
+#: A text is rejected if its calibrated score or its familiarity is below what all but this part of the calibration texts reach.
+REJECT = 0.002
+#: Familiarity counts so many subwords of the mean in class besides a text's own: a few odd ones don't reject a short text.
+PRIOR = 20
 U = np.uint64
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -64,6 +70,9 @@ class Model:
     bias: np.ndarray
     temperature: float
     least: float  # texts with lower scores are rejected
+    familiar: np.ndarray  # (buckets, languages): log probability in a language's training texts, against even odds
+    usual: float = 0.0  # mean familiarity of texts in class
+    least_familiar: float = -np.inf  # texts of lower familiarity are rejected
 
     def logits(self, n: np.ndarray) -> np.ndarray:
         total = n.sum()
@@ -78,16 +87,33 @@ class Model:
         k = int(e.argmax())
         return self.languages[k], float(e[k] / e.sum())
 
+    def familiarity(self, n: np.ndarray, lang: str) -> float:
+        used = np.flatnonzero(n)
+        own = n[used] @ self.familiar[used, self.languages.index(lang)]
+        return float((own + PRIOR * self.usual) / (n.sum() + PRIOR))
+
+    def judge(self, n: np.ndarray) -> tuple[str, float, bool]:
+        """Language, score and whether the text is rejected."""
+        lang, score = self.predict(n)
+        return lang, score, lang == UNKNOWN or score < self.least or self.familiarity(n, lang) < self.least_familiar
+
+
+def strangers(raw: bytes, rng: np.random.Generator) -> list[bytes]:
+    """Texts of about the same length that are in no language: the text's own signs shuffled, random letters and hex digits."""
+    signs = np.array(list(raw.decode("utf-8", "ignore")))
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz      ", np.uint8)
+    return ["".join(rng.permutation(signs)).encode(), rng.choice(letters, len(raw)).tobytes(), rng.bytes(len(raw) // 2 + 1).hex(" ", 4).encode()]
+
 
 def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30, rate: float = 4.0, bits: int = BITS) -> Model:
-    """Fits embeddings, weights, temperature and rejection threshold; every fifth text is kept for the last two.
+    """Fits embeddings, weights, temperature and rejection thresholds; every fifth text is kept for the last two.
 
     Longer texts also train by two windows of them, so that short texts are known as well.
     """
     languages = sorted(set(langs))
     size, label = 1 << bits, {x: i for i, x in enumerate(languages)}
     if not languages:
-        return Model([], np.zeros((size, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((size, 0)), np.zeros(0), 1.0, 0.0, np.zeros((size, 0)))
     rng = np.random.default_rng(seed)
 
     def vector(raw: bytes) -> np.ndarray:
@@ -96,12 +122,14 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
 
     # Three cuts of a text at most; rows that stay unused are never touched.
     x, y, held, held_y = np.zeros((3 * len(texts), size), np.float32), [], [], []
+    seen = np.zeros((size, len(languages)))
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         raw = text.encode()
         if i % 5 == 4:
-            held.append(vector(raw).astype(np.int32))
+            held.append(raw)
             held_y.append(label[lang])
             continue
+        seen[:, label[lang]] += vector(raw)
         cuts = [raw]
         if len(raw) > 200:
             for n in (60, 200):
@@ -134,17 +162,62 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
                 w -= step * (h.T @ g)
                 bias -= step * g.sum(0)
                 emb[used] -= step * 20 * grad
-    model = Model(languages, (emb @ w).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
-    if held:
-        z = np.stack([model.logits(v) for v in held])
+    x = None
+    familiar = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * size) * size)
+    model = Model(languages, (emb @ w).astype(np.float64), bias.astype(np.float64), 1.0, 0.0, familiar)
+    calibrate(model, held, held_y, vector, rng)
+    return model
+
+
+def calibrate(model: Model, held: list[bytes], of: list[int], vector: Callable[[bytes], np.ndarray], rng: np.random.Generator) -> None:
+    """Sets temperature and thresholds by texts that weren't trained on, whole and cut, and by texts out of class.
+
+    Out of class are strangers() of each, and the text itself to a model that knows all languages but its own.
+    """
+    own, y, outside = [], [], []
+    for raw, k in zip(held, of, strict=True):
+        cuts = [raw]
+        for n in (60, 200):
+            if len(raw) > n:
+                a = int(rng.integers(0, len(raw) - n))
+                cuts.append(raw[a : a + n])
+        for cut in cuts:
+            v = vector(cut)
+            if not v.sum():
+                continue
+            own.append((v.sum(), model.logits(v), v @ model.familiar[:, k]))
+            y.append(k)
+            z = own[-1][1].copy()
+            z[k] = -np.inf
+            if len(z) > 1:
+                outside.append((v.sum(), v @ model.familiar[:, int(z.argmax())]))
+            for other in strangers(cut, rng):
+                v = vector(other)
+                if v.sum():
+                    outside.append((v.sum(), v @ model.familiar[:, int(model.logits(v).argmax())]))
+    if not own:
+        return
+    z, y = np.stack([r[1] for r in own]), np.array(y)
+    if z.shape[1] > 1:
+        # Separable texts would have the lowest temperature of all; one more error than was seen keeps it finite.
+        doubt = 1 / (len(z) + 2)
+        goal = np.full(z.shape, doubt / (z.shape[1] - 1))
+        goal[np.arange(len(z)), y] = 1 - doubt
         best = np.inf
-        for t in np.geomspace(0.05, 20, 60):
+        for t in np.geomspace(0.01, 100, 120):
             e = z / t - (z / t).max(1, keepdims=True)
-            lost = (np.log(np.exp(e).sum(1)) - e[np.arange(len(z)), held_y]).mean()
+            lost = (np.log(np.exp(e).sum(1)) - (e * goal).sum(1)).mean()
             if lost < best - 1e-9:
                 best, model.temperature = lost, float(t)
-        model.least = min(MOST_DOUBT, float(np.quantile([model.predict(v)[1] for v in held], REJECT)))
-    return model
+    e = np.exp((z - z.max(1, keepdims=True)) / model.temperature)
+    model.least = float(np.quantile(1 / e.sum(1), REJECT))
+    total, known = np.array([r[0] for r in own]), np.array([r[2] for r in own])
+    model.usual = float((known / total).mean())
+    shrunk = lambda n, x: (x + PRIOR * model.usual) / (n + PRIOR)
+    low = float(np.quantile(shrunk(total, known), REJECT))
+    high = float(np.quantile([shrunk(*r) for r in outside], 1 - REJECT)) if outside else low
+    # Where the two overlap, clean texts stay.
+    model.least_familiar = (low + high) / 2 if high < low else low
 
 
 def part(key: str) -> F.Column:
@@ -172,15 +245,15 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     """keep + lang_pred, score, rejected for each row, from the whole text.
 
     A null text or one without a letter is `und`, score 0, rejected. Otherwise lang_pred is a learned language (ties: the
-    first by name) and the row is rejected if its calibrated score is below the model's threshold. Repeated rows are
-    judged each; columns beside `text` and `keep` are not read; an empty table gives an empty result.
+    first by name) and the row is rejected if its calibrated score or its familiarity is below the model's threshold.
+    Repeated rows are judged each; columns beside `text` and `keep` are not read; an empty table gives an empty result.
     """
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
     size = len(model.scores)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = [], []
+            langs, scores, rejected = [], [], []
             for _, buf, offs in tv.slices(b.column(len(keep))):
                 plain = np.r_[0, np.cumsum(_LETTER[buf])]
                 # Each text stands between blanks of its own.
@@ -190,12 +263,12 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
                 found = buckets(wide)
                 for i, (a, e) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
                     if plain[e] == plain[a] and not any(c.isalpha() for c in buf[a:e].tobytes().decode("utf-8", "replace")):
-                        lang, score = UNKNOWN, 0.0
+                        lang, score, out = UNKNOWN, 0.0, True
                     else:
-                        lang, score = model.predict(counts(found, a + 2 * i, e + 2 * i + 2, size))
+                        lang, score, out = model.judge(counts(found, a + 2 * i, e + 2 * i + 2, size))
                     langs.append(lang)
                     scores.append(score)
-            rejected = [x == UNKNOWN or s < model.least for x, s in zip(langs, scores, strict=True)]
+                    rejected.append(out)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

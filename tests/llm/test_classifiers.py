@@ -142,6 +142,21 @@ def test_language_of_odd_rows(spark, docs):
     assert {r["lang_pred"] for r in langid.identify(documents(spark, ODD), none).collect()} == {"und"}
 
 
+FOREIGN = ["La mattina il sole sorgeva lentamente sopra le colline mentre i contadini andavano nei campi a lavorare", "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film o dawnych czasach", "Eilen illalla menimme elokuviin katsomaan uutta elokuvaa vanhoista ajoista", "Вчера вечером мы пошли в кино посмотреть новый фильм о старых временах", "昨天晚上我们去电影院看了一部关于过去的新电影"]
+JUNK = ['for (int i = 0; i < n; ++i) { printf("%d\\n", buf[i]); free(ptr); }', "deadbeef 00ff12ab c0ffee12 9a8b7c6d 1f2e3d4c", "qzxv wkjq pfxz bvnq zzkw xjqv mtrk", "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000))]
+
+
+def test_foreign_texts_and_gibberish_are_rejected(spark, docs):
+    model = langid.fit(docs)
+    assert 0.011 < model.temperature < 99
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(documents(spark, [*FOREIGN, *JUNK]).drop("score"), model).collect()}
+    assert all(got[i] for i in range(len(FOREIGN) + len(JUNK)))
+    held = docs.where(langid.part("doc_id") == 2)
+    cut = held.select("doc_id", F.substring("text", 1, 120).alias("text"))
+    for clean in (held, cut):
+        assert np.mean([r["rejected"] for r in langid.identify(clean, model).collect()]) < 0.02
+
+
 URLS = [None, "", "no sign", "http://a.net", "http://a.net/", "HTTP://X.EXAMPLE.NET/en/1?q#f", "http://example.net/de/", "http://badexample.net/en/", "https://example.com/de/x", "https://www.example.com/DE/x", "https://u:p@h.org/fr/", "https://h.org:80/fr/", "https://org/fr/1", "x://y?z/de/", "http://spam-farm.io/", "http://spamfarm.io/", "http://x.io/free_download", "http://x.io/?casino", "http://x.io/casino#a", "http://CASINO.example.net/en/x", "a://b://c/d", "http://example.com/de", "http://ÄÖ.Net/Ä", "http://net/"]
 
 
