@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are in no group and stay, and so do rows without an id. If rows share an id, they go where
     one of them goes; of those that stay and have words, the smallest text stays.
     """
-    groups = durable(ngram_join.join(docs, n=5, similarity=(80, 100)))
+    groups = durable(ngram_join.join(docs, n=5, similarity=(80, 100), counted=False))
     gone = durable(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     again = durable(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     left = docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)

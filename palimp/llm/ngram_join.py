@@ -14,6 +14,9 @@ Large groups. Equal sets are one. A first round compares each set of a tile with
 the tile's pairs by stars); the sets found linked become components. A second round compares the remaining pairs of
 different components. Tiles of more than BLOCK sets are split into pairs of blocks. Nothing is capped or sampled.
 
+Links. What links lies in one component, so the components' sets are then compared exactly, all with all, by pairs of
+blocks: each gives its sets' numbers of linked rows, so the pairs themselves are never rows.
+
 Sets are identified by 64-bit hashes of their elements, and elements by 64-bit hashes of their words.
 """
 
@@ -29,9 +32,11 @@ from pyspark.sql import functions as F
 
 from palimp.llm import textvec as tv
 from palimp.llm.components import components
-from palimp.llm.durable import durable, few_at_once
+from palimp.llm.durable import durable, few_at_once, joined
 
 BLOCK, GROWTH = 256, 1.5
+#: Bytes of the sets of a block of a component, about; and elements that are counted at once.
+BLOCK_BYTES, COLUMNS = 4 << 20, 4096
 #: Rows of tiles for each task, about.
 ROWS = 5000
 #: Ids of documents whose sets are compared exactly are broadcast up to so many.
@@ -160,24 +165,56 @@ def compare(h: np.ndarray, size: np.ndarray, bits: list[bytes], block: np.ndarra
     return stars(near)
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right): how many elements the sets at these places share."""
+    x, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(x, kind="stable")
+    x, of = x[order], of[order]
+    col = np.cumsum(np.r_[False, x[1:] != x[:-1]])
+    shared = (np.bincount(col) > 1)[col]
+    of, col = of[shared], col[shared]
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not len(col):
+        return out
+    col = np.cumsum(np.r_[False, col[1:] != col[:-1]])
+    for lo in range(0, int(col[-1]) + 1, COLUMNS):
+        p, q = np.searchsorted(col, (lo, lo + COLUMNS))
+        some = np.zeros((len(sets), min(COLUMNS, int(col[-1]) + 1 - lo)), np.float32)
+        some[of[p:q], col[p:q] - lo] = 1
+        out += (some[left] @ some[right].T).astype(np.int64)
+    return out
+
+
+def linked(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """(h, links): rows of other sets that link with h, for each pair of blocks; rows (component, i, j, h, block, rows, x) stand in order of component, i, j."""
+    for table, starts, ends in _groups(batches, ("component", "i", "j")):
+        i, j, h, block, rows = (table.column(c).to_numpy() for c in ("i", "j", "h", "block", "rows"))
+        x = [np.frombuffer(v, U) for v in table.column("x").to_pylist()]
+        found, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(starts, ends, strict=True):
+            own, size, alone = np.arange(s, e), np.array([len(v) for v in x[s:e]]), i[s] == j[s]
+            left, right = np.flatnonzero(block[own] == i[s]), np.flatnonzero(block[own] == j[s])
+            if not len(left) or not len(right) or e - s < 2:
+                continue
+            both = overlaps(x[s:e], left, right)
+            link = both * b >= (size[left][:, None] + size[right][None] - both) * a
+            if alone:
+                np.fill_diagonal(link, False)
+            found.append(h[own[left]])
+            n.append(link @ rows[own[right]])
+            if not alone:
+                found.append(h[own[right]])
+                n.append(link.T @ rows[own[left]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(n))], names=["h", "links"])
+
+
 def compared(batches: Iterator[pa.RecordBatch], a: int, b: int, second: bool) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of all tiles; rows (tile, i, j, h, n, bits, block, component) stand in order of tile, i, j, h."""
-    rest: pa.Table | None = None
-    for batch in _with_end(batches):
-        rows = pa.Table.from_batches([batch]) if batch is not None else None
-        table = pa.concat_tables([x for x in (rest, rows) if x is not None]) if rest is not None or rows is not None else None
-        if table is None or not len(table):
-            continue
-        tile, i, j, h, size, block, part = (table.column(c).to_numpy() for c in ("tile", "i", "j", "h", "n", "block", "component"))
+    for table, starts, ends in _groups(batches, ("tile", "i", "j")):
+        i, j, h, size, block, part = (table.column(c).to_numpy() for c in ("i", "j", "h", "n", "block", "component"))
         bits = table.column("bits").to_pylist()
-        new = np.r_[True, (tile[1:] != tile[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        starts = np.flatnonzero(new)
-        ends = np.r_[starts[1:], len(tile)]
-        # The last tile may go on in the next batch.
-        done = len(starts) if batch is None else len(starts) - 1
-        rest = table.slice(int(starts[done])) if done < len(starts) else None
         low, high = [], []
-        for s, e in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True):
+        for s, e in zip(starts, ends, strict=True):
             own = np.flatnonzero(np.r_[True, h[s + 1 : e] != h[s : e - 1]]) + s
             for x, y in compare(h[own], size[own], [bits[k] for k in own.tolist()], block[own], part[own], i[s] != j[s], a, b, second):
                 low.append(h[own[x]])
@@ -186,18 +223,36 @@ def compared(batches: Iterator[pa.RecordBatch], a: int, b: int, second: bool) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names=["a", "b"])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int], list[int]]]:
+    """Tables of whole groups of sorted rows, and where each group starts and ends."""
+    rest: pa.Table | None = None
+    for batch in _with_end(batches):
+        rows = pa.Table.from_batches([batch]) if batch is not None else None
+        table = pa.concat_tables([x for x in (rest, rows) if x is not None]) if rest is not None or rows is not None else None
+        if table is None or not len(table):
+            continue
+        keys = [table.column(c).to_numpy() for c in by]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+        ends = np.r_[starts[1:], len(table)]
+        # The last group may go on in the next batch.
+        done = len(starts) if batch is None else len(starts) - 1
+        rest = table.slice(int(starts[done])) if done < len(starts) else None
+        if done:
+            yield table, starts[:done].tolist(), ends[:done].tolist()
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
-def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
-    """key, n_shingles, component_id and links for each row of `docs`.
+def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3, similarity: tuple[int, int] = (90, 100), counted: bool = True) -> DataFrame:
+    """key, n_shingles, component_id and, if `counted`, links for each row of `docs`.
 
     A document's set holds its runs of n words (A-Z lower-cased, words are runs of other bytes than x20 and x09-x0D); with
     fewer words, the whole sequence. Two documents link if similarity[1] * overlap >= similarity[0] * union. component_id
-    is the smallest key reachable by links, links the number of compared and linked other sets that hold the class
-    together. Null, empty and wordless texts have no n-grams and link with nothing, so their component is their own key.
+    is the smallest key reachable by links, links the number of other rows that the row links with, equal texts among
+    them. Null, empty and wordless texts have no n-grams and link with nothing, so their component is their own key.
     Repeated rows link like copies. Only key and text are read; an empty table gives an empty result.
     """
     a, b = similarity
@@ -277,15 +332,32 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
         x = pairs.join(known.select(F.col("h").alias("a"), F.col("x").alias("p")), "a").join(known.select(F.col("h").alias("b"), F.col("x").alias("q")), "b")
         return durable(x.select("a", "b", "p", "q").mapInArrow(exact, "a long, b long"))
 
+    def degrees(several: DataFrame) -> DataFrame:
+        """(h, links): rows of other sets that link with h, by all pairs of blocks of each component."""
+        sets = several.join(known, "h").join(classes.select("h", "rows"), "h")
+        length = F.length("x").cast("long")
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(length) / BLOCK_BYTES)).cast("int")
+        sizes = durable(sets.groupBy("component").agg(blocks.alias("blocks"), F.count("*").alias("n"), F.sum(length).alias("bytes")))
+        dealt = sizes.agg(F.sum(F.col("n") * F.col("blocks")).alias("n"), F.sum(F.col("bytes") * F.col("blocks")).alias("bytes")).first()
+        split = joined(sets, sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
+        to = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))))
+        tiles = split.withColumn("to", to).select("component", "to.i", "to.j", "h", "block", "rows", "x")
+        many = max(8, -(-(dealt["n"] or 0) // ROWS), -(-(dealt["bytes"] or 0) // (2 * BLOCK_BYTES)))
+        tiles = tiles.repartition(many, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+        return tiles.mapInArrow(lambda rows: linked(rows, a, b), "h long, links long").groupBy("h").agg(F.sum("links").alias("links"))
+
     found = links(first)
     rest = candidates(components(found)).join(first, ["a", "b"], "left_anti")
     found = found.unionByName(links(rest))
     label = components(found)
-    degree = found.select(F.col("a").alias("h")).union(found.select(F.col("b").alias("h"))).groupBy("h").agg(F.count("*").alias("links"))
     parts = classes.join(label.withColumnRenamed("v", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     least = parts.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = parts.join(least, "component").join(degree, "h", "left").where("rows > 1 or links is not null").select("h", "component_id", "links")
-    named = durable(named)
+    several = label.withColumnRenamed("v", "h")
+    named = parts.join(least, "component").join(several.select("h", F.lit(True).alias("some")), "h", "left").where("rows > 1 or some").select("h", "component_id", "rows")
+    if counted:
+        named = named.join(degrees(several), "h", "left").withColumn("links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
+    named = durable(named.drop("rows"))
     named = F.broadcast(named) if named.count() <= 200_000 else named
     out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(named, "h", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    told = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] if counted else []
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *told)

@@ -64,6 +64,28 @@ def test_join_in_large_tiles(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_join(texts, 3, 90, 100)
 
 
+def brute_links(texts, n, a, b):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    return {i: sum(i != j and bool(x) and b * len(x & y) >= a * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+
+
+@pytest.mark.parametrize("block,size,columns", [(256, 4 << 20, 4096), (8, 4 << 20, 16), (256, 5000, 4096)])
+def test_links_are_counted_whole(spark, monkeypatch, block, size, columns):
+    for name, value in (("BLOCK", block), ("BLOCK_BYTES", size), ("COLUMNS", columns)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(5)
+    base = sentence(rng, 80).split()
+    texts = [" ".join(base[:k] + [f"new{k}"] + base[k:]) for k in range(2, 79)]
+    texts += [" ".join(base), " ".join(base), "three equal words", "three equal words", "three Equal words", "alone", None, "", *near_copies()[:40]]
+    texts = [t if t is None or t.isascii() else "x" for t in texts]
+    got = {r["doc_id"]: r["links"] for r in ngram_join.join(documents(spark, texts)).collect()}
+    assert got == brute_links(texts, 3, 90, 100) and max(got.values()) > 70
+    assert "links" not in ngram_join.join(documents(spark, texts), counted=False).columns
+
+
 def test_join_of_nothing_and_repeated_ids(spark):
     none = documents(spark, ["a b c"]).limit(0)
     assert ngram_join.join(none).collect() == []
