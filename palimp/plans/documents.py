@@ -114,15 +114,27 @@ def section_full_outer(t):
     return sections.beside(*_sides(t), ["conv_id"])
 
 
+def _steps(t):
+    """The old and the new sides of all steps (documento): each role's k-th text and its next, so that every row is in one.
+
+    A role's only text has nothing on the other side: it is old in the first exchange (turns 0 and 1), new after it.
+    """
+    of = W.partitionBy("conv_id", "role")
+    c = t.conversations.select("conv_id", F.col("role").alias("secao"), F.col("turn").alias("pos"), F.col("text").alias("texto"), F.row_number().over(of.orderBy("turn", "text")).alias("k"), F.count("*").over(of).alias("n"))
+    old = c.where("k < n or (n = 1 and pos < 2)")
+    new = c.where("k > 1 or (n = 1 and not coalesce(pos < 2, false))")
+    return tuple(d.select("conv_id", documento.alias("documento"), "secao", "pos", "texto") for d, documento in ((old, F.col("k")), (new, F.greatest(F.col("k") - 1, F.lit(1)))))
+
+
 def _differences(t):
-    rows = sections.differences(sections.beside(*_sides(t), ["conv_id"]))
-    return rows.withColumn("documento", F.lit(1)).withColumn("rotulo", F.lit("conversa")).withColumn("tipo", F.lit("vp"))
+    rows = sections.differences(sections.beside(*_steps(t), ["conv_id", "documento"]))
+    return rows.withColumn("rotulo", F.lit("conversa")).withColumn("tipo", F.lit("vp"))
 
 
 @query()
 def word_diff_summary(t):
     """Aligned differences of sections; sequence alignment isn't SQL, so tests compare with invariants."""
-    return _differences(t).select("conv_id", "secao", "pos", "words", F.round("ratio", 9).alias("ratio"), "changed", "html", "context")
+    return _differences(t).select("conv_id", "documento", "secao", "pos", "words", F.round("ratio", 9).alias("ratio"), "changed", "html", "context")
 
 
 @query()
