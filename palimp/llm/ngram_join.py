@@ -10,14 +10,19 @@ that link and share no other segment both have so many).
 Within a tile a hashed bitmap of each set bounds the overlap from above by bit counts: elements whose bits the other set
 lacks are not shared. Pairs whose bound reaches the overlap that a link needs are compared exactly, as sorted arrays.
 
-Large groups. Equal sets are one. A first round compares each set of a tile with one likely partner only (a cover of
-the tile's pairs by stars); the sets found linked become components. A second round compares the remaining pairs of
-different components. Tiles of more than BLOCK sets are split into pairs of blocks. Nothing is capped or sampled.
+Large groups. Equal sets are one. A first round takes of each tile a spanning forest of its likely pairs, fewer pairs
+than sets, and compares those exactly; the sets found linked become components. A second round does the rest: only tiles
+that still hold several components take part, their sets that are likely partners across components meet again with
+their sorted arrays, are compared exactly there, and again only a spanning forest of the links leaves the tile. So no
+step hands out more rows than it takes in, however large a group of copies is. Tiles of more than BLOCK sets are split:
+in the first round into the first block with each other one, in the second into pairs of blocks, without pairs inside
+the tile's largest component. Nothing is capped or sampled.
 
 Links. What links lies in one component, so the components' sets are then compared exactly, all with all, by pairs of
 blocks: each gives its sets' numbers of linked rows, so the pairs themselves are never rows.
 
-Sets are identified by 64-bit hashes of their elements, and elements by 64-bit hashes of their words.
+Elements are identified by 64-bit hashes of their words, sets by 64-bit hashes of their elements; different sets of equal
+hash are told apart by a second hash.
 """
 
 from __future__ import annotations
@@ -27,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimp.llm import textvec as tv
@@ -35,8 +39,12 @@ from palimp.llm.components import components
 from palimp.llm.durable import durable, few_at_once, joined
 
 BLOCK, GROWTH = 256, 1.5
+#: Salt of the second hash of a set.
+SECOND = 0x2545F491
 #: Bytes of the sets of a block of a component, about; and elements that are counted at once.
 BLOCK_BYTES, COLUMNS = 4 << 20, 4096
+#: Likely pairs for each set up to which a group of the second round hands them out one by one.
+FEW = 4
 #: Rows of tiles for each task, about.
 ROWS = 5000
 #: Ids of documents whose sets are compared exactly are broadcast up to so many.
@@ -106,13 +114,13 @@ def sets_of(col: pa.Array, n: int, powers: tv.Powers) -> Iterator[tuple[np.ndarr
         yield tv.distinct(x, of, len(offs) - 1)
 
 
-def names_of(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
+def names_of(x: np.ndarray, offs: np.ndarray, salt: int = 0x1234567F) -> np.ndarray:
     """A 64-bit name of each set; of an empty one, 0."""
     n = np.diff(offs)
     total = np.zeros(len(n), U)
     some = n > 0
     if some.any():
-        total[some] = np.add.reduceat(tv.mix(x ^ U(0x1234567F)), offs[:-1][some])
+        total[some] = np.add.reduceat(tv.mix(x ^ U(salt)), offs[:-1][some])
         total[some] = tv.mix(total[some] + n[some].astype(U) * tv.P)
     return total.view(np.int64)
 
@@ -128,16 +136,17 @@ def likely(size: np.ndarray, bits: np.ndarray, rows: np.ndarray, a: int, b: int)
     return bound * (a + b) >= a * (one + other)
 
 
-def stars(near: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that cover every row of a symmetric relation: the fullest row with its fresh partners, and so on."""
-    out, fresh = [], near.any(1)
-    while fresh.any():
-        degree = np.where(fresh, (near & fresh).sum(1), -1)
-        hub = int(degree.argmax())
-        partners = np.flatnonzero(near[hub] & fresh) if degree[hub] > 0 else np.flatnonzero(near[hub])[:1]
-        out += [(hub, int(p)) for p in partners]
-        fresh[hub] = False
-        fresh[partners] = False
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric relation without its diagonal, from its first rows on: fewer pairs than rows."""
+    out, left = [], near.any(1)
+    while left.any():
+        reached = [int(left.argmax())]
+        left[reached] = False
+        for at in reached:
+            new = np.flatnonzero(near[at] & left).tolist()
+            left[new] = False
+            out += [(at, k) for k in new]
+            reached += new
     return out
 
 
@@ -149,20 +158,10 @@ def two_near(size: np.ndarray, bits: list[bytes], a: int, b: int) -> bool:
     return min(n - one.bit_count() + both, m - other.bit_count() + both) * (a + b) >= a * (n + m)
 
 
-def compare(h: np.ndarray, size: np.ndarray, bits: list[bytes], block: np.ndarray, part: np.ndarray, across: bool, a: int, b: int, second: bool) -> list[tuple[int, int]]:
-    """Pairs of a tile's different sets to compare exactly, as places; with `second`, all likely ones of different components.
-
-    `across`: the tile is a pair of blocks, whose pairs within a block stand in other tiles.
-    """
-    if len(h) < 2 or (second and (part == part[0]).all()) or (across and (block == block[0]).all()):
-        return []
-    if len(h) == 2:
-        return [(0, 1)] if two_near(size, bits, a, b) else []
-    near = likely(size, stacked(bits), np.arange(len(h)), a, b)
-    near &= block[:, None] != block[None] if across else ~np.eye(len(h), dtype=bool)
-    if second:
-        return list(zip(*np.nonzero(np.triu(near & (part[:, None] != part[None]))), strict=True))
-    return stars(near)
+def apart(block: np.ndarray, part: np.ndarray, across: bool) -> np.ndarray:
+    """(sets, sets): the pairs of different components that a group has to compare; `across`: only those of different blocks."""
+    out = part[:, None] != part[None]
+    return out & (block[:, None] != block[None]) if across else out
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -208,19 +207,75 @@ def linked(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(n))], names=["h", "links"])
 
 
-def compared(batches: Iterator[pa.RecordBatch], a: int, b: int, second: bool) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of all tiles; rows (tile, i, j, h, n, bits, block, component) stand in order of tile, i, j, h."""
+def first_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that span the likely ones of each group; rows (tile, j, h, n, bits) stand in order of tile, j, h."""
+    for table, starts, ends in _groups(batches, ("tile", "j")):
+        h, size = (table.column(c).to_numpy() for c in ("h", "n"))
+        bits = table.column("bits").to_pylist()
+        low, high = [], []
+        for s, e in zip(starts, ends, strict=True):
+            if e - s == 2:
+                pairs = [(0, 1)] if two_near(size[s:e], bits[s:e], a, b) else []
+            elif e - s > 2:
+                near = likely(size[s:e], stacked(bits[s:e]), np.arange(e - s), a, b)
+                np.fill_diagonal(near, False)
+                pairs = forest(near)
+            else:
+                pairs = []
+            low += [h[s + x] for x, _ in pairs]
+            high += [h[s + y] for _, y in pairs]
+        yield _pairs(low, high)
+
+
+def second_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """What groups leave to compare across components; rows (tile, i, j, h, n, bits, block, component) stand in order of tile, i, j, h.
+
+    A group with at most FEW likely pairs for each of its sets gives those pairs, as h and other; another group gives its
+    sets that have a likely partner, without `other`.
+    """
     for table, starts, ends in _groups(batches, ("tile", "i", "j")):
         i, j, h, size, block, part = (table.column(c).to_numpy() for c in ("i", "j", "h", "n", "block", "component"))
         bits = table.column("bits").to_pylist()
+        at, other, whole = [], [], []
+        for s, e in zip(starts, ends, strict=True):
+            if (part[s:e] == part[s]).all():
+                continue
+            near = likely(size[s:e], stacked(bits[s:e]), np.arange(e - s), a, b)
+            near &= apart(block[s:e], part[s:e], bool(i[s] != j[s]))
+            left, right = np.nonzero(np.triu(near))
+            if len(left) <= FEW * (e - s):
+                at.append(left + s)
+                other.append(h[right + s])
+            else:
+                whole.append(np.flatnonzero(near.any(1)) + s)
+        pairs = np.concatenate(other) if other else np.empty(0, np.int64)
+        rows = np.concatenate([*at, *whole]).astype(np.int64) if at or whole else np.empty(0, np.int64)
+        out = table.select(["tile", "i", "j", "h", "block", "component"]).take(pa.array(rows))
+        yield from out.append_column("other", pa.concat_arrays([pa.array(pairs), pa.nulls(len(rows) - len(pairs), pa.int64())])).combine_chunks().to_batches()
+
+
+def joining(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that span the links across components in each group, found exactly; rows (tile, i, j, h, block, component, x) stand in order of tile, i, j, h."""
+    for table, starts, ends in _groups(batches, ("tile", "i", "j")):
+        i, j, h, block, part = (table.column(c).to_numpy() for c in ("i", "j", "h", "block", "component"))
+        column = table.column("x")
         low, high = [], []
         for s, e in zip(starts, ends, strict=True):
-            own = np.flatnonzero(np.r_[True, h[s + 1 : e] != h[s : e - 1]]) + s
-            for x, y in compare(h[own], size[own], [bits[k] for k in own.tolist()], block[own], part[own], i[s] != j[s], a, b, second):
-                low.append(h[own[x]])
-                high.append(h[own[y]])
-        low, high = np.array(low, np.int64), np.array(high, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(low, high)), pa.array(np.maximum(low, high))], names=["a", "b"])
+            if e - s < 2:
+                continue
+            x = [np.frombuffer(v, U) for v in column.slice(s, e - s).to_pylist()]
+            size, all_ = np.array([len(v) for v in x]), np.arange(e - s)
+            both = overlaps(x, all_, all_)
+            link = both * b >= (size[:, None] + size[None] - both) * a
+            for p, q in forest(link & apart(block[s:e], part[s:e], bool(i[s] != j[s]))):
+                low.append(h[s + p])
+                high.append(h[s + q])
+        yield _pairs(low, high)
+
+
+def _pairs(left: list, right: list) -> pa.RecordBatch:
+    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int], list[int]]]:
@@ -262,14 +317,14 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
         for batch in batches:
             at = 0
             for x, offs in sets_of(batch.column(1), n, powers):
-                size, name = np.diff(offs), names_of(x, offs)
+                size, name, second = np.diff(offs), names_of(x, offs), names_of(x, offs, SECOND)
                 keys, whose = keys_of(x, offs, a, b)
                 order = np.argsort(whose, kind="stable")
                 keys = keys[order]
                 cut = np.searchsorted(whose[order], np.arange(len(size) + 1))
                 # Equal sets of a task stand for each other in the tiles.
                 tiles, maps = [], []
-                for d, h in enumerate(name.tolist()):
+                for d, h in enumerate(zip(name.tolist(), second.tolist(), strict=True)):
                     if size[d] and h not in seen:
                         seen.add(h)
                         tiles.append(keys[cut[d] : cut[d + 1]].view(np.int64))
@@ -277,40 +332,71 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
                     else:
                         tiles.append(None)
                         maps.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(name), pa.array(maps, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))], names=["id", "n", "h", "bits", "tiles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(name), pa.array(second), pa.array(maps, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))], names=["id", "n", "h", "g", "bits", "tiles"])
                 at += len(size)
 
     rows = few_at_once(docs).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    sets = durable(rows.mapInArrow(describe, f"id {kind}, n long, h long, bits binary, tiles array<long>"))
-    classes = sets.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    sets = durable(rows.mapInArrow(describe, f"id {kind}, n long, h long, g long, bits binary, tiles array<long>"))
+
+    def classes_of(sets: DataFrame) -> DataFrame:
+        return durable(sets.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.min("g").alias("lo"), F.max("g").alias("hi")))
+
+    classes = classes_of(sets)
+    doubtful = classes.where("lo <> hi").select("h", F.lit(True).alias("doubtful"))
+    sure = doubtful.isEmpty()
+
+    def told(df: DataFrame) -> DataFrame:
+        """df, in which sets of different second hashes have different names."""
+        return df if sure else joined(df, doubtful, "h", "left").withColumn("h", F.when(F.col("doubtful"), F.col("g")).otherwise(F.col("h"))).drop("doubtful")
+
+    if not sure:
+        sets = durable(told(sets))
+        classes = classes_of(sets)
     info = sets.where(F.col("bits").isNotNull()).select("h", "n", "bits").dropDuplicates(["h"])
 
-    whole = W.partitionBy("tile")
+    # Most tiles hold one set, and most others two, which their least and greatest names tell; only larger ones are joined back.
     dealt = sets.where(F.col("tiles").isNotNull()).select(F.explode("tiles").alias("tile"), "h")
-    shared = dealt.select("tile", "h", F.min("h").over(whole).alias("lo"), F.max("h").over(whole).alias("hi")).where("lo <> hi").select("tile", "h").distinct()
+    shared = durable(dealt.groupBy("tile").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows")).where("lo <> hi"))
+    twos = shared.where("rows = 2").select(F.xxhash64(F.lit(2).cast("long"), F.col("lo").bitwiseXOR(F.col("hi")), F.xxhash64("lo").bitwiseXOR(F.xxhash64("hi"))).alias("tile"), F.lit(2).cast("long").alias("size"), F.explode(F.array("lo", "hi")).alias("h"))
+    large = durable(joined(dealt, shared.where("rows > 2").select("tile"), "tile").distinct())
     # Tiles with the same sets are one.
-    same = shared.select("h", F.count("*").over(whole).alias("size"), F.bit_xor(F.col("h")).over(whole).alias("x"), F.bit_xor(F.xxhash64("h")).over(whole).alias("y"))
-    members = durable(same.select(F.xxhash64("size", "x", "y").alias("tile"), "size", "h").distinct().join(info, "h"))
+    marks = large.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.col("h")).alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
+    larger = joined(large, marks, "tile").select(F.xxhash64("size", "x", "y").alias("tile"), "size", "h")
+    members = durable(twos.unionByName(larger).distinct().join(info, "h"))
 
     parts = max(8, -(-members.count() // ROWS))
+    spread = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
 
-    def candidates(labels: DataFrame | None) -> DataFrame:
-        own = members.withColumn("component", F.col("h")) if labels is None else members.join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    def likely_pairs() -> DataFrame:
+        """The pairs of the first round: each block of a tile with the tile's first one."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        split = own.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int"))
-        to = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))))
-        tiles = split.withColumn("to", to).select("tile", "to.i", "to.j", "h", "n", "bits", "block", "component")
-        second = labels is not None
-        dealt = tiles.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "h")
-        return dealt.mapInArrow(lambda rows: compared(rows, a, b, second), "a long, b long").distinct()
+        to = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0), blocks - 1))
+        groups = members.withColumn("block", spread(blocks)).select("tile", F.explode(to).alias("j"), "h", "n", "bits")
+        return groups.repartition(parts, "tile", "j").sortWithinPartitions("tile", "j", "h").mapInArrow(lambda rows: first_round(rows, a, b), "a long, b long").distinct()
+
+    def open_sets(labels: DataFrame) -> DataFrame:
+        """What second_round() leaves."""
+        own = members.where("size > 2").join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        parts_of = own.groupBy("tile", "component").agg(F.count("*").alias("m"), F.max("n").alias("n"))
+        tiles = parts_of.groupBy("tile").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all"), F.max("n").alias("longest"), F.count("*").alias("kinds")).where("kinds > 1")
+        tiles = durable(tiles.select("tile", F.col("most.component").alias("main"), F.col("most.m").alias("inside"), (F.col("all") - F.col("most.m")).alias("outside"), "longest"))
+        each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / 8 / F.col("longest")))).cast("long")
+        one = F.col("inside") + F.col("outside") <= each
+        out, inner, main = F.ceil(F.col("outside") / each).cast("int"), F.ceil(F.col("inside") / each).cast("int"), F.col("component") == F.col("main")
+        block = F.when(one, 0).when(main, out + spread(inner)).otherwise(spread(out))
+        last = F.when(one, 0).when(main, out - 1).otherwise(out + inner - 1)
+        to = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))))
+        groups = joined(own, tiles, "tile").withColumn("block", block).withColumn("last", last).withColumn("to", to)
+        groups = groups.select("tile", "to.i", "to.j", "h", "n", "bits", "block", "component")
+        return groups.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "h").mapInArrow(lambda rows: second_round(rows, a, b), "tile long, i int, j int, h long, block int, component long, other long")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = tv.Powers()
         for batch in batches:
             for x, offs in sets_of(batch.column(0), n, powers):
                 cut = [x[p:q].tobytes() for p, q in zip(offs[:-1], offs[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names_of(x, offs)), pa.array(cut, pa.binary())], names=["h", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(names_of(x, offs)), pa.array(names_of(x, offs, SECOND)), pa.array(cut, pa.binary())], names=["h", "g", "x"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,12 +407,16 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
                 keep.append(overlap * b >= (len(p) + len(q) - overlap) * a)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = durable(candidates(None))
-    ends = first.select(F.col("a").alias("h")).union(first.select(F.col("b").alias("h"))).distinct()
-    ids = durable(ends.join(classes, "h").select("id").distinct())
-    few = ids.count() <= MOST_IDS
-    texts = rows.join(F.broadcast(ids) if few else ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    known = durable(texts.mapInArrow(arrays, "h long, x binary").dropDuplicates(["h"]))
+    def read(wanted: DataFrame) -> DataFrame:
+        """(h, x): the sorted arrays of the sets `wanted`, from their texts."""
+        ids = durable(wanted.join(classes, "h").select("id").distinct())
+        few = ids.count() <= MOST_IDS
+        texts = rows.join(F.broadcast(ids) if few else ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+        found = told(texts.mapInArrow(arrays, "h long, g long, x binary")).select("h", "x")
+        return durable(found.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
+
+    first = durable(likely_pairs())
+    known = read(first.select(F.col("a").alias("h")).union(first.select(F.col("b").alias("h"))).distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
         x = pairs.join(known.select(F.col("h").alias("a"), F.col("x").alias("p")), "a").join(known.select(F.col("h").alias("b"), F.col("x").alias("q")), "b")
@@ -347,17 +437,24 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
         return tiles.mapInArrow(lambda rows: linked(rows, a, b), "h long, links long").groupBy("h").agg(F.sum("links").alias("links"))
 
     found = links(first)
-    rest = candidates(components(found)).join(first, ["a", "b"], "left_anti")
-    found = found.unionByName(links(rest))
+    still = durable(open_sets(components(found)))
+    pairs = still.where("other is not null").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs, groups = durable(pairs), still.where("other is null").drop("other")
+    unread = durable(groups.select("h").union(pairs.select("a")).union(pairs.select("b")).distinct().join(known, "h", "left_anti"))
+    if not unread.isEmpty():
+        known = durable(known.unionByName(read(unread)))
+    groups = groups.join(known, "h").repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "h")
+    joins = groups.select("tile", "i", "j", "h", "block", "component", "x").mapInArrow(lambda rows: joining(rows, a, b), "a long, b long").distinct()
+    found = durable(found.unionByName(links(pairs)).unionByName(joins))
     label = components(found)
-    parts = classes.join(label.withColumnRenamed("v", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    least = parts.groupBy("component").agg(F.min("id").alias("component_id"))
     several = label.withColumnRenamed("v", "h")
-    named = parts.join(least, "component").join(several.select("h", F.lit(True).alias("some")), "h", "left").where("rows > 1 or some").select("h", "component_id", "rows")
+    own = classes.select("h", "id", "rows").join(several, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    least = durable(own.groupBy("component").agg(F.min("id").alias("component_id")))
+    named = joined(own, least, "component").join(several.select("h", F.lit(True).alias("some")), "h", "left").where("rows > 1 or some").select("h", "component_id", "rows")
     if counted:
         named = named.join(degrees(several), "h", "left").withColumn("links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
     named = durable(named.drop("rows"))
     named = F.broadcast(named) if named.count() <= 200_000 else named
     out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")).join(named, "h", "left")
-    told = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] if counted else []
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *told)
+    more = [F.coalesce("links", F.lit(0)).cast("long").alias("links")] if counted else []
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *more)

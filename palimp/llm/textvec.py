@@ -17,7 +17,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 P = U(0x9E3779B97F4A7C15)
 P_INV = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Text bytes handled at once; a longer single text is still handled whole.
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

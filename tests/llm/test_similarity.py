@@ -57,8 +57,10 @@ def test_join_equals_brute_force(spark, n, a, b):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_join(texts, n, a, b) and len(got) == len(texts)
 
 
-def test_join_in_large_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 4])
+def test_join_in_large_tiles(spark, monkeypatch, few):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     texts = near_copies()
     got = ngram_join.join(documents(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_join(texts, 3, 90, 100)
@@ -170,3 +172,26 @@ def test_probe_sequence_is_in_order_of_expected_distance():
     sets = ann.sequence(4, 30)
     assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == len(sets) == 30
     assert all(not (7 - i in s) for s in sets for i in s)
+
+
+def test_sets_of_equal_names_are_told_apart(spark, monkeypatch):
+    names = ngram_join.names_of
+    monkeypatch.setattr(ngram_join, "names_of", lambda x, offs, salt=0x1234567F: names(x, offs, salt) if salt == ngram_join.SECOND else names(x, offs, salt) % 7)
+    texts = near_copies()[:60]
+    got = ngram_join.join(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_join(texts, 3, 90, 100)
+
+
+def test_forest_spans_and_is_small():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        near = rng.random((12, 12)) < 0.15
+        near |= near.T
+        np.fill_diagonal(near, False)
+        pairs = ngram_join.forest(near)
+        reach = np.linalg.matrix_power(np.eye(12, dtype=int) + near, 12) > 0
+        of = np.arange(12)
+        for x, y in pairs:
+            assert near[x, y] and of[x] != of[y]
+            of[of == of[y]] = of[x]
+        assert ((of[:, None] == of[None]) == reach).all()
