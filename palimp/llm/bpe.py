@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -119,8 +120,8 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "tex
     """`key` and what `emit` makes of each text's ids (by default the ids and the decoded text).
 
     A text of up to `chunk` characters is one chunk and is encoded where it is read. The chunks of longer texts are dealt
-    out, pre-tokenised wherever they land, and come together by (key, hash of the text) for stitching. A null text counts
-    as empty and gives no ids; repeated rows give a row each; an empty table gives an empty result. Only `key` and `text`
+    out, pre-tokenised wherever they land, and come together by (key, hash of the text) for stitching; repeated rows are
+    counted before that and each of their chunks goes there once. A null text counts as empty and gives no ids; repeated rows give a row each; an empty table gives an empty result. Only `key` and `text`
     are read, so other columns cannot clash. Lone surrogates cannot occur in Spark strings.
     """
     kind = docs.select(F.col(f"`{key}`").alias(key)).schema
@@ -144,31 +145,48 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), types.field(n).type) for n, c in zip(names, columns, strict=True))], schema=types)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The chunks of each different row of the task, and last, with start -1, how often each came."""
         bpe, _ = coder()
+        rows: Counter = Counter()
         for b in batches:
             for k, x in zip(b["__key"], b["__text"], strict=True):
                 digest, size = hashlib.sha1(x.encode()).hexdigest(), len(x)
-                yield pd.DataFrame([(k, digest, a, w, a + len(w) >= size) for a, w in bpe.windows(x)], columns=["__key", "digest", "start", "chunk", "last"])
+                rows[k, digest] += 1
+                if rows[k, digest] == 1:
+                    yield pd.DataFrame([(k, digest, a, w, a + len(w) >= size, 0) for a, w in bpe.windows(x)], columns=pieces)
+        yield pd.DataFrame([(k, digest, -1, None, None, n) for (k, digest), n in rows.items()], columns=pieces)
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each different chunk once, with its boundaries; the counts of each text in one row."""
         bpe, _ = coder()
+        seen: set = set()
+        rows: Counter = Counter()
         for b in batches:
-            b["ends"] = [bpe.boundaries(w, z) for w, z in zip(b["chunk"], b["last"], strict=True)]
-            yield b.drop(columns="last")
+            out = []
+            for k, digest, start, w, last, n in b[pieces].itertuples(index=False, name=None):
+                if start < 0:
+                    rows[k, digest] += n
+                elif (k, digest, start) not in seen:
+                    seen.add((k, digest, start))
+                    out.append((k, digest, start, w, n, bpe.boundaries(w, last)))
+            yield pd.DataFrame(out, columns=ended_pieces)
+        yield pd.DataFrame([(k, digest, -1, None, n, []) for (k, digest), n in rows.items()], columns=ended_pieces)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         bpe, row = coder()
-        copies = int((group["start"] == 0).sum())
-        group = group.drop_duplicates("start").sort_values("start")
+        copies = int(group["rows"].sum())
+        group = group[group["start"] >= 0].sort_values("start")
         final = group["start"].max()
         whole = "".join(x[:chunk] if a < final else x for a, x in zip(group["start"], group["chunk"], strict=True))
         cuts = bpe.stitch(whole, ((int(a), list(e)) for a, e in zip(group["start"], group["ends"], strict=True)))
-        out = pd.DataFrame([row(bpe, bpe.encode(whole, cuts))] * copies, columns=names)
+        out = pd.DataFrame([row(bpe, bpe.encode(whole, cuts))], columns=names)
         out.insert(0, "__key", group["__key"].iloc[0])
+        out.insert(1, "__rows", copies)
         return out
 
-    parts = source.where(long).withColumn("__key", F.col("__key").cast("string")).mapInPandas(split, "__key string, digest string, start long, chunk string, last boolean")
-    ended = parts.repartition("__key", "digest", "start").mapInPandas(bound, "__key string, digest string, start long, chunk string, ends array<int>")
-    stitched = ended.groupBy("__key", "digest").applyInPandas(join, T.StructType([T.StructField("__key", T.StringType()), *columns.fields]))
-    stitched = stitched.select(F.col("__key").cast(kind.fields[0].dataType).alias(key), *names)
+    pieces, ended_pieces = ["__key", "digest", "start", "chunk", "last", "rows"], ["__key", "digest", "start", "chunk", "rows", "ends"]
+    parts = source.where(long).withColumn("__key", F.col("__key").cast("string")).mapInPandas(split, "__key string, digest string, start long, chunk string, last boolean, rows long")
+    ended = parts.repartition("__key", "digest", "start").mapInPandas(bound, "__key string, digest string, start long, chunk string, rows long, ends array<int>")
+    stitched = ended.groupBy("__key", "digest").applyInPandas(join, T.StructType([T.StructField("__key", T.StringType()), T.StructField("__rows", T.LongType()), *columns.fields]))
+    stitched = stitched.withColumn("__rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows")))).select(F.col("__key").cast(kind.fields[0].dataType).alias(key), *names)
     return source.where(~long).mapInArrow(short, schema).unionByName(stitched)

@@ -1,6 +1,7 @@
 """Operators 2, 3, 7, 8 and 10."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -63,7 +64,7 @@ def test_quality_keeps_good_and_rejects_bad(spark, docs):
 
 
 def test_quality_of_odd_rows_and_posteriors(spark):
-    data = documents(spark, [*ODD, *ODD]).drop("score")
+    data = documents(spark, [*ODD, *ODD])
     model = quality.fit(data, spark.createDataFrame([], "doc_id long, quality int"))
     got = quality.classify(data, model).collect()
     assert len(got) == 2 * len(ODD) and all(r["keep"] and 0 < r["score"] < 1 for r in got)
@@ -89,25 +90,54 @@ def balance(sizes):
         free = [s for s in free if s not in full]
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_mixing(spark, docs, hot):
-    got = mixing.mix(docs, hot=hot).collect()
+def test_mixing(spark, docs):
+    got = mixing.mix(docs).collect()
     sizes, taken = collections.Counter(), collections.Counter()
     for r in got:
         sizes[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
         assert r["taken"] == r["copies"] * r["size"] <= 2 * r["size"]
-        assert int(r["rate"]) <= r["copies"] <= int(r["rate"]) + 1
+        assert math.floor(r["rate"]) <= r["copies"] <= math.floor(r["rate"]) + 1
     target = balance(sizes)
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]], rel=1e-9)
-    assert max(abs(taken[s] / target[s] - 1) for s in target) < (0.02 if hot > 3 else 0.1)
-    assert sorted(map(tuple, mixing.mix(docs.repartition(5), hot=hot).collect())) == sorted(map(tuple, got))
+        # The dual's solution: each source's constraint holds.
+        assert r["rate"] * sizes[r["source"]] == pytest.approx(target[r["source"]], rel=1e-9)
+    assert max(abs(taken[s] / target[s] - 1) for s in target) < 0.005
+    assert sorted(map(tuple, mixing.mix(docs.repartition(5)).collect())) == sorted(map(tuple, got))
+
+
+def test_mixing_of_many_sources_and_ids_that_repeat(spark):
+    rng = random.Random(12)
+    rows = [(None if i % 3 else 7, f"w{i} " * rng.randint(1, 60), f"host{int(rng.paretovariate(0.6)) % 200}" if i % 4 else None) for i in range(4000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    target = balance(sizes)
+    assert all(r["target"] == pytest.approx(target[r["source"]], rel=1e-9) for r in got) and len(target) > 50
+    # Nearer than the smallest power of 2 that has documents to spare.
+    assert all(abs(taken[s] - target[s]) <= 31 for s in target) and sum(abs(taken[s] - target[s]) for s in target) < 0.01 * sum(target.values())
+
+
+def test_draws_are_bounded_exactly(spark):
+    rng = random.Random(2)
+    rows = [("a" if i % 2 else None, 3, rng.randint(8, 15), rng.choice([rng.randrange(1 << 60), i % 5])) for i in range(600)]
+    base = spark.createDataFrame(rows, "source string, band int, size long, draw long")
+    for part in (0.0, 0.3, 0.9, 1.0):
+        all_ = {s: sum(r[2] for r in rows if r[0] == s) for s in ("a", None)}
+        cells = spark.createDataFrame([(s, 3, part * n) for s, n in all_.items()], "source string, band int, wanted double")
+        for r in mixing.bounds(base, cells).collect():
+            own = sorted((d, n) for s, _, n, d in rows if s == r["source"])
+            sums = [0, *(sum(n for d, n in own if d <= top) for top in sorted({d for d, _ in own}))]
+            assert r["got"] == sum(n for d, n in own if d < r["below"])
+            assert abs(r["got"] - part * all_[r["source"]]) == pytest.approx(min(abs(x - part * all_[r["source"]]) for x in sums))
 
 
 def test_mixing_of_odd_rows(spark):
     texts = [*ODD, *ODD]
-    got = mixing.mix(documents(spark, texts).drop("size")).collect()
+    got = mixing.mix(documents(spark, texts)).collect()
     assert len(got) == len(texts)
     for r in got:
         assert r["size"] == len((texts[r["doc_id"]] or "").encode().split())
@@ -132,7 +162,7 @@ def test_language_is_learned_from_the_other_part(spark, docs):
 
 def test_language_of_odd_rows(spark, docs):
     model = langid.fit(docs)
-    got = {r["doc_id"]: r for r in langid.identify(documents(spark, [*ODD, *ODD]).drop("score"), model).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(documents(spark, [*ODD, *ODD]), model).collect()}
     for i, t in enumerate([*ODD, *ODD]):
         lettered = any(c.isalpha() for c in t or "")
         assert (got[i]["lang_pred"] == "und") == (not lettered) and 0 <= got[i]["score"] <= 1
@@ -149,7 +179,7 @@ JUNK = ['for (int i = 0; i < n; ++i) { printf("%d\\n", buf[i]); free(ptr); }', "
 def test_foreign_texts_and_gibberish_are_rejected(spark, docs):
     model = langid.fit(docs)
     assert 0.011 < model.temperature < 99
-    got = {r["doc_id"]: r["rejected"] for r in langid.identify(documents(spark, [*FOREIGN, *JUNK]).drop("score"), model).collect()}
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(documents(spark, [*FOREIGN, *JUNK]), model).collect()}
     assert all(got[i] for i in range(len(FOREIGN) + len(JUNK)))
     held = docs.where(langid.part("doc_id") == 2)
     cut = held.select("doc_id", F.substring("text", 1, 120).alias("text"))

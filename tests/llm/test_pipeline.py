@@ -46,7 +46,24 @@ def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words are here now then"), (None, "x y z"), (2, "a b c d e f"), (3, None), (3, None)]
     data = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1))
     kept = sorted(((r["doc_id"] or -1), r["text"] or "") for r in pipe.near_duplicates(spark, data, DATA).collect())
-    assert kept == [(-1, "x y z"), (1, "a b c d e f"), (3, ""), (3, "")]
+    # Each row is judged by its own text.
+    assert kept == [(-1, "x y z"), (1, "a b c d e f"), (1, "other words are here now then"), (3, ""), (3, "")]
+    nulls = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "p q r s t u v"), (9, "a b c d e f g")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in pipe.near_duplicates(spark, nulls, DATA).collect()) == [(0, "p q r s t u v"), (9, "a b c d e f g")]
+
+
+NAMES = "score rejected lang_pred keep p_document p_host p_path size source_size target rate copies copy taken row one component_id n_shingles links component c0 c1 h n x id n_tokens ids_sha256 __text __key __in __host __path __source __draw __copies below".split()
+
+
+def test_columns_of_any_name_pass_through(spark, docs):
+    wide = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in NAMES), F.create_map(F.lit("k"), F.col("doc_id")).alias("map"))
+    wide = wide.union(wide.limit(3))
+    for name, stage in pipe.STAGES[:-1]:
+        got = stage(spark, wide, DATA)
+        assert got.columns == wide.columns and dict(got.dtypes) == dict(wide.dtypes), name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in NAMES) and all(r["map"] == {"k": r["doc_id"]} for r in rows), name
+    assert pipe.encode(spark, wide, DATA).count() == wide.count()
 
 
 def test_mix_takes_whole_copies(spark, docs):
