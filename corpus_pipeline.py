@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, quality, near-duplicates, mixing, and the encoding of what remains.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`. Rows that
-share a doc_id are kept or dropped by their own texts where a stage judges texts, and together where it judges ids.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `docs`, whatever
+their names. Rows that share a doc_id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -11,57 +11,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimp.llm import bpe, langid, mixing, ngram_join, quality
-from palimp.llm.durable import durable, stored
+from palimp.llm.durable import durable, joined, stored
 
+#: Keys of rows that are broadcast, about 60 bytes each; more are joined by shuffling.
+MOST_ROWS = 300_000
 
-def _small(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if they are few."""
-    return F.broadcast(ids) if ids.count() <= ngram_join.MOST_IDS else ids
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by their places, which no operator's names clash with, and these names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of: dict[str, str] = {}
+    for own, name in zip(docs.columns, names, strict=True):
+        of.setdefault(own, name)
+    return docs.toDF(*names), of
 
-def _beside(docs: DataFrame, found: DataFrame, on: str = "doc_id") -> DataFrame:
-    """docs with the columns of `found`, which has one row for each id (null is an id); `found` is small in bytes, not in rows."""
-    right = found.withColumnRenamed(on, "__id")
-    return docs.join(right, docs[on].eqNullSafe(right["__id"])).drop("__id")
+
+def _again(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, by their places, from what was made of _plain(docs)."""
+    return found.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known; learns only from the rows that aren't held out."""
-    names = tuple(docs.columns)
-    return langid.identify(docs, langid.fit(docs), keep=names).where(~F.col("rejected")).select(*names)
+    rows, of = _plain(docs)
+    model = langid.fit(rows, text=of["text"], lang=of["lang"], key=of["doc_id"])
+    return _again(langid.identify(rows, model, text=of["text"], keep=tuple(rows.columns)).where(~F.col("rejected")), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents of good form, by themselves and their source."""
-    names = tuple(docs.columns)
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model, keep=names, store=False).where("keep").select(*names)
+    rows, of = _plain(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", of["doc_id"])
+    site = {"host": of["source"], "path": f"concat_ws('/', {of['source']}, {of['lang']})"}
+    model = quality.fit(rows, labels, text=of["text"], key=of["doc_id"], **site)
+    return _again(quality.classify(rows, model, keep=tuple(rows.columns), text=of["text"], store=False, **site).where("keep"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that word 5-grams link at a similarity of 0.8: the one with the smallest id.
 
-    Documents without words are in no group and stay, and so do rows without an id. If rows share an id, they go where
-    one of them goes; of those that stay and have words, the smallest text stays.
+    Documents without words are in no group and stay. A null id comes after all others. Rows that share an id are judged
+    each by its own text, ties by a hash of the text; of rows that share id and text, one stays: the one whose other
+    columns come first as JSON.
     """
-    groups = durable(ngram_join.join(docs, n=5, similarity=(80, 100), counted=False))
-    gone = durable(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    again = durable(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, of = _plain(docs)
+    text = F.col(of["text"]).cast("string")
+    row = F.struct(F.col(of["doc_id"]).isNull().alias("unknown"), F.col(of["doc_id"]).alias("id"), F.xxhash64(text).alias("x"), F.xxhash64(text, F.lit(1)).alias("y"))
+    rows = rows.withColumn("row", row)
+    groups = durable(ngram_join.join(rows, text=of["text"], key="row", n=5, similarity=(80, 100), counted=False).where("n_shingles > 0"))
+    gone = durable(groups.where(F.col("row") != F.col("component_id")).select("row").distinct())
+    again = durable(groups.where(F.col("row") == F.col("component_id")).groupBy("row").count().where("count > 1").select("row"))
+    left = joined(rows, gone, "row", "left_anti", most_rows=MOST_ROWS)
     if again.isEmpty():
-        return left
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    worded = mixing.words("text") > 0
-    chosen = left.where(worded).join(_small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__one"))
-    chosen = chosen.select(*(F.col("doc_id") if c == "doc_id" else F.col("__one")[c].alias(c) for c in docs.columns))
-    others = left.where(worded).join(_small(again), "doc_id", "left_anti").select(*docs.columns)
-    return left.where(~worded).unionByName(others).unionByName(chosen)
+        return _again(left, docs)
+    whole = F.struct(*(f"c{i}" for i in range(len(docs.columns))))
+    one = joined(left, again, "row", "left_semi", most_rows=MOST_ROWS).groupBy("row").agg(F.min_by(whole, F.to_json(whole)).alias("one")).select("one.*")
+    return _again(joined(left, again, "row", "left_anti", most_rows=MOST_ROWS).drop("row").unionByName(one), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: not at all, once or twice."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    return _beside(docs, durable(taken)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Takes each row as often as the mix does: not at all, once or twice."""
+    rows, of = _plain(docs)
+    taken = mixing.mix(rows, text=of["text"], key=of["doc_id"], source=of["source"], keep=tuple(rows.columns)).where("copies > 0")
+    return _again(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
