@@ -47,7 +47,7 @@ BLOCK_BYTES, COLUMNS = 4 << 20, 4096
 FEW = 4
 #: Rows of tiles for each task, about.
 ROWS = 5000
-#: Ids of documents whose sets are compared exactly are broadcast up to so many.
+#: Ids (of tiles with more than two sets, of documents whose sets are compared exactly) are broadcast up to so many.
 MOST_IDS = 1_000_000
 U = np.uint64
 _edges = [1]
@@ -359,7 +359,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     dealt = sets.where(F.col("tiles").isNotNull()).select(F.explode("tiles").alias("tile"), "h")
     shared = durable(dealt.groupBy("tile").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows")).where("lo <> hi"))
     twos = shared.where("rows = 2").select(F.xxhash64(F.lit(2).cast("long"), F.col("lo").bitwiseXOR(F.col("hi")), F.xxhash64("lo").bitwiseXOR(F.xxhash64("hi"))).alias("tile"), F.lit(2).cast("long").alias("size"), F.explode(F.array("lo", "hi")).alias("h"))
-    large = durable(joined(dealt, shared.where("rows > 2").select("tile"), "tile").distinct())
+    large = durable(joined(dealt, shared.where("rows > 2").select("tile"), "tile", most_rows=MOST_IDS).distinct())
     # Tiles with the same sets are one.
     marks = large.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.col("h")).alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
     larger = joined(large, marks, "tile").select(F.xxhash64("size", "x", "y").alias("tile"), "size", "h")
