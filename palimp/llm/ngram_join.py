@@ -12,7 +12,7 @@ lacks are not shared. Pairs whose bound reaches the overlap that a link needs ar
 
 Large groups. Equal sets are one. A first round takes of each tile a spanning forest of its likely pairs, fewer pairs
 than sets, and compares those exactly; the sets found linked become components. A second round does the rest: only tiles
-that still hold several components take part, their sets that are likely partners across components meet again with
+with further likely pairs that still hold several components take part, their sets that are likely partners across components meet again with
 their sorted arrays, are compared exactly there, and again only a spanning forest of the links leaves the tile. So no
 step hands out more rows than it takes in, however large a group of copies is. Tiles of more than BLOCK sets are split:
 in the first round into the first block with each other one, in the second into pairs of blocks, without pairs inside
@@ -43,10 +43,10 @@ BLOCK, GROWTH = 256, 1.5
 SECOND = 0x2545F491
 #: Bytes of the sets of a block of a component, about; and elements that are counted at once.
 BLOCK_BYTES, COLUMNS = 4 << 20, 4096
-#: Likely pairs for each set up to which a group of the second round hands them out one by one.
-FEW = 4
+#: Sets up to which a group of the second round hands out its likely pairs one by one.
+FEW = 32
 #: Rows of tiles for each task, about.
-ROWS = 5000
+ROWS = 20_000
 #: Ids (of tiles with more than two sets, of documents whose sets are compared exactly) are broadcast up to so many.
 MOST_IDS = 1_000_000
 U = np.uint64
@@ -208,31 +208,37 @@ def linked(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.Rec
 
 
 def first_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that span the likely ones of each group; rows (tile, j, h, n, bits) stand in order of tile, j, h."""
+    """Pairs (a, b) that span the likely ones of each group, and rows (a, tile) for the sets of groups with further likely pairs; rows (tile, j, h, n, bits) stand in order of tile, j, h."""
     for table, starts, ends in _groups(batches, ("tile", "j")):
-        h, size = (table.column(c).to_numpy() for c in ("h", "n"))
+        tile, h, size = (table.column(c).to_numpy() for c in ("tile", "h", "n"))
         bits = table.column("bits").to_pylist()
-        low, high = [], []
+        low, high, left = [], [], []
         for s, e in zip(starts, ends, strict=True):
+            pairs = []
             if e - s == 2:
                 pairs = [(0, 1)] if two_near(size[s:e], bits[s:e], a, b) else []
             elif e - s > 2:
                 near = likely(size[s:e], stacked(bits[s:e]), np.arange(e - s), a, b)
                 np.fill_diagonal(near, False)
                 pairs = forest(near)
-            else:
-                pairs = []
+                if near.sum() > 2 * len(pairs):
+                    left.append(np.flatnonzero(near.any(1)) + s)
             low += [h[s + x] for x, _ in pairs]
             high += [h[s + y] for _, y in pairs]
-        yield _pairs(low, high)
+        found = _pairs(low, high)
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(len(found), pa.int64())], names=["a", "b", "tile"])
+        if left:
+            rows = np.concatenate(left)
+            yield pa.RecordBatch.from_arrays([pa.array(h[rows]), pa.nulls(len(rows), pa.int64()), pa.array(tile[rows])], names=["a", "b", "tile"])
 
 
 def second_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
     """What groups leave to compare across components; rows (tile, i, j, h, n, bits, block, component) stand in order of tile, i, j, h.
 
-    A group with at most FEW likely pairs for each of its sets gives those pairs, as h and other; another group gives its
-    sets that have a likely partner, without `other`.
+    A group of at most FEW sets gives its likely pairs, as h and other; a larger one gives its sets that have a likely
+    partner, without `other`, so that neither gives more than FEW / 2 rows for each of its sets.
     """
+    seen: set[tuple[int, int]] = set()
     for table, starts, ends in _groups(batches, ("tile", "i", "j")):
         i, j, h, size, block, part = (table.column(c).to_numpy() for c in ("i", "j", "h", "n", "block", "component"))
         bits = table.column("bits").to_pylist()
@@ -243,15 +249,19 @@ def second_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[
             near = likely(size[s:e], stacked(bits[s:e]), np.arange(e - s), a, b)
             near &= apart(block[s:e], part[s:e], bool(i[s] != j[s]))
             left, right = np.nonzero(np.triu(near))
-            if len(left) <= FEW * (e - s):
-                at.append(left + s)
-                other.append(h[right + s])
+            if e - s <= FEW:
+                # Pairs come in several tiles of a task; the first is enough.
+                for x, y in zip((left + s).tolist(), h[right + s].tolist(), strict=True):
+                    pair = (int(h[x]), y)
+                    if pair not in seen:
+                        seen.add(pair)
+                        at.append(x)
+                        other.append(y)
             else:
                 whole.append(np.flatnonzero(near.any(1)) + s)
-        pairs = np.concatenate(other) if other else np.empty(0, np.int64)
-        rows = np.concatenate([*at, *whole]).astype(np.int64) if at or whole else np.empty(0, np.int64)
+        rows = np.concatenate([np.array(at, np.int64), *whole]).astype(np.int64)
         out = table.select(["tile", "i", "j", "h", "block", "component"]).take(pa.array(rows))
-        yield from out.append_column("other", pa.concat_arrays([pa.array(pairs), pa.nulls(len(rows) - len(pairs), pa.int64())])).combine_chunks().to_batches()
+        yield from out.append_column("other", pa.concat_arrays([pa.array(other, pa.int64()), pa.nulls(len(rows) - len(at), pa.int64())])).combine_chunks().to_batches()
 
 
 def joining(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
@@ -353,7 +363,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     if not sure:
         sets = durable(told(sets))
         classes = classes_of(sets)
-    info = sets.where(F.col("bits").isNotNull()).select("h", "n", "bits").dropDuplicates(["h"])
+    info = durable(sets.where(F.col("bits").isNotNull()).select("h", "n", "bits").dropDuplicates(["h"]))
 
     # Most tiles hold one set, and most others two, which their least and greatest names tell; only larger ones are joined back.
     dealt = sets.where(F.col("tiles").isNotNull()).select(F.explode("tiles").alias("tile"), "h")
@@ -369,15 +379,18 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     spread = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
 
     def likely_pairs() -> DataFrame:
-        """The pairs of the first round: each block of a tile with the tile's first one."""
+        """What first_round() gives: each block of a tile meets the tile's first one."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         to = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0), blocks - 1))
         groups = members.withColumn("block", spread(blocks)).select("tile", F.explode(to).alias("j"), "h", "n", "bits")
-        return groups.repartition(parts, "tile", "j").sortWithinPartitions("tile", "j", "h").mapInArrow(lambda rows: first_round(rows, a, b), "a long, b long").distinct()
+        return groups.repartition(parts, "tile", "j").sortWithinPartitions("tile", "j", "h").mapInArrow(lambda rows: first_round(rows, a, b), "a long, b long, tile long").distinct()
 
     def open_sets(labels: DataFrame) -> DataFrame:
-        """What second_round() leaves."""
-        own = members.where("size > 2").join(labels.withColumnRenamed("v", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        """What second_round() leaves of the groups that the first one has not done with, and of all that were split."""
+        split = members.where(F.col("size") > BLOCK).select("tile", "h")
+        left = round_one.where("tile is not null and b is null").select("tile", F.col("a").alias("h")).unionByName(split).distinct()
+        own = joined(left, labels.withColumnRenamed("v", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+        own = durable(own.join(info.select("h", "n"), "h"))
         parts_of = own.groupBy("tile", "component").agg(F.count("*").alias("m"), F.max("n").alias("n"))
         tiles = parts_of.groupBy("tile").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all"), F.max("n").alias("longest"), F.count("*").alias("kinds")).where("kinds > 1")
         tiles = durable(tiles.select("tile", F.col("most.component").alias("main"), F.col("most.m").alias("inside"), (F.col("all") - F.col("most.m")).alias("outside"), "longest"))
@@ -388,7 +401,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
         last = F.when(one, 0).when(main, out - 1).otherwise(out + inner - 1)
         to = F.explode(F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))))
         groups = joined(own, tiles, "tile").withColumn("block", block).withColumn("last", last).withColumn("to", to)
-        groups = groups.select("tile", "to.i", "to.j", "h", "n", "bits", "block", "component")
+        groups = groups.select("tile", "to.i", "to.j", "h", "block", "component").join(info, "h")
         return groups.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j", "h").mapInArrow(lambda rows: second_round(rows, a, b), "tile long, i int, j int, h long, block int, component long, other long")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +428,8 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
         found = told(texts.mapInArrow(arrays, "h long, g long, x binary")).select("h", "x")
         return durable(found.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
 
-    first = durable(likely_pairs())
+    round_one = durable(likely_pairs())
+    first = round_one.where("b is not null").select("a", "b")
     known = read(first.select(F.col("a").alias("h")).union(first.select(F.col("b").alias("h"))).distinct())
 
     def links(pairs: DataFrame) -> DataFrame:
