@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from palimp.llm import textvec as tv
 from palimp.llm.components import components
 from palimp.llm.durable import durable, few_at_once, joined
+from palimp.llm.grouped import groups as groups_of
 
 BLOCK, GROWTH = 256, 1.5
 #: Salt of the second hash of a set.
@@ -186,7 +187,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 
 def linked(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
     """(h, links): rows of other sets that link with h, for each pair of blocks; rows (component, i, j, h, block, rows, x) stand in order of component, i, j."""
-    for table, starts, ends in _groups(batches, ("component", "i", "j")):
+    for table, starts, ends in groups_of(batches, ("component", "i", "j")):
         i, j, h, block, rows = (table.column(c).to_numpy() for c in ("i", "j", "h", "block", "rows"))
         x = [np.frombuffer(v, U) for v in table.column("x").to_pylist()]
         found, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -209,7 +210,7 @@ def linked(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.Rec
 
 def first_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that span the likely ones of each group, and rows (a, tile) for the sets of groups with further likely pairs; rows (tile, j, h, n, bits) stand in order of tile, j, h."""
-    for table, starts, ends in _groups(batches, ("tile", "j")):
+    for table, starts, ends in groups_of(batches, ("tile", "j")):
         tile, h, size = (table.column(c).to_numpy() for c in ("tile", "h", "n"))
         bits = table.column("bits").to_pylist()
         low, high, left = [], [], []
@@ -239,7 +240,7 @@ def second_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[
     partner, without `other`, so that neither gives more than FEW / 2 rows for each of its sets.
     """
     seen: set[tuple[int, int]] = set()
-    for table, starts, ends in _groups(batches, ("tile", "i", "j")):
+    for table, starts, ends in groups_of(batches, ("tile", "i", "j")):
         i, j, h, size, block, part = (table.column(c).to_numpy() for c in ("i", "j", "h", "n", "block", "component"))
         bits = table.column("bits").to_pylist()
         at, other, whole = [], [], []
@@ -266,7 +267,7 @@ def second_round(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[
 
 def joining(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that span the links across components in each group, found exactly; rows (tile, i, j, h, block, component, x) stand in order of tile, i, j, h."""
-    for table, starts, ends in _groups(batches, ("tile", "i", "j")):
+    for table, starts, ends in groups_of(batches, ("tile", "i", "j")):
         i, j, h, block, part = (table.column(c).to_numpy() for c in ("i", "j", "h", "block", "component"))
         column = table.column("x")
         low, high = [], []
@@ -288,29 +289,6 @@ def _pairs(left: list, right: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int], list[int]]]:
-    """Tables of whole groups of sorted rows, and where each group starts and ends."""
-    rest: pa.Table | None = None
-    for batch in _with_end(batches):
-        rows = pa.Table.from_batches([batch]) if batch is not None else None
-        table = pa.concat_tables([x for x in (rest, rows) if x is not None]) if rest is not None or rows is not None else None
-        if table is None or not len(table):
-            continue
-        keys = [table.column(c).to_numpy() for c in by]
-        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
-        ends = np.r_[starts[1:], len(table)]
-        # The last group may go on in the next batch.
-        done = len(starts) if batch is None else len(starts) - 1
-        rest = table.slice(int(starts[done])) if done < len(starts) else None
-        if done:
-            yield table, starts[:done].tolist(), ends[:done].tolist()
-
-
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3, similarity: tuple[int, int] = (90, 100), counted: bool = True) -> DataFrame:
     """key, n_shingles, component_id and, if `counted`, links for each row of `docs`.
 

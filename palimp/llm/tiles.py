@@ -16,43 +16,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimp.llm.durable import durable, joined
+
 BLOCK, QUERIES = 8192, 4096
 #: Tiles at least, so that small tables use several cores.
 SPREAD = 8
 
 
-def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
-    """df (id, vector array<double>) as blocks: place (0 to groups - 1), dim, ids, vectors (row-major doubles).
+def unique(rows: DataFrame, zero: bool) -> DataFrame:
+    """rows (id, x) without a second row of an id: of several the one whose vector comes first, component by component, counts; those that take no part don't."""
+    again = durable(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"))
+    n = again.count()
+    if not n:
+        return rows
+    part = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.size("x") > 0)
+    part = part if zero else part & F.exists("x", lambda v: v != 0)
+    one = joined(rows, again, "id", "left_semi", rows=n).where(part).groupBy("id").agg(F.min("x").alias("x"))
+    return joined(rows, again, "id", "left_anti", rows=n).unionByName(one)
+
+
+def vectors_of(b: pa.RecordBatch, zero: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix of doubles) of a batch's rows (id, x) that take part.
 
-    Rows with a null id, a null or empty vector, or a null, NaN or infinite component are left out, zero vectors too
-    unless `zero`; of rows that share an id and a block, the first stays.
+    Rows with a null id, a null or empty vector, or a null, NaN or infinite component don't, zero vectors too unless `zero`.
     """
+    col = b.column(1)
+    size = np.asarray(col.value_lengths().fill_null(0))
+    values = np.asarray(col.flatten().cast(pa.float64()).fill_null(np.nan))
+    ends = np.cumsum(size)
+    known = np.asarray(b.column(0).is_valid())
+    ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
+    for dim in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero((size == dim) & known)
+        x = values[(ends[rows] - dim)[:, None] + np.arange(dim)]
+        good = np.isfinite(x).all(1) & (zero | x.any(1))
+        yield dim, ids[rows[good]], x[good]
+
+
+def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
+    """df (id, x), ids unique, as blocks: place (0 to groups - 1), dim, ids, vectors (row-major doubles) of the rows that take part."""
 
     def packed(place: int, dim: int, ids: list[np.ndarray], x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        own, first = np.unique(np.concatenate(ids), return_index=True)
-        rows = np.concatenate(x)[first]
+        own, rows = np.concatenate(ids), np.concatenate(x)
         for a in range(0, len(own), block):
             part = slice(a, a + block)
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([dim], pa.int32()), pa.array([own[part].astype(np.int64).tobytes()], pa.binary()), pa.array([rows[part].tobytes()], pa.binary())], names=["place", "dim", "ids", "vectors"])
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([dim], pa.int32()), pa.array([own[part].tobytes()], pa.binary()), pa.array([rows[part].tobytes()], pa.binary())], names=["place", "dim", "ids", "vectors"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() % groups
         held: dict[int, tuple[list, list]] = {}
         for b in batches:
-            col = b.column(1)
-            size = np.asarray(col.value_lengths().fill_null(0))
-            flat = col.flatten()
-            values = np.asarray(flat.cast(pa.float64()).fill_null(np.nan))
-            ends = np.cumsum(size)
-            known = np.asarray(b.column(0).is_valid())
-            ids = np.asarray(b.column(0).fill_null(0))
-            for dim in np.unique(size[size > 0]).tolist():
-                rows = np.flatnonzero((size == dim) & known)
-                x = values[(ends[rows] - dim)[:, None] + np.arange(dim)]
-                good = np.isfinite(x).all(1) & (zero | x.any(1))
+            for dim, ids, x in vectors_of(b, zero):
                 mine = held.setdefault(dim, ([], []))
-                mine[0].append(ids[rows[good]])
-                mine[1].append(x[good])
+                mine[0].append(ids)
+                mine[1].append(x)
                 if sum(map(len, mine[0])) >= block:
                     yield from packed(place, dim, *held.pop(dim))
         for dim, mine in held.items():
@@ -62,13 +79,24 @@ def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
 
 
 def search(vectors: DataFrame, every: int, k: int, tile: Callable[[], Callable], *, key: str, vector: str, kind: str, zero: bool) -> DataFrame:
-    """query_id, rank, <key>, score (of type `kind`): the best k rows for each row whose key is divisible by `every`.
+    """query_id, rank, <key>, score (of type `kind`): the best k rows for each row whose key is divisible by `every`."""
+    rows = unique(vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x")), zero)
+    return ranked(pairs(rows, rows.where(F.col("id") % every == 0), k, tile, kind, zero), k, key)
+
+
+def ranked(pairs: DataFrame, k: int, key: str) -> DataFrame:
+    """The best k of pairs (query_id, id, score), which may repeat."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = pairs.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def pairs(rows: DataFrame, asked: DataFrame, k: int, tile: Callable[[], Callable], kind: str, zero: bool) -> DataFrame:
+    """(query_id, id, score): the best k of each tile for each query; rows and asked are (id, x), with unique ids.
 
     tile() is called once for each task and gives a function (query ids, query matrix, ids, matrix, k) -> (index of the
     query, id, score) arrays with up to k different ids for each query, never the query's own.
     """
-    rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x"))
-    asked = rows.where(F.col("id") % every == 0)
     n, n_asked = rows.count(), asked.count()
     groups, parts = max(SPREAD, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
     found = pack(rows, groups, BLOCK, zero).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -85,9 +113,7 @@ def search(vectors: DataFrame, every: int, k: int, tile: Callable[[], Callable],
                 who, other, score = best(q_ids, q, ids, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(other), pa.array(score, out_type)], names=["query_id", "id", "score"])
 
-    pairs = tiles.mapInArrow(run, f"query_id long, id long, score {kind}").groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return tiles.mapInArrow(run, f"query_id long, id long, score {kind}")
 
 
 def select(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -63,7 +63,8 @@ def top_k(vectors: DataFrame, *, every: int = 50, k: int = 5, key: str = "vec_id
     product of floor(256 * component), ties to the smaller key.
 
     Null vectors and those with a null or non-finite component take no part; zero vectors do. Vectors meet only those of
-    their own length. Rows that share a key count once; a query never finds its own key. An empty table gives an empty
+    their own length. Rows that share a key count once, with the vector that comes first
+    component by component; a query never finds its own key. An empty table gives an empty
     result; other columns are not read. Scores must fit 64 bits.
     """
     return tiles.search(vectors, every, k, tile, key=key, vector=vector, kind="long", zero=True)

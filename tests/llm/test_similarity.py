@@ -195,3 +195,78 @@ def test_forest_spans_and_is_small():
             assert near[x, y] and of[x] != of[y]
             of[of == of[y]] = of[x]
         assert ((of[:, None] == of[None]) == reach).all()
+
+
+def as_table(spark, x, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}), path)
+    return spark.read.parquet(path)
+
+
+def recall(rows, x, every):
+    x = x.astype(np.float32).astype(float)
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    parts = []
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        parts.append(len(got[q] & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    return np.mean(parts)
+
+
+@pytest.mark.parametrize("shape", ["isotropic", "clusters", "one long vector", "256 components"])
+def test_recall_at_size(spark, tmp_path, shape):
+    rng = np.random.default_rng(3)
+    n = 10_000 if shape.startswith("256") else 50_000
+    x = rng.normal(size=(n, 256 if shape.startswith("256") else 64))
+    if shape == "clusters":
+        x = rng.normal(size=(400, 64))[rng.integers(0, 400, n)] * 2 + x * 0.7
+    if shape == "one long vector":
+        x[7] *= 10
+    assert recall(ann.nearest(as_table(spark, x, tmp_path), every=1000).collect(), x, 1000) >= 0.9
+
+
+def test_candidates_come_from_probed_buckets_only(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(4000, 32))
+    table = as_table(spark, x, tmp_path)
+    full = recall(ann.nearest(table, every=100).collect(), x, 100)
+    monkeypatch.setattr(ann, "MOST_PROBES", 25)
+    assert full >= 0.9 > 0.6 > recall(ann.nearest(table, every=100, tables=2).collect(), x, 100)
+
+
+def test_farness_is_where_a_probe_reaches():
+    rng = np.random.default_rng(1)
+    family = ann.Family(8, 6, 3, 2.5, 4)
+    q, x = rng.normal(size=(40, 8)), rng.normal(size=(40, 8))
+    far = ann.farness(family, q, x)
+    own, borders = family.asked(q)
+    sets = ann.as_matrix(ann.sequence(6, 10**6), 6)
+    costs = sets @ np.array(ann.expected(6))
+    keys = family.cells(x) @ family.mark
+    for i in range(40):
+        hit = [costs[j] for t in range(3) for j in np.flatnonzero(own[i, t] @ family.mark + sets @ family.steps(borders)[i, t] == keys[i, t])]
+        assert far[i] == pytest.approx(min(hit, default=np.inf))
+
+
+def test_hot_bucket_is_split(spark, monkeypatch):
+    monkeypatch.setattr(ann, "GROUP_BYTES", 64 * 8 * 4)
+    x = np.random.default_rng(9).normal(size=(1500, 4))
+    x[500:1200] = x[500]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(rows).where("query_id = 500").orderBy("rank").collect()]
+    s = (x * x[500]).sum(1)
+    best = sorted((i for i in range(1500) if i != 500), key=lambda i: (-s[i], i))[:20]
+    assert len(set(got)) == 20 and len({v for v, _ in got} & set(best)) >= 18
+
+
+def test_repeated_ids_do_not_depend_on_partitions(spark):
+    rows = [(i % 40, [float((7 * i * j) % 11) - 5 for j in range(1, 5)]) for i in range(160)] + [(3, [0.0] * 4), (5, None), (5, [float("nan")] * 4)]
+    frames = [spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(p) for r, p in ((rows, 1), (rows[::-1], 1), (rows, 8))]
+    for operator in (lambda f: ann.nearest(f, every=10), lambda f: topk.top_k(f, every=10)):
+        results = [sorted(map(tuple, operator(f).collect())) for f in frames]
+        assert results[0] == results[1] == results[2] and results[0]
