@@ -3,7 +3,12 @@
 The classifier is a multinomial logistic regression on the presence of word unigrams and bigrams, trained here from the
 templates below: each is varied by leaving out words and by strange words around it, and sentences that speak of other
 licences train the unknown class. Its probabilities are calibrated by a temperature on variations held back from
-training, and so is the least probability that counts as known.
+training, and so is the least probability that counts as known; a paragraph that is likelier unknown than of any family
+is never claimed.
+
+A paragraph is a line, in windows of SPAN words where it is longer, or a line with those that follow it up to a blank
+one, at most LINES of them: texts that are wrapped hard are seen whole. A family is confirmed where the pairs of
+neighbouring words of one of its templates stand close together, so words that lie scattered confirm nothing.
 
 Scanning is a column expression over whole texts: no row leaves its place, nothing is shuffled or joined, and there is
 no Python on the executors. A word of the model's vocabulary must stand in a paragraph for its score to differ from the
@@ -22,26 +27,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Least part of a template's words (repeats counted once) that a paragraph must hold to confirm its family.
-SIMILAR = 0.6
+#: Least part of a template's pairs of neighbouring words that a paragraph must hold, within twice the template's length, to confirm its family.
+SIMILAR = 0.5
 #: Part of the held-back unknown variations that may pass as known.
 FALSE_KNOWN = 0.001
-#: What licences say, by family.
-TEMPLATES = {
-    "AGPL": ("licensed under the GNU Affero General Public License version 3", "released under the AGPL v3", "GNU Affero General Public License as published by the Free Software Foundation"),
-    "Apache-2.0": ("licensed under the Apache License Version 2.0", "released under the Apache License 2.0", "you may not use this file except in compliance with the License you may obtain a copy of the License at apache org licenses LICENSE-2.0", "unless required by applicable law or agreed to in writing software distributed under the License is distributed on an as is basis without warranties or conditions of any kind"),
-    "BSD": ("licensed under the BSD License", "released under the 3-clause BSD License", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
-    "CC-BY": ("licensed under CC BY 4.0", "this work is licensed under a Creative Commons Attribution 4.0 International License", "available under Creative Commons Attribution license"),
-    "CC-BY-NC": ("licensed under CC BY-NC 4.0", "this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "available under Creative Commons Attribution NonCommercial license"),
-    "CC-BY-ND": ("licensed under CC BY-ND 4.0", "this work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
-    "CC-BY-SA": ("licensed under CC BY-SA 4.0", "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "text is available under the Creative Commons Attribution ShareAlike license"),
-    "CC0": ("released under CC0 1.0", "CC0 1.0 Universal public domain dedication", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    "GPL": ("this work is licensed under the GNU General Public License version 3", "released under the GPL v3", "licensed under the GNU GPL version 2 or later", "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "ISC": ("licensed under the ISC License", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    "LGPL": ("licensed under the GNU Lesser General Public License version 2.1", "released under the LGPL v3", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    "MIT": ("released under the MIT License", "licensed under the MIT license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    "MPL": ("licensed under the Mozilla Public License version 2.0", "this source code form is subject to the terms of the Mozilla Public License"),
+#: Words of a window and how far the next one lies; lines that are joined at most.
+SPAN, STRIDE, LINES = 64, 32, 4
+#: What licences are called, by family; each name also stands behind "SPDX-License-Identifier:" if it is written as there.
+NAMES = {
+    "AGPL": ("GNU Affero General Public License version 3", "AGPL v3", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache-2.0"),
+    "Artistic": ("Artistic License 2.0", "Artistic-2.0"),
+    "BSD": ("BSD License", "3-clause BSD License", "BSD-2-Clause", "BSD-3-Clause"),
+    "BSL": ("Boost Software License Version 1.0", "BSL-1.0"),
+    "CC-BY": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "CC-BY-4.0"),
+    "CC-BY-NC": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial license", "CC-BY-NC-4.0"),
+    "CC-BY-ND": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+    "CC-BY-SA": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution ShareAlike license", "CC-BY-SA-4.0"),
+    "CC0": ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal public domain dedication"),
+    "EPL": ("Eclipse Public License 2.0", "Eclipse Public License version 1.0", "EPL-2.0"),
+    "EUPL": ("European Union Public Licence version 1.2", "EUPL-1.2"),
+    "GPL": ("GNU General Public License version 3", "GPL v3", "GNU GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "ISC": ("ISC License", "ISC"),
+    "LGPL": ("GNU Lesser General Public License version 2.1", "LGPL v3", "LGPL-2.1-only", "LGPL-3.0-or-later"),
+    "MIT": ("MIT License", "MIT"),
+    "MPL": ("Mozilla Public License version 2.0", "MPL-2.0"),
+    "Proprietary": (),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License", "Zlib"),
+}
+#: The words of the licences themselves and of their usual notices.
+TEXTS = {
+    "AGPL": ("GNU Affero General Public License as published by the Free Software Foundation", "you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    "Apache-2.0": ("you may not use this file except in compliance with the License you may obtain a copy of the License at apache org licenses LICENSE-2.0", "unless required by applicable law or agreed to in writing software distributed under the License is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    "Artistic": ("this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", "the artistic license the intent of this document is to state the conditions under which a package may be copied"),
+    "BSD": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    "BSL": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software",),
+    "CC-BY": ("this work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "CC-BY-NC": ("this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",),
+    "CC-BY-ND": ("this work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",),
+    "CC-BY-SA": ("this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "text is available under the Creative Commons Attribution ShareAlike license"),
+    "CC0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",),
+    "EPL": ("this program and the accompanying materials are made available under the terms of the Eclipse Public License which is available at eclipse org legal epl",),
+    "EUPL": ("licensed under the EUPL you may not use this work except in compliance with the licence",),
+    "GPL": ("this work is licensed under the GNU General Public License version 3", "you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License or at your option any later version", "you should have received a copy of the GNU General Public License along with this program"),
+    "ISC": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "LGPL": ("you can redistribute it and or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "you should have received a copy of the GNU Lesser General Public License along with this library"),
+    "MIT": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    "MPL": ("this source code form is subject to the terms of the Mozilla Public License", "if a copy of the MPL was not distributed with this file you can obtain one at mozilla org MPL 2.0"),
     "Proprietary": ("all rights reserved", "no part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher", "confidential and proprietary unauthorized copying of this file is strictly prohibited"),
+    "Unlicense": ("this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
+    "Zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+}
+#: Sentences that name a licence.
+SAYINGS = ("licensed under the {}", "released under the {}", "distributed under the terms of the {}", "available under {}")
+TEMPLATES = {
+    f: (*(say.format(n) for n in names for say in SAYINGS), *(f"SPDX-License-Identifier: {n}" for n in names if " " not in n), *TEXTS[f]) for f, names in NAMES.items()
 }
 #: Sentences that speak of other things in a licence's words.
 OTHERS = ("he lost his driver license on the way", "the restaurant needs a liquor license", "a license plate was found near the road", "the city issued a fishing license and a permit", "licensed nurses work in the public hospital", "a licensed electrician must check the work", "the club was released from the contract", "the film was released in the spring", "the new version of the story is longer", "the public library is open to any person", "the general said the troops may not move", "the foundation gave the school a free copy of the book", "software updates are distributed every month", "the terms of the agreement were published in the newspaper", "the apache people live in the west", "he studied at mit in the city", "a copy of the letter is in the file", "the source of the river is in the mountains", "the notice above the door", "rights of the workers are reserved for the court", "the work was done without warranties", "creative people work in common rooms", "this work is part of a series", "the conditions of the road", "the following list of names", "commons debate on the public budget", "free of charge for any visitor", "the document is subject to change", "international law and public order", "the author has all the time", "the form must be signed in writing")
@@ -54,6 +95,10 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def neighbours(words: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words)
+
+
 def grams(words: list[str]) -> set[str]:
     """Unigrams and bigrams that hold a word that isn't common."""
     pairs = (f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if not (a in COMMON and b in COMMON))
@@ -81,8 +126,8 @@ class Model:
 
 
 @cache
-def train(seed: int = 5, variations: int = 40, steps: int = 400, rate: float = 2.0) -> Model:
-    """Gradient descent in numpy on variations of the fixed sentences; a fourth is held back for calibration."""
+def train(seed: int = 5, each: int = 240, steps: int = 400, rate: float = 2.0) -> Model:
+    """Gradient descent in numpy on variations of the fixed sentences; a fourth is held back for calibration. Each family has about `each` of them."""
     rng = np.random.default_rng(seed)
     families = (*sorted(TEMPLATES), UNKNOWN)
     strange = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(400)]
@@ -90,12 +135,13 @@ def train(seed: int = 5, variations: int = 40, steps: int = 400, rate: float = 2
     column = {g: i for i, g in enumerate(known)}
     rows, goal = [], []
     for k, sentences in enumerate([*(TEMPLATES[f] for f in families[:-1]), OTHERS]):
+        variations = -(-(each if k < len(families) - 1 else 10 * each) // len(sentences))
         for s in sentences:
             words = tokens(s)
-            for v in range(variations if k < len(families) - 1 else variations * 2):
-                drop = 0.0 if v < 6 else 0.12
+            for v in range(variations):
+                drop = 0.0 if v < max(2, variations // 3) else 0.12
                 own = [w for w in words if rng.random() >= drop] or words
-                around = [str(rng.choice(sorted(COMMON) if rng.random() < 0.4 else strange)) for _ in range(int(rng.integers(0, 12)))]
+                around = [str(rng.choice(sorted(COMMON) if rng.random() < 0.4 else strange)) for _ in range(int(rng.integers(0, 12 if v % 2 else 50)))]
                 at = int(rng.integers(0, len(around) + 1))
                 rows.append([column[g] for g in grams([*around[:at], *own, *around[at:]]) if g in column])
                 goal.append(k)
@@ -130,48 +176,77 @@ def train(seed: int = 5, variations: int = 40, steps: int = 400, rate: float = 2
     heat = min(np.geomspace(0.05, 5, 60), key=lambda t: float(-np.log(soft(t)[np.arange(len(z)), y[held]] + 1e-12).mean()))
     unknown = y[held] == len(families) - 1
     best = soft(heat)[unknown][:, :-1].max(1)
-    least = max(0.5, float(np.quantile(best, 1 - FALSE_KNOWN)))
+    least = float(np.quantile(best, 1 - FALSE_KNOWN))
     weights = {g: [round(float(v), 6) for v in w[i]] for g, i in column.items() if w[i].any()}
     return Model(families, weights, [round(float(v), 6) for v in bias], round(float(heat), 6), round(least, 6))
 
 
+def windows(words: F.Column) -> F.Column:
+    """Runs of SPAN words at every STRIDE words; a shorter run is its own window."""
+    last = F.greatest(F.lit(0), F.ceil((F.size(words) - SPAN) / STRIDE).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * STRIDE + 1, F.lit(SPAN)))
+
+
 def scanned(text: str, model: Model, similar: float = SIMILAR):
-    """A column: array of (paragraph, family, probability, similarity, confirmed) of the paragraphs (lines) that a licence family claims."""
+    """A column: array of (paragraph, family, probability, similarity, confirmed), one for each line at which a licence family claims a paragraph."""
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
+    features_ = F.from_json(F.lit(json.dumps(sorted(model.weights))), "array<string>")
     bias = F.array(*(F.lit(v) for v in model.bias))
     families = F.array(*map(F.lit, model.families[:-1]))
-    templates = F.from_json(F.lit(json.dumps({f: [sorted(set(tokens(t))) for t in ts] for f, ts in TEMPLATES.items()})), "map<string,array<array<string>>>")
-    vocabulary, common = F.from_json(F.lit(json.dumps(model.words)), "array<string>"), F.array(*map(F.lit, sorted(COMMON)))
+    shapes = {f: [{"pairs": sorted(neighbours(tokens(t))), "reach": 2 * len(tokens(t))} for t in dict.fromkeys(ts)] for f, ts in TEMPLATES.items()}
+    templates = F.from_json(F.lit(json.dumps(shapes)), "map<string,array<struct<pairs:array<string>,reach:int>>>")
+    vocabulary = F.from_json(F.lit(json.dumps(model.words)), "array<string>")
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
-    split = F.transform(lines, lambda x, i: F.struct(i.alias("paragraph"), F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), "").alias("words")))
-    claimed = F.filter(split, lambda p: F.arrays_overlap(p["words"], vocabulary))
+    split = F.transform(lines, lambda x: F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), ""))
+    numbered = F.transform(split, lambda x, i: F.struct(i.alias("paragraph"), x.alias("words")))
+    claimed = F.filter(numbered, lambda p: F.arrays_overlap(p["words"], vocabulary))
 
     # Each step is a transformation of its own, so that what several later ones need is computed once.
+    def with_next(p):
+        following = F.slice(split, p["paragraph"] + 1, F.lit(LINES))
+        blank = F.array_position(F.transform(following, lambda w: F.size(w) == 0), F.lit(True))
+        joined = F.slice(F.flatten(F.slice(following, 1, F.when(blank > 0, blank.cast("int") - 1).otherwise(F.lit(LINES)))), 1, F.lit(SPAN))
+        return F.transform(F.concat(windows(p["words"]), F.array(joined)), lambda w: F.struct(p["paragraph"].alias("paragraph"), w.alias("words")))
+
     def features(p):
         words = p["words"]
         pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda x, y: F.concat_ws(" ", x, y))
-        found = F.filter(F.transform(F.array_distinct(F.concat(words, pairs)), lambda g: F.try_element_at(weights, g)), lambda v: v.isNotNull())
-        return F.struct(p["paragraph"].alias("paragraph"), words.alias("words"), F.aggregate(found, bias, lambda s, v: F.zip_with(s, v, lambda x, y: x + y)).alias("z"))
+        return F.struct(p["paragraph"].alias("paragraph"), F.when(F.size(pairs) > 0, pairs).otherwise(words).alias("pairs"), F.array_intersect(F.concat(words, pairs), features_).alias("found"))
+
+    def sums(p):
+        z = F.aggregate(p["found"], bias, lambda s, g: F.zip_with(s, F.try_element_at(weights, g), lambda x, y: x + y))
+        return F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), z.alias("z"))
 
     def highest(p):
         z = F.slice(p["z"], 1, len(model.families) - 1)
-        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), p["z"].alias("z"), F.array_max(z).alias("top"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), p["z"].alias("z"), F.array_max(z).alias("top"))
 
     def name(p):
         # Of all families the one with the highest score; its probability is its share of the exponentials.
         family = F.try_element_at(families, F.array_position(p["z"], p["top"]).cast("int"))
         rest = F.aggregate(p["z"], F.lit(0.0), lambda s, v: s + F.exp((v - p["top"]) / model.temperature))
-        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), family.alias("family"), (1 / rest).alias("probability"))
+        unknown = p["top"] <= F.element_at(p["z"], -1)
+        return F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), F.when(~unknown, family).alias("family"), (1 / rest).alias("probability"))
+
+    def alignment(pairs, template):
+        """The part of the template's pairs that stand within its reach, at the best place."""
+        placed = F.transform(pairs, lambda g, i: F.struct(i.alias("i"), g.alias("g")))
+        hits = F.filter(placed, lambda x: F.array_contains(template["pairs"], x["g"]))
+        near = F.transform(hits, lambda x: F.size(F.array_distinct(F.transform(F.filter(hits, lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + template["reach"])), lambda y: y["g"]))))
+        return F.coalesce(F.array_max(near), F.lit(0)) / F.size(template["pairs"])
 
     def compare(p):
-        near = F.array_max(F.transform(F.try_element_at(templates, p["family"]), lambda t: F.size(F.array_intersect(p["words"], t)) / F.size(t)))
+        near = F.array_max(F.transform(F.try_element_at(templates, p["family"]), lambda t: alignment(p["pairs"], t)))
         return F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), near.alias("similarity"))
 
     def confirm(p):
-        return F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), p["similarity"].alias("similarity"), (p["similarity"] >= similar).alias("confirmed"))
+        return F.struct((p["similarity"] >= similar).alias("confirmed"), p["probability"].alias("probability"), p["similarity"].alias("similarity"), p["paragraph"].alias("paragraph"), p["family"].alias("family"))
 
-    named = F.filter(F.transform(F.transform(F.transform(claimed, features), highest), name), lambda p: p["probability"] >= model.least)
-    return F.transform(F.transform(named, compare), confirm)
+    named = F.transform(F.transform(F.transform(F.transform(F.flatten(F.transform(claimed, with_next)), features), sums), highest), name)
+    judged = F.transform(F.transform(F.filter(named, lambda p: p["family"].isNotNull() & (p["probability"] >= model.least)), compare), confirm)
+    # Of the paragraphs that begin at a line the surest counts.
+    best = F.transform(F.array_distinct(F.transform(judged, lambda p: p["paragraph"])), lambda i: F.array_max(F.filter(judged, lambda p: p["paragraph"] == i)))
+    return F.transform(best, lambda p: F.struct(*(p[c].alias(c) for c in ("paragraph", "family", "probability", "similarity", "confirmed"))))
 
 
 def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -179,7 +254,7 @@ def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", kee
     probability; ties: the first) for each row.
 
     license is `unknown` where paragraphs are claimed but none is confirmed, and null where none is claimed, as for null
-    and empty texts. Paragraphs are lines; a text without line ends is one. Repeated rows are scanned each. Columns beside
+    and empty texts. `paragraph` is the line at which a paragraph begins. Repeated rows are scanned each. Columns beside
     `text` and `keep` are not read; an empty table gives an empty result.
     """
     model = model or train()
