@@ -98,7 +98,7 @@ WITH u AS (
 r AS (SELECT * FROM (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) t(rhost, rpath, rule, verdict)),
 f AS (
   SELECT u.*, (SELECT max_by(r, length(r.rule)) FROM r WHERE (u.host = rhost OR ends_with(u.host, '.' || rhost)) AND starts_with(u.path, rpath)) AS best,
-    regexp_matches(lower(u.host || u.path), '(^|[^a-z0-9])(spam[^a-z0-9]farm|casino|poker|porn|xxx|viagra|torrent|warez|free[^a-z0-9]download|click[^a-z0-9]here|ad[^a-z0-9]server|link[^a-z0-9]farm)([^a-z0-9]|$)') AS word
+    regexp_matches(lower(u.host || u.path), '(^|[^a-z0-9])(spam[^a-z0-9]farm|casino|poker|porn|xxx|viagra|torrent|warez|free[^a-z0-9]download|click[^a-z0-9]here|ad[^a-z0-9]server|link[^a-z0-9]farm|(OFFERS)[^a-z0-9](THINGS))([^a-z0-9]|$)') AS word
   FROM u)
-SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN word THEN 'block' ELSE 'allow' END) AS verdict FROM f""",
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN word THEN 'block' ELSE 'allow' END) AS verdict FROM f""".replace("OFFERS", "|".join(url_filter.OFFERS)).replace("THINGS", "|".join(url_filter.THINGS)),
 }

@@ -3,10 +3,13 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from palimp.llm import langid, licenses, mixing, quality, url_filter
@@ -216,7 +219,7 @@ def test_foreign_texts_and_gibberish_are_rejected(spark, docs):
         assert np.mean([r["rejected"] for r in langid.identify(clean, model).collect()]) < 0.02
 
 
-URLS = [None, "", "no sign", "http://a.net", "http://a.net/", "HTTP://X.EXAMPLE.NET/en/1?q#f", "http://example.net/de/", "http://badexample.net/en/", "https://example.com/de/x", "https://www.example.com/DE/x", "https://u:p@h.org/fr/", "https://h.org:80/fr/", "https://org/fr/1", "x://y?z/de/", "http://spam-farm.io/", "http://spamfarm.io/", "http://x.io/free_download", "http://x.io/?casino", "http://x.io/casino#a", "http://CASINO.example.net/en/x", "a://b://c/d", "http://example.com/de", "http://ÄÖ.Net/Ä", "http://net/"]
+URLS = [None, "", "no sign", "http://a.net", "http://a.net/", "HTTP://X.EXAMPLE.NET/en/1?q#f", "http://example.net/de/", "http://badexample.net/en/", "https://example.com/de/x", "https://www.example.com/DE/x", "https://u:p@h.org/fr/", "https://h.org:80/fr/", "https://org/fr/1", "x://y?z/de/", "http://spam-farm.io/", "http://spamfarm.io/", "http://x.io/free_download", "http://x.io/?casino", "http://x.io/casino#a", "http://CASINO.example.net/en/x", "a://b://c/d", "http://example.com/de", "http://ÄÖ.Net/Ä", "http://net/", "http://a.org/ca\u017fino", "http://a.org/\u212acasino", "http://a.org/Buy_Pills", "http://a.org/buy/pills/x", "http://a.org/buypills"]
 
 
 def brute_url(url):
@@ -224,8 +227,9 @@ def brute_url(url):
     fit = [(n, a) for n, a in url_filter.SITES if (h := n.partition("/")[0]) and (host == h or host.endswith("." + h)) and path.startswith("/" + n.partition("/")[2])]
     if fit:
         return host, path, *max(fit, key=lambda x: len(x[0]))
-    words = url_filter.re.split(r"[^a-z0-9]", (host + path).lower())
-    hit = any(words[i : i + len(t)] == list(t) for _, t in url_filter.WORDS for i in range(len(words)))
+    words = url_filter.re.split(r"[^a-z0-9]", (host + path).encode().lower().decode())
+    rules = [t for _, t in url_filter.WORDS] + [(a, b) for a in url_filter.OFFERS for b in url_filter.THINGS]
+    hit = any(words[i : i + len(t)] == list(t) for t in rules for i in range(len(words)))
     return host, path, None, "block" if hit else "allow"
 
 
@@ -237,6 +241,24 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+PATTERNS = [("^(?:[^/]*\\.)?net/", {"net"}), ("(?<![A-Za-z0-9])free[^A-Za-z0-9]down(?![A-Za-z0-9])", {"free", "down"}), ("casino", set()), ("\\bAds?\\b", set()), ("\\bads\\b/(x|yy)/", {"ads"}), ("/(?:one)/two(?:/three)?/", {"one"}), ("-a+-", set()), ("/x/.*/y/", {"x", "y"}), ("/p[0-9]/", set()), ("_q_", {"q"}), ("(/r/){2,3}", set()), ("^z$", {"z"}), ("/a\\db-c-", {"c"}), ("", set())]
+
+
+def test_tokens_are_derived_from_patterns():
+    for pattern, tokens in PATTERNS:
+        assert set(url_filter.Rule("r", "block", pattern).tokens) == tokens, pattern
+    assert len(url_filter.RULES) > 1000 and all(r.tokens for r in url_filter.RULES)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "1", "/", "-", ".", "_", "ab", "\u017f", "\u212a", "[^/]", "\\d", "(?:a|-)", "b?", "(?:/a)*", "-+", "\\b", "(?![A-Za-z0-9])", "(?<![A-Za-z0-9])", "^", "$", "[a-b]", "[^A-Za-z0-9]", "(?:-a)", "(?:a-){1,2}", "."]), min_size=1, max_size=7), st.text(alphabet="ab1A/-._\u017f\u212a\n", max_size=14))
+def test_index_loses_no_match(parts, url):
+    for flags in ("", "(?i)"):
+        rule = url_filter.Rule("r", "block", flags + "".join(parts))
+        if re.compile(rule.pattern, re.ASCII).search(url):
+            assert set(rule.tokens) <= url_filter.held(url, ""), rule
+
+
 def test_rules_hang_on_their_rarest_token():
     rules = (url_filter.word("a", "block", "free", "download"), url_filter.site("example.net/en/", "allow"))
     by, always = url_filter.index(rules, {"free": 9, "download": 2, "example": 9, "net": 8, "en": 1})
