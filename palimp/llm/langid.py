@@ -120,8 +120,8 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
         buf = np.frombuffer(b" " + raw + b" ", np.uint8)
         return counts(buckets(buf, bits), 0, len(buf), size)
 
-    # Three cuts of a text at most; rows that stay unused are never touched.
-    x, y, held, held_y = np.zeros((3 * len(texts), size), np.float32), [], [], []
+    # Sparse rows: the buckets of a cut and their parts of it.
+    x, y, held, held_y = [], [], [], []
     seen = np.zeros((size, len(languages)))
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         raw = text.encode()
@@ -138,31 +138,32 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
         for c in cuts:
             v = vector(c)
             if v.sum():
-                x[len(y)] = v / v.sum()
+                used = np.flatnonzero(v)
+                x.append((used, (v[used] / v.sum()).astype(np.float32)))
                 y.append(label[lang])
     emb = rng.normal(0, 0.1, (size, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     w += rng.normal(0, 0.1, w.shape).astype(np.float32)
     if y:
-        x, y = x[: len(y)], np.array(y)
+        y = np.array(y)
         for epoch in range(epochs):
             step = np.float32(rate * (1 - epoch / epochs))
             order = rng.permutation(len(x))
             for lo in range(0, len(order), 64):
                 part = order[lo : lo + 64]
-                xb = x[part]
-                h = xb @ emb
+                used, at = np.unique(np.concatenate([x[i][0] for i in part]), return_inverse=True)
+                xb = np.zeros((len(part), len(used)), np.float32)
+                xb[np.repeat(np.arange(len(part)), [len(x[i][0]) for i in part]), at] = np.concatenate([x[i][1] for i in part])
+                h = xb @ emb[used]
                 z = h @ w + bias
                 g = np.exp(z - z.max(1, keepdims=True))
                 g /= g.sum(1, keepdims=True)
                 g[np.arange(len(part)), y[part]] -= 1
                 g /= len(part)
-                used = np.flatnonzero(xb.any(0))
-                grad = xb[:, used].T @ (g @ w.T)
+                grad = xb.T @ (g @ w.T)
                 w -= step * (h.T @ g)
                 bias -= step * g.sum(0)
                 emb[used] -= step * 20 * grad
-    x = None
     familiar = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * size) * size)
     model = Model(languages, (emb @ w).astype(np.float64), bias.astype(np.float64), 1.0, 0.0, familiar)
     calibrate(model, held, held_y, vector, rng)
@@ -236,7 +237,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     odds = F.create_map(*(F.lit(x) for r in found for x in (r["l"], min(1.0, 1.2 * each / r["count"]))))
     draw = F.xxhash64("k", F.lit("langid"))
     drawn = known.where(F.pmod(draw, F.lit(1 << 30)) < F.coalesce(odds[F.col("l")], F.lit(0.0)) * F.lit(float(1 << 30)))
-    sample = drawn.select(draw.alias("d"), "l", "t").limit(3 * max(rows, 8 * len(found))).collect()
+    # The first of the order, if more were drawn than expected: the sample doesn't depend on where rows lie.
+    sample = drawn.select(draw.alias("d"), "l", "t").orderBy("d", "l", "t").limit(3 * max(rows, 8 * len(found))).collect()
     sample.sort(key=lambda r: (r["d"], r["l"], r["t"]))
     return train([r["t"] for r in sample], [r["l"] for r in sample], seed=seed)
 

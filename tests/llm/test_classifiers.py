@@ -108,6 +108,42 @@ def test_quality_of_odd_rows_and_posteriors(spark):
     assert p["big"] < 0.1 < 0.15 < p["tiny"] < mean < 0.9 < p["good"]
 
 
+def strength_of(rows, mean_of, mean):
+    """Prior strength by the method of moments, group by group; rows: name to (n, sum)."""
+    n = sum(k for k, _ in rows.values())
+    spread = sum(k * (t / k - mean_of(g)) ** 2 for g, (k, t) in rows.items())
+    noise = sum(mean_of(g) * (1 - mean_of(g)) for g in rows)
+    between = max(0.0, spread - noise) / (n - sum(k * k for k, _ in rows.values()) / n)
+    return min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 1e-12 else 1e6
+
+
+def test_scores_are_the_posteriors_by_hand(spark):
+    rng = random.Random(4)
+    rows = [(f"h{i % 4}" if i % 9 else None, f"p{i % 8}" if i % 7 else None, rng.gauss((i % 4) - 1, 1.5)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "__host string, __path string, __logit double")
+    groups, mean = quality.posteriors(frame)
+    p = [1 / (1 + math.exp(-z)) for *_, z in rows]
+    total = sum(p) / len(p)
+    assert mean == pytest.approx(total)
+    paths, hosts = {}, {}
+    for (h, q, _), v in zip(rows, p, strict=True):
+        for table, name in ((paths, (h, q)), (hosts, h)):
+            n, s = table.get(name, (0, 0.0))
+            table[name] = (n + 1, s + v)
+    k_host = strength_of(hosts, lambda g: total, total)
+    host_mean = {h: (s + k_host * total) / (n + k_host) for h, (n, s) in hosts.items()}
+    k_path = strength_of(paths, lambda g: host_mean[g[0]], total)
+    for r in groups.collect():
+        n, s = paths[r["__host"], r["__path"]]
+        assert r["path_mean"] == pytest.approx((s + k_path * host_mean[r["__host"]]) / (n + k_path), rel=1e-9)
+    wanted = []
+    for (h, q, z), v in zip(rows, p, strict=True):
+        n, s = paths[h, q]
+        others = min(max((s - v + k_path * host_mean[h]) / (n - 1 + k_path), 1e-3), 1 - 1e-3)
+        wanted.append(1 / (1 + math.exp(-(z + math.log(others / (1 - others)) - math.log(total / (1 - total))))))
+    assert sorted(r["score"] for r in quality.combine(frame, groups, mean).collect()) == pytest.approx(sorted(wanted), rel=1e-9)
+
+
 def balance(sizes):
     left, free, out = 1.5 * sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or "")), {}
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(free)}
@@ -204,6 +240,43 @@ def test_language_of_odd_rows(spark, docs):
     assert {r["lang_pred"] for r in langid.identify(documents(spark, ODD), none).collect()} == {"und"}
 
 
+def brute_buckets(text):
+    """Subword by subword, with whole numbers."""
+    raw = [b" " + (text or "").encode() + b" "][0]
+    kind = [32 if b < 128 and not chr(b).isalpha() else ord(chr(b).lower()) if b < 128 else b for b in raw]
+    out = collections.Counter()
+    for n in langid.ORDERS:
+        for i in range(len(kind) - n + 1):
+            run = kind[i : i + n]
+            if 32 in run[1:-1] or (n == 2 and run == [32, 32]):
+                continue
+            total = sum(int(langid.tv.BYTE[b]) * (int(langid.tv.P) + 2 * k) for k, b in enumerate(run)) % 2**64
+            out[(total * 0xD6E8FEB86659FD93 % 2**64) >> (64 - langid.BITS)] += 1
+    return out
+
+
+def test_language_is_the_averaged_embedding(spark, docs):
+    model = langid.fit(docs)
+    some = docs.where("length(text) < 3000").limit(60)
+    got = {r["doc_id"]: r for r in langid.identify(some, model, keep=("doc_id", "text")).collect()}
+    for r in got.values():
+        n = brute_buckets(r["text"])
+        total = sum(n.values())
+        z = model.bias + (sum((k * model.scores[b] for b, k in n.items()), np.zeros(len(model.bias))) / total if total else 0)
+        p = np.exp((z - z.max()) / model.temperature)
+        p /= p.sum()
+        if r["lang_pred"] != "und":
+            assert r["lang_pred"] == model.languages[int(p.argmax())] and r["score"] == pytest.approx(p.max(), rel=1e-6)
+            known = sum(k * model.familiar[b, model.languages.index(r["lang_pred"])] for b, k in n.items())
+            familiar = (known + langid.PRIOR * model.usual) / (total + langid.PRIOR)
+            assert r["rejected"] == (r["score"] < model.least or familiar < model.least_familiar)
+
+
+def test_training_does_not_depend_on_partitions(spark, docs):
+    one, other = langid.fit(docs.coalesce(1)), langid.fit(docs.repartition(7))
+    assert np.array_equal(one.scores, other.scores) and one.least_familiar == other.least_familiar
+
+
 FOREIGN = ["La mattina il sole sorgeva lentamente sopra le colline mentre i contadini andavano nei campi a lavorare", "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film o dawnych czasach", "Eilen illalla menimme elokuviin katsomaan uutta elokuvaa vanhoista ajoista", "Вчера вечером мы пошли в кино посмотреть новый фильм о старых временах", "昨天晚上我们去电影院看了一部关于过去的新电影"]
 JUNK = ['for (int i = 0; i < n; ++i) { printf("%d\\n", buf[i]); free(ptr); }', "deadbeef 00ff12ab c0ffee12 9a8b7c6d 1f2e3d4c", "qzxv wkjq pfxz bvnq zzkw xjqv mtrk", "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(3000))]
 
