@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from palimp.llm import textvec as tv
 from palimp.llm.components import components
-from palimp.llm.durable import durable, few_at_once, joined
+from palimp.llm.durable import durable, few_at_once, joined, release
 from palimp.llm.grouped import groups as groups_of
 
 BLOCK, GROWTH = 256, 1.5
@@ -347,10 +347,12 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     dealt = sets.where(F.col("tiles").isNotNull()).select(F.explode("tiles").alias("tile"), "h")
     shared = durable(dealt.groupBy("tile").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows")).where("lo <> hi"))
     twos = shared.where("rows = 2").select(F.xxhash64(F.lit(2).cast("long"), F.col("lo").bitwiseXOR(F.col("hi")), F.xxhash64("lo").bitwiseXOR(F.xxhash64("hi"))).alias("tile"), F.lit(2).cast("long").alias("size"), F.explode(F.array("lo", "hi")).alias("h"))
+    release(docs.sparkSession)
     large = durable(joined(dealt, shared.where("rows > 2").select("tile"), "tile", most_rows=MOST_IDS).distinct())
     # Tiles with the same sets are one.
     marks = large.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.col("h")).alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
     larger = joined(large, marks, "tile").select(F.xxhash64("size", "x", "y").alias("tile"), "size", "h")
+    release(docs.sparkSession)
     members = durable(twos.unionByName(larger).distinct().join(info, "h"))
 
     parts = max(8, -(-members.count() // ROWS))
