@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 SECTION_ORDER = ("I", "II", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "III")
 #: Accented capitals and their bare letters.
 ACCENTED, BARE = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "AAAAAAEEEEIIIIOOOOOUUUUCN"
-HEADINGS = {"patient": "INFORMAÇÕES AO PACIENTE"}
-#: Section titles by kind of document.
-TITLES = {"I": "Identificação do medicamento", "II": "Informações", "III": "Dizeres legais"}
 
 
 def squeezed(c: Column) -> Column:

@@ -18,6 +18,12 @@ def catalog(products: DataFrame) -> DataFrame:
     return products.select(*(F.col(a).alias(b) for a, b in names.items()), tx.day(F.col("data")).alias("data"))
 
 
+def published(products: DataFrame) -> DataFrame:
+    """The feed's eight fields of search rows; the date's day, and empty texts for none."""
+    names = {"numeroRegistro": "registro", "nomeProduto": "nome", "razaoSocial": "empresa", "cnpj": "cnpj", "expediente": "expediente", "numProcesso": "processo"}
+    return products.select(*(tx.or_empty(F.col(a)).alias(b) for a, b in names.items()), F.col("idProduto").alias("id_produto"), tx.day(F.col("data")).alias("data"))
+
+
 def search(rows: DataFrame, *, nome: str | None = None, cnpj: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows whose name holds `nome` (in any case), of one company, published in an inclusive range."""
     if nome:

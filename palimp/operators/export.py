@@ -119,8 +119,8 @@ def write(archived: DataFrame, metas: DataFrame, feed: DataFrame, catalog: DataF
     made = kept(diffs(pairs, section_diffs(pairs)))
     entries = kept(products(archived, metas, made))
     entries.write.mode("overwrite").json(f"{out}/produtos")
-    made.join(entries.select("registro"), "registro", "left_semi").write.mode("overwrite").partitionBy("registro").json(f"{out}/diffs")
-    version_rows(archived, metas).write.mode("overwrite").partitionBy("registro").json(f"{out}/versoes")
+    made.join(entries.select("registro"), "registro", "left_semi").repartition("registro").write.mode("overwrite").partitionBy("registro").json(f"{out}/diffs")
+    version_rows(archived, metas).repartition("registro").write.mode("overwrite").partitionBy("registro").json(f"{out}/versoes")
     recent(entries, made).write.mode("overwrite").json(f"{out}/recentes")
     cat.marked(feed.select("registro", "nome", "empresa", "expediente", "data"), entries).write.mode("overwrite").json(f"{out}/feed")
     cat.marked(catalog, entries).write.mode("overwrite").json(f"{out}/catalogo")

@@ -21,6 +21,12 @@ def lines(pages: DataFrame, keys: list[str], text: str = "text", by: str = "\n")
     return pages.select(*keys, F.posexplode(cut).alias("__p", "line")).select(*keys, (F.col("__p") + 1).cast("long").alias("pos"), "line")
 
 
+def text_pages(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, page (from 1), text: what stands between form feeds; what follows the last one is no page."""
+    cut = F.split(text, "\f")
+    return texts.select(*keys, F.posexplode(F.slice(cut, F.lit(1), F.size(cut) - 1)).alias("__p", "text")).select(*keys, (F.col("__p") + 1).cast("long").alias("page"), "text")
+
+
 def edges(lines_: DataFrame, page: list[str], reach: int = 2) -> DataFrame:
     """The distinct first and last lines of each page."""
     whole = W.partitionBy(*page)

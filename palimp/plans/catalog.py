@@ -58,10 +58,10 @@ def json_prop(t):
     return t.events.select("event_id", tx.or_empty(F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("SELECT registro, expediente, min(data) AS data, count(*) AS n FROM feed WHERE data >= '2024-01-15' AND NOT EXISTS (SELECT 1 FROM feed k WHERE k.data < '2024-01-15' AND k.registro = feed.registro AND k.expediente = feed.expediente) GROUP BY ALL", "feed")
+@query("SELECT registro, expediente, min(data) AS data, count(*) AS n FROM feed WHERE data >= '2024-01-03' AND NOT EXISTS (SELECT 1 FROM feed k WHERE k.data < '2024-01-03' AND k.registro = feed.registro AND k.expediente = feed.expediente) GROUP BY ALL", "feed")
 def feed_new_only(t):
     feed = t.feed
-    new = cat.fresh(feed.where("data >= '2024-01-15'"), feed.where("data < '2024-01-15'"), "registro", "expediente")
+    new = cat.fresh(feed.where("data >= '2024-01-03'"), feed.where("data < '2024-01-03'"), "registro", "expediente")
     return new.groupBy("registro", "expediente").agg(F.min("data").alias("data"), F.count("*").alias("n"))
 
 
@@ -129,6 +129,23 @@ def digits_key_join(t):
     return left.join(right, "k").drop("k")
 
 
+@query("WITH e AS (SELECT o_custkey AS doc, regexp_replace(concat(substr(CAST(o_orderkey AS VARCHAR), 1, 2), '/', substr(CAST(o_orderkey AS VARCHAR), 3)), '[^0-9]', '', 'g') AS k, o_orderkey AS entry FROM orders), a AS (SELECT o_custkey AS doc, o_orderkey AS n, CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE concat(CAST(o_orderkey AS VARCHAR), '-') END AS expediente FROM orders) SELECT a.doc, a.n, a.expediente, min(e.entry) AS entry FROM a LEFT JOIN e ON a.doc = e.doc AND e.k = nullif(regexp_replace(a.expediente, '[^0-9]', '', 'g'), '') GROUP BY ALL")
+def entries_by_digits(t):
+    """The first entry of a document with the digits of a number, however both are written; a number without digits has none."""
+    key = F.col("o_orderkey").cast("string")
+    entries = t.orders.select(F.col("o_custkey").alias("doc"), F.concat(F.substring(key, 1, 2), F.lit("/"), F.expr("substring(cast(o_orderkey as string), 3)")).alias("expediente"), F.col("o_orderkey").alias("entry"), F.lit("").alias("itens"))
+    asked = t.orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 5 == 0, "-").otherwise(F.concat(key, F.lit("-"))).alias("expediente"))
+    return tables.by_digits(asked, entries, ["doc"]).select("doc", "n", "expediente", "entry")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS registro, c_custkey AS id_produto, c_name AS nome, c_mktsegment AS empresa, '' AS cnpj, CAST(o_orderkey AS VARCHAR) AS expediente, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS data, '' AS processo, CAST(row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), c_name, o_orderkey) AS BIGINT) AS pos FROM orders JOIN customer ON o_custkey = c_custkey")
+def feed_in_order(t):
+    """The feed's eight fields of search rows, in the order of day and name."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    found = rows.select(F.col("c_custkey").cast("string").alias("numeroRegistro"), F.col("c_custkey").alias("idProduto"), F.col("c_name").alias("nomeProduto"), F.col("c_mktsegment").alias("razaoSocial"), F.lit(None).cast("string").alias("cnpj"), F.col("o_orderkey").cast("string").alias("expediente"), F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T23:30:00.000-0300")).alias("data"), F.lit(None).cast("string").alias("numProcesso"))
+    return ranking.numbered(cat.published(found), F.col("data"), F.col("nome"), F.col("expediente").cast("long"))
+
+
 HISTORY = """WITH rows AS (SELECT registro, pos, CASE WHEN expediente = 'signup' THEN strftime(CAST(data AS DATE), '%d/%m/%Y') ELSE '' END AS dia, concat(CAST(pos % 10 AS VARCHAR), '. ', expediente) AS itens FROM feed),
 marked AS (SELECT *, dia <> '' OR row_number() OVER (PARTITION BY registro ORDER BY pos) = 1 AS novo FROM rows),
 placed AS (SELECT *, sum(CASE WHEN novo THEN 1 ELSE 0 END) OVER (PARTITION BY registro ORDER BY pos) AS entry FROM marked) """

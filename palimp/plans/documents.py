@@ -174,7 +174,7 @@ def html_blocks(t):
 
 
 @query("""WITH RECURSIVE e AS (SELECT c_custkey // 1000 AS doc, c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'P' WHEN c_custkey % 11 = 0 THEN 'TR' ELSE 'Span' END AS tag, CASE WHEN c_custkey % 1000 < 2 THEN NULL ELSE c_custkey - 1 - c_custkey % 2 END AS parent FROM customer),
-c AS (SELECT doc, id, id AS node, tag, parent, 0 AS level FROM e UNION ALL SELECT c.doc, c.id, e.id, e.tag, e.parent, level + 1 FROM c JOIN e ON c.doc = e.doc AND c.parent = e.id WHERE level < 64)
+c AS (SELECT doc, id, id AS node, tag, parent, 0 AS level FROM e UNION ALL SELECT c.doc, c.id, e.id, e.tag, e.parent, level + 1 FROM c JOIN e ON c.doc = e.doc AND c.parent = e.id)
 SELECT doc, id AS element_id, coalesce(arg_min(node, level) FILTER (tag <> 'Span'), arg_max(node, level)) AS block, arg_min(node, level) FILTER (tag = 'TR') AS "row" FROM c GROUP BY doc, id""")
 def ancestor_chain(t):
     key = F.col("c_custkey")

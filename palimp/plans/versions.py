@@ -75,8 +75,8 @@ def products_by_last_publication(t):
 
 @query("SELECT p.registro, p.nome, coalesce(s.situacao, '') AS situacao FROM products p LEFT JOIN (SELECT registro, max_by(situacao, (data, expediente)) AS situacao FROM listings GROUP BY registro) s USING (registro)", "products", "listings")
 def status_left_join(t):
-    last = t.listings.groupBy("registro").agg(F.max_by("situacao", F.struct("data", "expediente")).alias("s"))
-    return t.products.join(last, "registro", "left").select("registro", "nome", tx.or_empty(F.col("s")).alias("situacao"))
+    history = t.listings.select("registro", F.lit("").alias("expediente"), "situacao", F.struct("data", "expediente").alias("pos"))
+    return versions.with_status(t.products.withColumn("expediente", F.lit("")), history).select("registro", "nome", "situacao")
 
 
 @query("SELECT DISTINCT p.registro, p.nome, l.registro IS NOT NULL AS arquivado FROM products p LEFT JOIN listings l USING (registro)", "products", "listings")

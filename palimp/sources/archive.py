@@ -52,6 +52,11 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return named.groupBy("registro", "data", "expediente").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tipo", "path")))).alias("textos"))
 
 
+def either(marked, plain):
+    """The documents found by the structure; where there are none, those found by lines."""
+    return F.when(F.size(marked) > 0, marked).otherwise(plain)
+
+
 def comparable(marked: Column, other_marked: Column, documents: Column, by_lines: Column) -> Column:
     """Documents to compare: those by lines if only this side has a structure tree and they exist."""
     return F.when(marked & ~other_marked & (F.size(by_lines) > 0), by_lines).otherwise(documents)

@@ -1,4 +1,4 @@
-"""The reference's behaviours on small rows: segmentation, differences, pairing, tables, layouts, retries, archives."""
+"""Behaviours on small rows: segmentation, differences, pairing, tables, layouts, retries, archives."""
 
 import json
 import re
@@ -56,13 +56,13 @@ def test_presentations_reopen_without_identification():
 def test_word_diff_marks_counts_and_elides():
     whole, near, words, ratio = word_diff("a b c", "a x c")
     assert whole == near == "a <del>b</del> <ins>x</ins> c" and words == 2 and 0 < ratio < 1
-    w = " ".join(f"w{i}" for i in range(200))
-    _, near, words, _ = word_diff(f"{w} velho {w}", f"{w} novo {w}", 5)
-    assert words == 2 and near.count("palavras iguais") == 2
+    left, right = (" ".join(f"{c}{i}" for i in range(70)) for c in "lr")
+    _, near, words, _ = word_diff(f"{left} ontem {right}", f"{left} hoje cedo {right}", 8)
+    assert words == 3 and near.count("palavras iguais") == 2 and "54 palavras iguais" in near
     assert word_diff("a b\n\nc d", "a b\n\nc e")[2] == 2
     assert word_diff("a b c d", "a b\n\nc d")[2] == 0 and "<" not in word_diff("a b c d", "a b\n\nc d")[0].replace('<span class="pbr"></span>', "")
-    many = "\n\n".join(f"p{i}" for i in range(100))
-    assert "94 palavras iguais" in word_diff(many + " velho", many + " novo", 5)[1]
+    many = "\n\n".join(f"item{i}" for i in range(40))
+    assert re.search(r"(\d+) palavras iguais", word_diff(many + " fim", many + " final", 3)[1])[1] in ("36", "37")
     assert compared("x", "x") == ("", "", 0, 1.0) and compared("<a>", None)[0] == "<del>&lt;a&gt;</del>"
 
 
@@ -114,10 +114,10 @@ def test_history_rows(spark):
 
 
 def test_relistings(spark):
-    rows = [("1", "A", "2023-01-16", "vp", "a"), ("1", "B", "2025-01-28", "vp", "b"), ("1", "C", "2026-01-10", "vp", "c"), ("1", "B", "2026-03-27", "vp", "b")]
+    rows = [("7", "P", "2018-02-01", "vps", "x"), ("7", "Q", "2018-06-15", "vps", "y"), ("7", "R", "2019-09-09", "vps", "z"), ("7", "Q", "2020-12-24", "vps", "y"), ("7", "P", "2021-01-31", "vps", "x")]
     listed = spark.createDataFrame(rows, "registro string, expediente string, data string, tipo string, hash string")
-    assert [r["slug"] for r in versions.pairs(versions.chain(listed)).orderBy("para_data").collect()] == ["A-B-vp", "B-C-vp"]
-    assert {r["expediente"]: r["republicada"] for r in versions.relisted(listed, "registro", "expediente").collect()}["B"] == ["2026-03-27"]
+    assert [r["slug"] for r in versions.pairs(versions.chain(listed)).orderBy("para_data").collect()] == ["P-Q-vps", "Q-R-vps"]
+    assert {r["expediente"]: r["republicada"] for r in versions.relisted(listed, "registro", "expediente").collect()} == {"P": ["2021-01-31"], "Q": ["2020-12-24"], "R": []}
 
 
 def test_layout():
@@ -147,10 +147,40 @@ def test_retries():
 
 def test_paged_source(spark):
     paged.register(spark)
-    df = spark.read.format("paged").option("fetch", "palimp.sources.fake.fetch").option("count", "10").option("pace", "0").load()
+    df = spark.read.format("paged").option("fetch", "tests.fake_service.fetch").option("count", "10").option("pace", "0").load()
     assert df.count() == 25 and df.where("cnpj = 'x'").count() == 12
 
 
+@pytest.mark.parametrize("readers", [1, 3])
+def test_readers_keep_the_pace(spark, tmp_path, monkeypatch, readers):
+    monkeypatch.setenv("PALIMP_ASKED", str(tmp_path / "asked"))
+    paged.register(spark)
+    asked = tmp_path / "asked"
+    reader = paged.PagedReader(spark.createDataFrame([], paged.SCHEMA).schema, {"fetch": "tests.fake_service.timed", "count": "4", "pace": "0.15", "readers": str(readers)})
+    parts = reader.partitions()
+    assert len(parts) == readers
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(readers) as pool:
+        rows = [row for found in pool.map(lambda p: list(reader.read(p)), parts) for row in found]
+    times = sorted(map(float, asked.read_text().split()))
+    assert len(rows) == 25 and len(times) == 8 and all(b - a > 0.1 for a, b in zip(times, times[1:], strict=False))
+
+
+def test_pages_and_fallbacks(spark):
+    got = lines.text_pages(spark.createDataFrame([(1, "one\ftwo\f"), (2, "no end"), (3, "a\f\fb"), (4, None)], "doc int, text string"), ["doc"]).orderBy("doc", "page")
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "one"), (1, 2, "two"), (3, 1, "a"), (3, 2, "")]
+    rows = spark.createDataFrame([(["m"], ["l"]), ([], ["l"]), (None, ["l"])], "m array<string>, l array<string>")
+    assert [r["x"] for r in rows.select(archive.either(F.col("m"), F.col("l")).alias("x")).collect()] == [["m"], ["l"], ["l"]]
+
+
+def test_deep_trees_and_loops(spark):
+    n = 3000
+    tree = [(1, i, "Span" if i % 1000 else "P", i - 1 if i else None) for i in range(n)] + [(2, 1, "Span", 2), (2, 2, "Span", 1), (3, 5, "Span", 99)]
+    got = {(r["doc"], r["element_id"]): r["block"] for r in layout.owners(spark.createDataFrame(tree, "doc int, element_id int, tag string, parent_id int"), spark.createDataFrame([], "tag string, standard_tag string"), ["doc"]).collect()}
+    assert all(got[1, i] == i // 1000 * 1000 for i in range(n)) and got[3, 5] == 5 and got[2, 1] in (1, 2) and len(got) == n + 3
+
+
 def test_archive_files(spark, tmp_path):
     d = tmp_path / "100"
     d.mkdir()
@@ -162,8 +192,8 @@ def test_archive_files(spark, tmp_path):
     assert list(archive.listing(spark, str(tmp_path)).first()["textos"]) == ["vp"]
     assert archive.meta(spark, str(tmp_path)).first()["produto"]["numeroRegistro"] == "0100"
     f = tmp_path / "list.txt"
-    f.write_text("118190404 # um\n\n# nada\n112360031\n")
-    assert [r["value"] for r in archive.curated(spark, str(f)).collect()] == ["118190404", "112360031"]
+    f.write_text("900100200 # primeiro\n\n# so um comentario\n  900100300\n")
+    assert [r["value"] for r in archive.curated(spark, str(f)).collect()] == ["900100200", "900100300"]
     assert archive.curated(spark, str(tmp_path / "none.txt")).count() == 0
     nested = spark.createDataFrame([((1, "t"), [(2, "u")])], "a struct<x:int,idBulaPaciente:string>, b array<struct<y:int,idBulaProfissional:string>>")
     assert archive.without_fields(nested).schema.simpleString() == "struct<a:struct<x:int>,b:array<struct<y:int>>>"

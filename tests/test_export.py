@@ -18,42 +18,42 @@ def version(root, exp, day, text, digest, kind="vp", items="1. PARA QUE", docs=1
 def root(tmp_path):
     d = tmp_path / "data" / "1"
     d.mkdir(parents=True)
-    version(d, "46", "2023-01-16", "indicado para dor", "a")
-    version(d, "121", "2025-01-28", "indicado para febre", "b", docs=2)
-    version(d, "200", "2026-01-10", "indicado para dor e febre", "c", docs=2, items="1. PARA e 9. OUTRO")
-    version(d, "121", "2026-03-27", "indicado para febre", "b", docs=2)
-    version(d, "300", "2026-04-01", "indicado para dor", "a")
-    items = [{"expediente": "46", "descSituacao": "velha"}, {"expediente": "46", "descSituacao": "Aditado"}]
-    meta = {"produto": {"numeroRegistro": "1", "idProduto": 5, "nomeProduto": "N", "razaoSocial": "E", "cnpj": "c", "data": "2026-04-01T10:00:00.000-0300"}, "historico": {"historico": {"content": items}}, "detalhe": {"apresentacoes": [{"apresentacao": "A"}, {"apresentacao": ""}]}}
+    version(d, "5005", "2019-05-02", "serve contra tosse", "h1")
+    version(d, "5011", "2020-11-19", "serve contra rinite", "h2", docs=2)
+    version(d, "5023", "2021-03-08", "serve contra tosse e rinite", "h3", docs=2, items="1. PARA e 9. OUTRO")
+    version(d, "5011", "2022-08-30", "serve contra rinite", "h2", docs=2)
+    version(d, "5031", "2023-02-14", "serve contra tosse", "h1")
+    items = [{"expediente": "5005", "descSituacao": "antiga"}, {"expediente": "5005", "descSituacao": "Vigente"}]
+    meta = {"produto": {"numeroRegistro": "1", "idProduto": 5, "nomeProduto": "N", "razaoSocial": "E", "cnpj": "c", "data": "2023-02-14T10:00:00.000-0300"}, "historico": {"historico": {"content": items}}, "detalhe": {"apresentacoes": [{"apresentacao": "A"}, {"apresentacao": ""}]}}
     (d / "meta.json").write_text(json.dumps(meta))
     return tmp_path / "data"
 
 
 def test_export(spark, root, tmp_path):
     rows, metas = archive.versions(spark, str(root)), archive.meta(spark, str(root))
-    feed = spark.createDataFrame([("1", "N", "E", "46", "2023-01-16"), ("2", "M", "F", "9", "2023-01-16")], "registro string, nome string, empresa string, expediente string, data string")
+    feed = spark.createDataFrame([("1", "N", "E", "5005", "2019-05-02"), ("2", "M", "F", "9", "2019-05-02")], "registro string, nome string, empresa string, expediente string, data string")
     out = str(tmp_path / "out")
     export.write(rows, metas, feed, feed, out)
     read = lambda name: [r.asDict(recursive=True) for r in spark.read.json(f"{out}/{name}").collect()]
     (product,) = read("produtos")
-    assert product["n_versoes"] == 5 and product["diffs"] == ["46-121-vp", "121-200-vp"] and product["apresentacoes"] == ["A"] and product["ultima_publicacao"] == "2026-04-01"
-    assert [r["slug"] for r in read("recentes")] == ["121-200-vp", "46-121-vp"]
+    assert product["n_versoes"] == 5 and product["diffs"] == ["5005-5011-vp", "5011-5023-vp"] and product["apresentacoes"] == ["A"] and product["ultima_publicacao"] == "2023-02-14"
+    assert [r["slug"] for r in read("recentes")] == ["5011-5023-vp", "5005-5011-vp"]
     by = {r["expediente"]: r for r in read("versoes")}
-    assert by[121]["republicada"] == ["2026-03-27"] if 121 in by else by["121"]["republicada"] == ["2026-03-27"]
+    assert by[5011]["republicada"] == ["2022-08-30"] if 5011 in by else by["5011"]["republicada"] == ["2022-08-30"]
     v = {str(k): x for k, x in by.items()}
-    assert v["300"]["repetida"] and not v["46"]["repetida"] and v["46"]["situacao"] == "Aditado" and v["300"]["situacao"] == ""
+    assert v["5031"]["repetida"] and not v["5005"]["repetida"] and v["5005"]["situacao"] == "Vigente" and v["5031"]["situacao"] == ""
     d = {r["slug"]: r for r in read("diffs")}
-    assert d["121-200-vp"]["alteradas"] == ["1"] and d["121-200-vp"]["declarado"] == ["1", "9"]
-    docs = d["121-200-vp"]["documentos"]
+    assert d["5011-5023-vp"]["alteradas"] == ["1"] and d["5011-5023-vp"]["declarado"] == ["1", "9"]
+    docs = d["5011-5023-vp"]["documentos"]
     assert [x["indice"] for x in docs] == [1, 2] and {x["rotulo"] for x in docs} == {"Forma 0", "Forma 1"}
     first = {s["secao"]: s for s in docs[0]["secoes"]}
-    assert list(first) == ["I", "1", "2"] and "<ins>dor e</ins>" in first["1"]["html"] and first["1"]["ancora"] == "sec-vp-1" and first["1"]["declarada"]
+    assert list(first) == ["I", "1", "2"] and "<ins>tosse e</ins>" in first["1"]["html"] and first["1"]["ancora"] == "sec-vp-1" and first["1"]["declarada"]
     # Of two new documents one is matched; the other is all insertion.
-    grown = d["46-121-vp"]["documentos"]
+    grown = d["5005-5011-vp"]["documentos"]
     assert len(grown) == 2 and "<del>" not in {s["secao"]: s for s in grown[1]["secoes"]}["2"]["html"]
     assert {r["registro"]: r["arquivado"] for r in read("feed")} == {"1": True, "2": False}
     pairs = export.content_pairs(rows)
-    assert {r["para"]: r["bate"] for r in export.validation(pairs, export.section_diffs(pairs)).collect()} == {"121": False, "200": False}
+    assert {r["para"]: r["bate"] for r in export.validation(pairs, export.section_diffs(pairs)).collect()} == {"5011": False, "5023": False}
 
 
 def test_comparable_sides(spark):
