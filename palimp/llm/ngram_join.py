@@ -353,7 +353,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     marks = large.groupBy("tile").agg(F.count("*").alias("size"), F.bit_xor(F.col("h")).alias("x"), F.bit_xor(F.xxhash64("h")).alias("y"))
     larger = joined(large, marks, "tile").select(F.xxhash64("size", "x", "y").alias("tile"), "size", "h")
     release(docs.sparkSession)
-    members = durable(twos.unionByName(larger).distinct().join(info, "h"))
+    members = durable(twos.unionByName(larger).distinct())
 
     parts = max(8, -(-members.count() // ROWS))
     spread = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
@@ -362,7 +362,7 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
         """What first_round() gives: each block of a tile meets the tile's first one."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         to = F.when(F.col("block") > 0, F.array("block")).otherwise(F.sequence(F.lit(0), blocks - 1))
-        groups = members.withColumn("block", spread(blocks)).select("tile", F.explode(to).alias("j"), "h", "n", "bits")
+        groups = members.withColumn("block", spread(blocks)).select("tile", F.explode(to).alias("j"), "h").join(info, "h")
         return groups.repartition(parts, "tile", "j").sortWithinPartitions("tile", "j", "h").mapInArrow(lambda rows: first_round(rows, a, b), "a long, b long, tile long").distinct()
 
     def open_sets(labels: DataFrame) -> DataFrame:
