@@ -18,15 +18,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are gone, by a collection of the driver's heap, which is what it waits for.
-
-    Without it they stay on the executors' disks until the driver runs short of heap: after a step whose shuffle is as
-    large as the input this is worth a tenth of a second.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again: for wide rows, of which later steps need some columns."""
     path = f"{shared(df.sparkSession)}/palimp-{uuid.uuid4().hex}"
