@@ -289,6 +289,16 @@ def _pairs(left: list, right: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
 
 
+def unseen(size: np.ndarray, name: np.ndarray, second: np.ndarray, seen: set) -> list[bool]:
+    """Whether each set is neither empty nor in `seen`, to which it is added."""
+    out = []
+    for n, h in zip(size.tolist(), zip(name.tolist(), second.tolist(), strict=True), strict=True):
+        out.append(n > 0 and h not in seen)
+        if n:
+            seen.add(h)
+    return out
+
+
 def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3, similarity: tuple[int, int] = (90, 100), counted: bool = True) -> DataFrame:
     """key, n_shingles, component_id and, if `counted`, links for each row of `docs`.
 
@@ -301,31 +311,30 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     a, b = similarity
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's set: its size and names, and its bitmap where the task meets it first."""
         powers, seen = tv.Powers(), set()
         for batch in batches:
             at = 0
             for x, offs in sets_of(batch.column(1), n, powers):
                 size, name, second = np.diff(offs), names_of(x, offs), names_of(x, offs, SECOND)
-                keys, whose = keys_of(x, offs, a, b)
-                order = np.argsort(whose, kind="stable")
-                keys = keys[order]
-                cut = np.searchsorted(whose[order], np.arange(len(size) + 1))
-                # Equal sets of a task stand for each other in the tiles.
-                tiles, maps = [], []
-                for d, h in enumerate(zip(name.tolist(), second.tolist(), strict=True)):
-                    if size[d] and h not in seen:
-                        seen.add(h)
-                        tiles.append(keys[cut[d] : cut[d + 1]].view(np.int64))
-                        maps.append(bitmap(x[offs[d] : offs[d + 1]]))
-                    else:
-                        tiles.append(None)
-                        maps.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(name), pa.array(second), pa.array(maps, pa.binary()), pa.array(tiles, pa.list_(pa.int64()))], names=["id", "n", "h", "g", "bits", "tiles"])
+                maps = [bitmap(x[offs[d] : offs[d + 1]]) if fresh else None for d, fresh in enumerate(unseen(size, name, second, seen))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(name), pa.array(second), pa.array(maps, pa.binary())], names=["id", "n", "h", "g", "bits"])
                 at += len(size)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tile keys of each set where the task meets it first; equal sets stand for each other in the tiles."""
+        powers, seen = tv.Powers(), set()
+        for batch in batches:
+            for x, offs in sets_of(batch.column(0), n, powers):
+                size, name, second = np.diff(offs), names_of(x, offs), names_of(x, offs, SECOND)
+                keys, whose = keys_of(x, offs, a, b)
+                own = np.array(unseen(size, name, second, seen), bool)[whose]
+                keys, whose = keys[own], whose[own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(name[whose]), pa.array(second[whose])], names=["tile", "h", "g"])
+
     rows = few_at_once(docs).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    sets = durable(rows.mapInArrow(describe, f"id {kind}, n long, h long, g long, bits binary, tiles array<long>"))
+    sets = durable(rows.mapInArrow(describe, f"id {kind}, n long, h long, g long, bits binary"))
 
     def classes_of(sets: DataFrame) -> DataFrame:
         return durable(sets.where("n > 0").groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.min("g").alias("lo"), F.max("g").alias("hi")))
@@ -344,7 +353,8 @@ def join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 3
     info = durable(sets.where(F.col("bits").isNotNull()).select("h", "n", "bits").dropDuplicates(["h"]))
 
     # Most tiles hold one set, and most others two, which their least and greatest names tell; only larger ones are joined back.
-    dealt = sets.where(F.col("tiles").isNotNull()).select(F.explode("tiles").alias("tile"), "h")
+    # The keys are made from the texts each time: kept, they would take as much disk as the texts.
+    dealt = told(rows.select("text").mapInArrow(deal, "tile long, h long, g long")).select("tile", "h")
     shared = durable(dealt.groupBy("tile").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("rows")).where("lo <> hi"))
     twos = shared.where("rows = 2").select(F.xxhash64(F.lit(2).cast("long"), F.col("lo").bitwiseXOR(F.col("hi")), F.xxhash64("lo").bitwiseXOR(F.xxhash64("hi"))).alias("tile"), F.lit(2).cast("long").alias("size"), F.explode(F.array("lo", "hi")).alias("h"))
     large = durable(joined(dealt, shared.where("rows > 2").select("tile"), "tile", most_rows=MOST_IDS).distinct())
