@@ -187,8 +187,14 @@ def windows(words: F.Column) -> F.Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * STRIDE + 1, F.lit(SPAN)))
 
 
-def scanned(text: str, model: Model, similar: float = SIMILAR):
-    """A column: array of (paragraph, family, probability, similarity, confirmed), one for each line at which a licence family claims a paragraph."""
+def words_of_lines(text: str) -> F.Column:
+    """The words of each line of a text."""
+    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
+    return F.transform(lines, lambda x: F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), ""))
+
+
+def scanned(lines: str, model: Model, similar: float = SIMILAR):
+    """A column, from one of words_of_lines(): array of (paragraph, family, probability, similarity, confirmed), one for each line at which a licence family claims a paragraph."""
     weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
     features_ = F.from_json(F.lit(json.dumps(sorted(model.weights))), "array<string>")
     bias = F.array(*(F.lit(v) for v in model.bias))
@@ -196,8 +202,7 @@ def scanned(text: str, model: Model, similar: float = SIMILAR):
     shapes = {f: [{"pairs": sorted(neighbours(tokens(t))), "reach": 2 * len(tokens(t))} for t in dict.fromkeys(ts)] for f, ts in TEMPLATES.items()}
     templates = F.from_json(F.lit(json.dumps(shapes)), "map<string,array<struct<pairs:array<string>,reach:int>>>")
     vocabulary = F.from_json(F.lit(json.dumps(model.words)), "array<string>")
-    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
-    split = F.transform(lines, lambda x: F.array_remove(F.split(F.lower(x), "[^a-z0-9]+"), ""))
+    split = F.col(lines)
     numbered = F.transform(split, lambda x, i: F.struct(i.alias("paragraph"), x.alias("words")))
     claimed = F.filter(numbered, lambda p: F.arrays_overlap(p["words"], vocabulary))
 
@@ -258,7 +263,7 @@ def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", kee
     `text` and `keep` are not read; an empty table gives an empty result.
     """
     model = model or train()
-    found = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).select(*(F.col(f"`{c}`") for c in keep), scanned("__text", model).alias("licenses"))
+    found = docs.select(*(F.col(f"`{c}`") for c in keep), words_of_lines(f"`{text}`").alias("__lines")).select(*(F.col(f"`{c}`") for c in keep), scanned("__lines", model).alias("licenses"))
     sure = F.filter("licenses", lambda x: x["confirmed"])
     best = F.try_element_at(F.array_sort(sure, lambda x, y: F.when(x["probability"] > y["probability"], -1).when(x["probability"] < y["probability"], 1).otherwise(x["paragraph"] - y["paragraph"])), F.lit(1))
     found = found.withColumn("__best", best)
