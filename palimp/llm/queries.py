@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimp.llm import ann, bpe, langid, licenses, mixing, ngram_join, quality, token_counts, topk, url_filter
+from palimp.llm import ann, bpe, langid, licenses, maintext, mixing, ngram_join, prefix_trie, quality, repetition, token_counts, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,38 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def unrolled(docs: DataFrame) -> DataFrame:
+    """doc_id and text: of a tenth of the documents, by their ids' checksums, the words from some place on repeat what begins there."""
+    words = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(repetition.WORD), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    picked = rows.where("h % 10 = 0").withColumn("w", words).withColumn("n", F.size("w"))
+    picked = picked.withColumn("a", F.when(F.col("n") > 0, F.pmod("g", F.greatest("n", F.lit(1)))).otherwise(F.lit(0)).cast("int"))
+    picked = picked.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("int"))
+    again = F.transform(F.slice("w", F.col("a") + 1, F.col("n")), lambda _, i: F.get("w", F.col("a") + i % F.col("p")))
+    made = F.when(F.col("n") > 0, F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), again)).otherwise(F.col("text").cast("string"))
+    return picked.select("doc_id", made.alias("text")).unionByName(rows.where("h % 10 <> 0 or h is null").select("doc_id", F.col("text").cast("string").alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.collapse(unrolled(table(spark, sf_dir, "documents")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    top = [F.col(f"greatest.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor(F.col("greatest.length") * 1000 / F.col("greatest.period")).cast("long").alias("exponent_milli")
+    digests = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((told, "runs_sha256"), (F.col("collapsed"), "collapsed_sha256"))]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, exponent, *digests)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    rows = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.grafted(rows, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": _pipeline,
 }
 ORACLES: dict[str, str] = {
