@@ -5,7 +5,8 @@ Why stitching is exact: the pattern is matched from left to right and looks behi
 depends only on the text from there. Once the boundaries of a chunk's run and of the next chunk's run share a position,
 both agree from there on, as far as the earlier chunk could see. `MARGIN` keeps out the boundaries near a chunk's end
 that unseen text could move: a run that reaches the end has no boundary before it, and the fixed alternatives of the
-pattern are at most three characters long. If two chunks never agree in their overlap (a run of letters or spaces longer
+pattern are at most three characters long. A piece is encoded by itself, so its last pre-token must not depend on what
+follows; runs of white space do (they leave their last sign to a word behind them), so texts are never cut behind one. If two chunks never agree in their overlap (a run of letters or spaces longer
 than it), the text is pre-tokenised on from the last sure boundary, with no limit.
 """
 
@@ -50,9 +51,9 @@ class ByteBPE:
             yield a, text[a : a + self.chunk + self.overlap]
 
     def boundaries(self, window: str, last: bool) -> list[int]:
-        """Ends of the pre-tokens that text behind the window cannot move, of those that lie in an overlap: only there chunks can agree."""
+        """Ends of the pre-tokens that text behind the window cannot move, of those that lie in an overlap (only there chunks can agree) and not behind white space."""
         sure = len(window) if last else len(window) - MARGIN
-        return [e for m in self.pattern.finditer(window) if (e := m.end()) <= sure and (e <= self.overlap or e >= self.chunk)]
+        return [e for m in self.pattern.finditer(window) if (e := m.end()) <= sure and (e <= self.overlap or e >= self.chunk) and not window[e - 1].isspace()]
 
     def stitch(self, text: str, found: Iterable[tuple[int, list[int]]]) -> list[int]:
         """Positions, each a boundary of the whole text, that cut it into pieces; found: (start, ends from there) of the chunks in order."""
@@ -106,9 +107,11 @@ class Digest:
     """n_tokens and the SHA-256 of the ids in decimal, joined by a space, and of the decoded bytes."""
 
     def __init__(self) -> None:
-        self.names = [str(i) for i in range(1 << 17)]
+        self.names: list[str] = []
 
     def __call__(self, coder: ByteBPE, ids: list[int]) -> tuple:
+        if len(self.names) < len(coder.bytes):
+            self.names = [str(i) for i in range(len(coder.bytes))]
         said = " ".join(map(self.names.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
 

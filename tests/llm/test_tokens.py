@@ -63,6 +63,24 @@ def test_stitching(small, library, text):
     assert ids == library.encode_ordinary(text) and small.decode(ids) == text.encode()
 
 
+def test_stitching_at_white_space(library):
+    """20,000 texts full of blank lines, tabs, no-break spaces and apostrophes, in chunks of 16 to 64 signs."""
+    coder, rng = bpe.ByteBPE(RANKS, P.PATTERN), random.Random(11)
+    parts = ["\n\n", "\n", "\t", "\u00a0", "  ", " ", "'s", "'", "don't", "we'll", "a", "word", "12", "é", "!?", "\r\n", "\x85", "\u2028", "\x1f", "日本"]
+    for _ in range(20_000):
+        coder.chunk, coder.overlap = rng.randint(16, 64), rng.randint(9, 24)
+        text = "".join(rng.choices(parts, k=rng.randint(5, 60)))
+        assert coder.encode(text) == library.encode_ordinary(text), (coder.chunk, coder.overlap, text)
+
+
+@pytest.mark.parametrize("space", ["\n\n", "\n\n\n", " \n", "\u00a0\u00a0", "\t\t", "  "])
+def test_white_space_around_a_chunk_border(library, space):
+    coder = bpe.ByteBPE(RANKS, P.PATTERN)
+    for at in (*range(bpe.CHUNK - 4, bpe.CHUNK + 4), *range(bpe.CHUNK + bpe.OVERLAP - 10, bpe.CHUNK + bpe.OVERLAP + 3)):
+        text = ("one two " * 4000)[:at] + space + "three four " * 50
+        assert coder.encode(text) == library.encode_ordinary(text), at
+
+
 @pytest.mark.parametrize("text", ["a" * 500, " " * 300 + "x", "x" + " " * 300, "1" * 97 + "a" * 97 + " " * 97, "we're " * 60, "it's'll" * 50, "\n \n" * 99])
 def test_stitching_without_agreement(small, library, text):
     assert small.encode(text) == library.encode_ordinary(text)
