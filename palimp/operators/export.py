@@ -131,3 +131,10 @@ def validation(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     found = rows.groupBy(*PAIR).agg(F.array_sort(F.collect_set(F.when(F.col("changed"), F.col("secao")))).alias("detectado"))
     both = pairs.select(*PAIR, "declarado").join(found, PAIR, "left").withColumn("detectado", F.coalesce("detectado", F.array().cast("array<string>")))
     return cat.agreement(both)
+
+
+def report(targets: DataFrame, checked: DataFrame) -> DataFrame:
+    """checked (registro, ...) for each distinct target, and erro: a target that isn't there is a row of its own with the error."""
+    rows = targets.select("registro").distinct().join(checked.withColumn("__in", F.lit(True)), "registro", "left")
+    lost = F.concat(F.lit("LookupError: "), F.col("registro"))
+    return rows.withColumn("erro", F.when(F.col("__in").isNull(), lost)).drop("__in")

@@ -224,7 +224,7 @@ def test_feed_replay_and_duplicates(spark, tmp_path):
     feed.run_available(stream(), f"{tmp_path}/t", f"{tmp_path}/c")
     day(2, [("1", "a", t(3)), ("3", "c", t(3))])
     seen = []
-    feed.run_available(stream(), f"{tmp_path}/t", f"{tmp_path}/c", lambda new: seen.append(new.count()))
+    feed.run_available(stream(), f"{tmp_path}/t", f"{tmp_path}/c", lambda new, _: seen.append(new.count()))
     assert seen == [1] and spark.read.parquet(f"{tmp_path}/t").count() == 3
 
 
