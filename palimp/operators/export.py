@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimp.functions import text as tx
 from palimp.operators import catalog as cat
-from palimp.operators import sections, similarity, versions
+from palimp.operators import pairing, sections, versions
 from palimp.operators.segment import PREAMBLE
 from palimp.sources.archive import comparable
 
@@ -49,14 +49,7 @@ def _documents(pairs: DataFrame, side: str, at: str) -> DataFrame:
 def paired_documents(pairs: DataFrame) -> DataFrame:
     """PAIR, documento (from 1), i, j: documents matched one to one by similarity, then those left over on either side."""
     a, b = _documents(pairs, "antes", "i").select(*PAIR, "i", F.col("texto").alias("x")), _documents(pairs, "depois", "j").select(*PAIR, "j", F.col("texto").alias("y"))
-    keys = [*PAIR, "i", "j"]
-    scored = similarity.quick_ratio(a.join(b, PAIR), keys, "x", "y").withColumnRenamed("ratio", "score")
-    matched = similarity.greedy(scored, PAIR)
-    left = a.select(*PAIR, "i").join(matched, [*PAIR, "i"], "left_anti").select(*PAIR, "i", F.lit(None).cast("int").alias("j"))
-    right = b.select(*PAIR, "j").join(matched, [*PAIR, "j"], "left_anti").select(*PAIR, F.lit(None).cast("int").alias("i"), "j")
-    every = matched.select(*keys, "documento").unionByName(left.unionByName(right).withColumn("documento", F.lit(None).cast("long")))
-    order = W.partitionBy(*PAIR).orderBy(F.col("documento").asc_nulls_last(), F.col("i").asc_nulls_last(), "j")
-    return every.withColumn("documento", F.row_number().over(order).cast("long"))
+    return pairing.paired(a, b, PAIR).select(*PAIR, "documento", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
 
 
 def section_diffs(pairs: DataFrame, skip_preamble: bool = True) -> DataFrame:

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
-
 def quick_ratio(pairs: DataFrame, keys: list[str], a: str, b: str, limit: int = 20_000) -> DataFrame:
     """keys + ratio: 2 * shared characters / all characters of the first `limit` signs of both; 1 for two empty texts.
 

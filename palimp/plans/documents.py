@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimp.functions import text as tx
-from palimp.operators import layout, lines, sections, segment, similarity
+from palimp.operators import layout, lines, pairing, sections, segment, similarity
 from palimp.plans.base import query
 
 EDGES = "ends AS (SELECT DISTINCT doc, page, line FROM (SELECT *, count(*) OVER (PARTITION BY doc, page) AS n FROM lines) WHERE pos <= 2 OR pos > n - 2), running AS (SELECT doc, regexp_replace(line, '[0-9]+', '#', 'g') AS key, count(DISTINCT page) AS n_pages FROM ends GROUP BY ALL HAVING count(DISTINCT page) >= 3)"
@@ -86,6 +86,25 @@ def greedy_pairing(t):
     return similarity.greedy(scored, ["conv_id"])
 
 
+@query("""WITH RECURSIVE a AS (SELECT conv_id, turn AS i, substr(text, 1, 20000) AS x FROM conversations WHERE role <> 'assistant'), b AS (SELECT conv_id, turn AS j, substr(text, 1, 20000) AS y FROM conversations WHERE role = 'assistant'),
+ca AS (SELECT conv_id, i, c, count(*) AS n FROM (SELECT conv_id, i, unnest(string_split(x, '')) AS c FROM a) GROUP BY ALL), cb AS (SELECT conv_id, j, c, count(*) AS n FROM (SELECT conv_id, j, unnest(string_split(y, '')) AS c FROM b) GROUP BY ALL),
+m AS (SELECT conv_id, i, j, CAST(sum(least(ca.n, cb.n)) AS BIGINT) AS shared FROM ca JOIN cb USING (conv_id, c) WHERE c <> '' GROUP BY ALL),
+s AS (SELECT conv_id, i, j, CASE WHEN length(x) + length(y) > 0 THEN 2 * coalesce(shared, 0) / (length(x) + length(y)) ELSE 1.0::DOUBLE END AS score FROM a JOIN b USING (conv_id) LEFT JOIN m USING (conv_id, i, j)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, i DESC, j DESC) AS k FROM s),
+f AS (SELECT conv_id, 0 AS k, []::BIGINT[] AS ui, []::BIGINT[] AS uj FROM (SELECT DISTINCT conv_id FROM s)
+  UNION ALL SELECT f.conv_id, o.k, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN ui ELSE list_append(ui, i) END, CASE WHEN list_contains(ui, i) OR list_contains(uj, j) THEN uj ELSE list_append(uj, j) END FROM f JOIN o ON f.conv_id = o.conv_id AND o.k = f.k + 1),
+e AS (SELECT conv_id, max_by(ui, k) AS ui, max_by(uj, k) AS uj FROM f GROUP BY conv_id),
+t AS (SELECT conv_id, ui[n] AS i, uj[n] AS j, n FROM (SELECT conv_id, ui, uj, unnest(range(1, len(ui) + 1)) AS n FROM e)),
+r AS (SELECT conv_id, i, j, score, n, 0 AS side FROM t JOIN s USING (conv_id, i, j) UNION ALL SELECT conv_id, i, NULL, NULL, i, 1 FROM a WHERE (conv_id, i) NOT IN (SELECT (conv_id, i) FROM t) UNION ALL SELECT conv_id, NULL, j, NULL, j, 2 FROM b WHERE (conv_id, j) NOT IN (SELECT (conv_id, j) FROM t))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY side, n) AS BIGINT) AS documento, i, j, score FROM r""")
+def text_pairing(t):
+    """Each conversation's questions and answers one to one by the signs they share, the best pair first, and what is left."""
+    c = t.conversations
+    a = c.where("role <> 'assistant'").select("conv_id", F.col("turn").alias("i"), F.col("text").alias("x"))
+    b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("j"), F.col("text").alias("y"))
+    return pairing.paired(a, b, ["conv_id"])
+
+
 @query(CONSECUTIVE + ", w AS (SELECT conv_id, turn, w, sum(x) AS x FROM (SELECT conv_id, turn, unnest(regexp_extract_all(a, '[^\\s\\p{Z}]+')) AS w, -1 AS x FROM p UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(b, '[^\\s\\p{Z}]+')), 1 FROM p) GROUP BY ALL) SELECT p.conv_id, p.turn, CAST(coalesce(sum(abs(x)), 0) AS BIGINT) AS diferenca FROM p LEFT JOIN w USING (conv_id, turn) GROUP BY ALL")
 def token_bag_diff(t):
     """How many words, as a bag, two versions differ by: a lower bound of the words that an alignment marks."""
