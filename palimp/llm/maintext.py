@@ -9,7 +9,6 @@ sequence (Viterbi). `labelled_pages` makes labelled pages of many layouts by rul
 
 from __future__ import annotations
 
-import html
 import random
 import re
 from collections import Counter
@@ -24,17 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from palimp.functions.markup import INLINE, Markup
 from palimp.llm.durable import few_at_once
 
-#: HTML's elements by what they do to the text around them.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
-UNSEEN = frozenset("noscript template svg math object audio video canvas datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
-#: Starts of these end an open paragraph; starts on the left end an open element on the right, up to one of the third.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd".split())
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
@@ -48,92 +39,44 @@ class Block:
     features: list[str]
 
 
-class _Page:
-    """The open elements while a page is read, and the blocks so far. Each step costs the same at any depth."""
+class _Page(Markup):
+    """The blocks of a page, with the features that the open elements and the text give them. Each step costs the same at any depth."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, list[str]]] = []
-        self.tags: Counter = Counter()
-        self.inline: list[Counter] = [Counter()]  # open inline elements, for each open block
+        super().__init__()
         self.known: Counter = Counter()  # features of the open elements
+        self.own: list[list[str]] = []
+        self.block: list[str] = ["body"]
         self.said: list[str] = []
         self.linked: list[str] = []
-        self.unseen = 0
         self.blocks: list[Block] = []
 
-    def text(self, raw: str) -> None:
-        if raw and not self.unseen:
-            plain = html.unescape(raw)
-            self.said.append(plain)
-            if self.tags["a"]:
-                self.linked.append(plain)
+    def text(self, plain: str) -> None:
+        self.said.append(plain)
+        if self.tags["a"]:
+            self.linked.append(plain)
 
-    def end_block(self) -> None:
+    def edge(self) -> None:
         text = " ".join("".join(self.said).split())
         if text:
-            own = next((t for t, _ in reversed(self.open) if t not in INLINE), "body")
-            self.blocks.append(Block(text, [f"own={own}", *self.known, *_looks(text, len(" ".join("".join(self.linked).split())))]))
+            looks = _looks(text, len(" ".join("".join(self.linked).split())))
+            self.blocks.append(Block(text, [f"own={self.block[-1]}", *self.known, *looks]))
         self.said, self.linked = [], []
 
-    def pop(self) -> None:
-        tag, features = self.open.pop()
-        self.tags[tag] -= 1
-        self.unseen -= tag in UNSEEN
-        if tag in INLINE:
-            self.inline[-1][tag] -= 1
-        else:
-            self.inline.pop()
-        for f in features:
+    def opened(self, tag: str, attributes: str) -> None:
+        if tag not in INLINE:
+            self.block.append(tag)
+        self.own.append(_element(tag, attributes))
+        self.known.update(self.own[-1])
+
+    def closed(self, tag: str) -> None:
+        if tag not in INLINE:
+            self.block.pop()
+        for f in self.own.pop():
             self.known[f] -= 1
             if not self.known[f]:
                 del self.known[f]
 
-    def close(self, tag: str) -> None:
-        while self.open[-1][0] != tag:
-            self.pop()
-        self.pop()
-
-    def start(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
-            self.end_block()
-            if tag in ENDS_P and self.tags["p"]:
-                self.close("p")
-            if tag in CLOSES:
-                own, upto = CLOSES[tag]
-                if any(self.tags[t] for t in own):
-                    for name, _ in reversed(self.open):
-                        if name in own:
-                            self.close(name)
-                            break
-                        if name in upto:
-                            break
-        elif tag == "br":
-            self.said.append(" ")
-        elif tag == "a" and self.inline[-1]["a"]:
-            self.close("a")
-        if tag in VOID:
-            return
-        features = _element(tag, attributes)
-        self.open.append((tag, features))
-        self.tags[tag] += 1
-        self.unseen += tag in UNSEEN
-        if tag in INLINE:
-            self.inline[-1][tag] += 1
-        else:
-            self.inline.append(Counter())
-        self.known.update(features)
-
-    def end(self, tag: str) -> None:
-        if tag in INLINE:
-            if self.inline[-1][tag] > 0:
-                self.close(tag)
-            elif tag == "br":
-                self.said.append(" ")
-            return
-        self.end_block()
-        if self.tags[tag] > 0:
-            self.close(tag)
-
 
 def _element(tag: str, attributes: str) -> list[str]:
     """Features that an open element gives to the blocks inside it."""
@@ -164,44 +107,11 @@ def _looks(text: str, linked: int) -> list[str]:
 
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in page order; in time that grows with the page's length, whatever its markup."""
-    page = page or ""
-    at, size, state = 0, len(page), _Page()
-    while at < size:
-        mark = page.find("<", at)
-        if mark < 0:
-            state.text(page[at:])
-            break
-        state.text(page[at:mark])
-        next_sign = page[mark + 1 : mark + 2]
-        if next_sign in ("!", "?") or (next_sign == "/" and not page[mark + 2 : mark + 3].isalpha()):
-            comment = page.startswith("<!--", mark)
-            stop = page.find("-->", mark + 2) if comment else page.find(">", mark)
-            at = size if stop < 0 else stop + (3 if comment else 1)
-        elif next_sign and next_sign.isascii() and (next_sign.isalpha() or next_sign == "/"):
-            found = _TAG.match(page, mark)
-            if not found:  # a tag that never ends
-                break
-            at = found.end()
-            tag = found[2].lower()
-            if found[1]:
-                state.end(tag)
-            else:
-                state.start(tag, found[3])
-                if tag in RAW:
-                    stop = _raw_end(tag).search(page, at)
-                    at = stop.start() if stop else size
-        else:
-            state.text("<")
-            at = mark + 1
-    state.end_block()
+    state = _Page()
+    state.feed(page)
     return state.blocks
 
 
-@lru_cache
-def _raw_end(tag: str) -> re.Pattern:
-    return re.compile(f"</{tag}", re.IGNORECASE)
-
-
 @dataclass
 class Field:
     """The trained field: a weight for main text (against the rest) of each feature, and for label pairs."""
