@@ -24,8 +24,8 @@ def published(products: DataFrame) -> DataFrame:
     return products.select(*(tx.or_empty(F.col(a)).alias(b) for a, b in names.items()), F.col("idProduto").alias("id_produto"), tx.day(F.col("data")).alias("data"))
 
 
-def search(rows: DataFrame, *, nome: str | None = None, cnpj: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows whose name holds `nome` (in any case), of one company, published in an inclusive range."""
+def search(rows: DataFrame, *, nome: str | None = None, cnpj: str | None = None, start: str | None = None, end: str | None = None, today: str | None = None) -> DataFrame:
+    """Rows whose name holds `nome` (in any case), of one company, published in an inclusive range; one without an end ends today (the session's, or the one given)."""
     if nome:
         rows = rows.where(F.lower("nome").contains(nome.lower()))
     if cnpj:
@@ -34,7 +34,8 @@ def search(rows: DataFrame, *, nome: str | None = None, cnpj: str | None = None,
             raise ValueError("a company number has 14 digits")
         rows = rows.where(tx.digits(F.col("cnpj")) == number)
     if start or end:
-        rows = rows.where(F.col("data").between(start or "0000-00-00", end or "9999-99-99"))
+        until = end or today
+        rows = rows.where(F.col("data").between(F.lit(start or "0000-00-00"), F.lit(until) if until else F.current_date().cast("string")))
     return rows
 
 
@@ -71,3 +72,10 @@ def agreement(rows: DataFrame, declared: str = "declarado", detected: str = "det
 def fresh(batch: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     """Rows of a batch whose keys aren't known."""
     return batch.join(known.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def stale(updated: str | None, today: str, days: int = 6) -> bool:
+    """Whether a catalog of that day (None: there is none) is to be read again: it is more than `days` days old."""
+    import datetime as dt
+
+    return updated is None or (dt.date.fromisoformat(today) - dt.date.fromisoformat(updated)).days > days

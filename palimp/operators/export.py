@@ -80,9 +80,7 @@ def version_rows(archived: DataFrame, metas: DataFrame) -> DataFrame:
     listed = versions.relisted(dated, "registro", "expediente").drop("n_listings")
     first = versions.first_of(archived, "registro", "expediente", "tipo")
     own = first.groupBy("registro", "expediente").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tipo", declared(F.col("historico_tabela")).alias("d"))))).alias("declarado"))
-    at = first.select("registro", "expediente", "data", F.col("pdf_sha256").alias("hash"), F.min(F.struct("data", "expediente")).over(W.partitionBy("registro", "expediente")).alias("__own"))
-    seen = at.withColumn("__seen", F.min("__own").over(W.partitionBy("registro", "hash")) < F.col("__own"))
-    again = seen.groupBy("registro", "expediente").agg(F.bool_and("__seen").alias("repetida"))
+    again = versions.repeated_versions(first.withColumnRenamed("pdf_sha256", "hash"))
     items = metas.select("registro", F.posexplode("historico.historico.content").alias("pos", "h")).select("registro", F.col("h.expediente").alias("expediente"), F.col("h.descSituacao").alias("situacao"), "pos")
     return versions.with_status(listed.join(own, ["registro", "expediente"]).join(again, ["registro", "expediente"]), items)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from palimp.functions import text as tx
 
-#: What a line must be to count as a page number or a heading.
+#: Lines at each edge of a page, and what a line must be to count as a page number or a heading.
+EDGE = 2
 PAGE_NUMBER = r"(?U)^[-–]?\s*\d+(\s*(de|/)\s*\d+)?\s*[-–]?$"
 CAPITALS = "A-ZÇÁÉÍÓÚÂÊÔÃÕ"
 TITLES = ("IDENTIFICAÇÃO DO MEDICAMENTO", "INFORMAÇÕES AO PACIENTE", "INFORMAÇÕES TÉCNICAS AOS PROFISSIONAIS DE SAÚDE", "DIZERES LEGAIS")
@@ -27,7 +28,7 @@ def text_pages(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return texts.select(*keys, F.posexplode(F.slice(cut, F.lit(1), F.size(cut) - 1)).alias("__p", "text")).select(*keys, (F.col("__p") + 1).cast("long").alias("page"), "text")
 
 
-def edges(lines_: DataFrame, page: list[str], reach: int = 2) -> DataFrame:
+def edges(lines_: DataFrame, page: list[str], reach: int = EDGE) -> DataFrame:
     """The distinct first and last lines of each page."""
     whole = W.partitionBy(*page)
     ends = lines_.withColumn("__n", F.count("*").over(whole)).where((F.col("pos") <= reach) | (F.col("pos") > F.col("__n") - reach))
@@ -41,9 +42,19 @@ def running(lines_: DataFrame, doc: list[str], page: list[str], least: int = 3)
 
 
 def stripped(lines_: DataFrame, doc: list[str], page: list[str], least: int = 3) -> DataFrame:
-    """Lines without running edge lines (by text, wherever they stand in their page) and page numbers; headings stay."""
-    edge = edges(lines_, page).withColumn("__edge", F.lit(True))
-    often = running(lines_, doc, page, least).select(*doc, F.col("key").alias("__key"), F.lit(True).alias("__often"))
-    found = lines_.join(edge, [*page, "line"], "left").withColumn("__key", tx.masked(F.col("line"))).join(often, [*doc, "__key"], "left")
-    drop = (F.col("__edge").isNotNull() & F.col("__often").isNotNull()) | F.col("line").rlike(PAGE_NUMBER)
-    return found.where(F.col("line").rlike(HEADING) | ~drop).select(*lines_.columns)
+    """Lines without running edge lines (by text, wherever they stand in their page) and page numbers; headings stay.
+
+    Lines are dealt by page once; which of them have the text of an edge line is told there. Only those, a few for each
+    page, are dealt again, by document and masked text.
+    """
+    size = F.count("*").over(W.partitionBy(*page))
+    at_edge = (F.col("pos") <= EDGE) | (F.col("pos") > F.col("__n") - EDGE)
+    # The patterns are tried before the lines are dealt, once for each line.
+    told = lines_.withColumn("__h", F.col("line").rlike(HEADING)).withColumn("__p", F.col("line").rlike(PAGE_NUMBER))
+    told = told.withColumn("__n", size).withColumn("__at", at_edge).withColumn("__edge", F.max("__at").over(W.partitionBy(*page, "line")))
+    heading, number = F.col("__h"), F.col("__p")
+    edge = told.where(F.col("__edge") & ~number & ~heading).withColumn("__key", tx.masked(F.col("line")))
+    keys = told.where("__at").select(*page, *(c for c in doc if c not in page), tx.masked(F.col("line")).alias("__key")).distinct()
+    often = keys.groupBy(*doc, "__key").agg(F.count("*").alias("__k")).where(F.col("__k") >= least).drop("__k")
+    stay = told.where(heading | (~F.col("__edge") & ~number))
+    return stay.select(*lines_.columns).unionByName(edge.join(often, [*doc, "__key"], "left_anti").select(*lines_.columns))

@@ -55,8 +55,13 @@ def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     return lines.select(*keys, F.concat_ws("\n", named).alias("summary"))
 
 
-def html_report(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
-    """keys, report: a status table of all sections and the changed ones marked up."""
+#: The report's looks.
+STYLE = "body{font:15px/1.5 sans-serif;max-width:60em;margin:2em auto}del{background:#fcc}ins{background:#cfc;text-decoration:none}td,th{border:1px solid #bbb;padding:.2em .6em}.alterada{color:#900}.pbr{display:block;height:.6em}"
+HEADS = ("Seção", "Status", "Palavras alteradas", "Similaridade")
+
+
+def html_report(rows: DataFrame, keys: list[str], title: str, subtitle: str = "") -> DataFrame:
+    """keys, report: a page with a status table of all sections and the changed ones marked up."""
     many = F.max("documento").over(W.partitionBy(*keys)) > 1
     name = tx.escaped(F.when(many, F.concat(F.lit("["), F.col("documento").cast("string"), F.lit(": "), F.col("rotulo"), F.lit("] "), F.col("secao"))).otherwise(F.col("secao")))
     part = F.concat(F.bround(F.col("ratio") * 100).cast("int").cast("string"), F.lit("%"))
@@ -64,7 +69,9 @@ def html_report(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
     cells = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td class="), status, F.lit(">"), status, F.lit("</td><td>"), F.col("words").cast("string"), F.lit("</td><td>"), part, F.lit("</td></tr>"))
     body = F.when(F.col("changed"), F.concat(F.lit("<h2>"), name, F.lit(" <small>"), F.col("words").cast("string"), F.lit(" palavras, similaridade "), part, F.lit("</small></h2><p>"), F.col("html"), F.lit("</p>")))
     made = rows.select(*keys, F.struct("documento", "pos", cells.alias("c"), body.alias("b")).alias("__r")).groupBy(*keys).agg(F.array_sort(F.collect_list("__r")).alias("__r"))
-    head = F.concat(F.lit("<meta charset=utf-8><h1>"), tx.escaped(F.lit(title)), F.lit("</h1><table>"))
+    heads = "".join(f"<th>{h}</th>" for h in HEADS)
+    shown = lambda text: tx.escaped(F.lit(text))
+    head = F.concat(F.lit("<!DOCTYPE html><meta charset=utf-8><title>"), shown(title), F.lit(f"</title><style>{STYLE}</style><h1>"), shown(title), F.lit("</h1><p>"), shown(subtitle), F.lit(f"</p><table><thead><tr class=titulo>{heads}</thead>"))
     return made.select(*keys, F.concat(head, F.concat_ws("", F.transform("__r", lambda x: x["c"])), F.lit("</table>"), F.concat_ws("", F.transform("__r", lambda x: x["b"]))).alias("report"))
 
 

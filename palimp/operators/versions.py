@@ -51,6 +51,14 @@ def repeated(listings: DataFrame) -> DataFrame:
     return listings.withColumn("repetida", seen < F.struct(*LISTED))
 
 
+def repeated_versions(listings: DataFrame) -> DataFrame:
+    """registro, expediente, repetida: all contents of a version, of all its kinds, were seen in earlier versions of the product."""
+    own = F.min(F.struct(*LISTED)).over(W.partitionBy("registro", "expediente"))
+    placed = listings.select("registro", "expediente", "hash", own.alias("__own"))
+    first = F.min("__own").over(W.partitionBy("registro", "hash"))
+    return placed.withColumn("__seen", first < F.col("__own")).groupBy("registro", "expediente").agg(F.bool_and("__seen").alias("repetida"))
+
+
 def with_status(versions: DataFrame, history: DataFrame) -> DataFrame:
     """+ situacao from history (registro, expediente, situacao, pos): the last entry of a key counts, none is empty."""
     last = history.groupBy("registro", "expediente").agg(F.max_by("situacao", "pos").alias("__s"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimp.functions import text as tx
 from palimp.operators import catalog as cat
-from palimp.operators import ranking, tables
+from palimp.operators import ranking, tables, titles
 from palimp.plans.base import query
 
 EXPECT = "CASE WHEN l_orderkey % 2 = 1 THEN ['1','2','3','4','5','6','7','8','9','III'] ELSE ['1','2','3','4','5','6','7','8','9','10','III'] END"
@@ -43,6 +43,12 @@ def search_by_period(t):
     return cat.search(t.feed.select("pos", "registro", "expediente", "data"), start="2024-01-10", end="2024-01-20")
 
 
+@query("SELECT pos, registro, expediente, data FROM feed WHERE data BETWEEN '2024-01-20' AND '2024-01-25'", "feed")
+def search_until_today(t):
+    """A search with a first day only, on the 25th."""
+    return cat.search(t.feed.select("pos", "registro", "expediente", "data"), start="2024-01-20", today="2024-01-25")
+
+
 @query("SELECT registro, nome, empresa, cnpj FROM products WHERE cnpj = '00000000079190'", "products")
 def search_by_company(t):
     return cat.search(t.products.select("registro", "nome", "empresa", "cnpj"), cnpj="00.000.000/0791-90")
@@ -116,6 +122,19 @@ def section_title_lookup(t):
     return t.marks.groupBy("secao").agg(F.count("*").alias("n")).select("secao", F.coalesce(titles[F.col("secao")], F.col("secao")).alias("titulo"), "n")
 
 
+TITLE_ROWS = ", ".join(f"('{k}', '{s}', '{t}')" for k, of in titles.TITLES.items() for s, t in of.items())
+
+
+@query(f"WITH m AS (SELECT CASE WHEN expediente % 3 = 0 THEN 'vp' WHEN expediente % 3 = 1 THEN 'vps' ELSE 'x' END AS tipo, CASE n WHEN 1 THEN 'I' WHEN 2 THEN 'III' WHEN 3 THEN 'zz' ELSE CAST(n + expediente % 7 AS VARCHAR) END AS secao FROM marks) SELECT tipo, secao, CASE WHEN t IS NULL THEN secao WHEN regexp_matches(secao, '^[0-9]+$') THEN concat(secao, '. ', t) ELSE concat(secao, ' – ', t) END AS titulo, count(*) AS n FROM m LEFT JOIN (VALUES {TITLE_ROWS}) v(tipo, secao, t) USING (tipo, secao) GROUP BY ALL", "marks")
+def section_titles(t):
+    """Sections by their titles, which differ between the kinds of text; unknown sections and kinds have none."""
+    key = F.col("expediente")
+    kind = F.when(key % 3 == 0, "vp").when(key % 3 == 1, "vps").otherwise("x")
+    section = F.when(F.col("n") == 1, "I").when(F.col("n") == 2, "III").when(F.col("n") == 3, "zz").otherwise((F.col("n") + key % 7).cast("string"))
+    counted = t.marks.groupBy(kind.alias("tipo"), section.alias("secao")).agg(F.count("*").alias("n"))
+    return titles.titled(counted).select("tipo", "secao", "titulo", "n")
+
+
 @query("SELECT expediente, secao, bool_or(declarada) AS declarada, concat('#sec-vp-', secao) AS link FROM marks WHERE alterada GROUP BY ALL", "marks")
 def changed_chips(t):
     return t.marks.where("alterada").groupBy("expediente", "secao").agg(F.bool_or("declarada").alias("declarada")).withColumn("link", F.concat(F.lit("#"), tx.anchor(F.lit("vp"), F.col("secao"), F.lit(1), F.lit(True))))

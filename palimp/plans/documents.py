@@ -58,6 +58,15 @@ def label_text(t):
     return t.documents.select("doc_id", tx.label(F.lit(""), F.col("text")).alias("rotulo"))
 
 
+@query("WITH s AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 10 + doc_id % 90), '[\\s\\p{Z}]+', ' ', 'g'), ' :.-') AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 70 THEN concat(rtrim(CASE WHEN contains(substr(x, 1, 70), ' ') THEN regexp_replace(substr(x, 1, 70), ' [^ ]*$', '') ELSE substr(x, 1, 70) END, ' ,;:(-'), '…') ELSE x END AS rotulo FROM s")
+def label_between_marks(t):
+    """Presentations stand behind their heading and before the use or the composition."""
+    piece = F.substring("text", F.lit(1), (F.lit(10) + F.col("doc_id") % 90).cast("int"))
+    mark = F.when(F.col("doc_id") % 2 == 0, " USO ORAL APRESENTAÇÕES").otherwise(" COMPOSIÇÃO")
+    whole = F.concat(F.lit("Nome APRESENTAÇÕES : "), piece, mark, F.lit(" resto"))
+    return t.documents.select("doc_id", tx.label(whole, F.lit("nothing")).alias("rotulo"))
+
+
 def _consecutive(t):
     """Each conversation's consecutive texts of one role: the old and the new version of a text."""
     order = W.partitionBy("conv_id", "role").orderBy("turn")
@@ -120,12 +129,15 @@ def token_counts(t):
 
 
 def _sides(t):
-    c = t.conversations.select("conv_id", F.col("role").alias("secao"), "turn", F.col("text").alias("texto"))
-    first = lambda d: d.groupBy("conv_id", "secao").agg(F.min("turn").alias("pos"), F.min_by("texto", "turn").alias("texto"))
-    return first(c.where("turn < 2")), first(c.where("turn between 2 and 3"))
+    """A conversation's first half and its second (by turn, the middle one in the second), each role's texts of a half as one section."""
+    half = F.col("turn") < F.ceil(F.count("*").over(W.partitionBy("conv_id")) / 2)
+    rows = t.conversations.withColumn("first", F.coalesce(half, F.lit(False)))
+    inside = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("x"))))
+    made = rows.groupBy("first", "conv_id", F.col("role").alias("secao")).agg(F.min("turn").alias("pos"), F.array_join(F.transform(inside, lambda r: r["x"]), "\n\n").alias("texto"))
+    return tuple(made.where(F.col("first") == side).drop("first") for side in (True, False))
 
 
-SIDES = "WITH o AS (SELECT conv_id, role AS secao, min(turn) AS p, min_by(text, turn) AS x FROM conversations WHERE turn < 2 GROUP BY ALL), n AS (SELECT conv_id, role AS secao, min(turn) AS p, min_by(text, turn) AS x FROM conversations WHERE turn BETWEEN 2 AND 3 GROUP BY ALL) "
+SIDES = "WITH h AS (SELECT *, coalesce(turn < ceil(count(*) OVER (PARTITION BY conv_id) / 2), false) AS first FROM conversations), m AS (SELECT first, conv_id, role AS secao, min(turn) AS p, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS x FROM h GROUP BY ALL), o AS (SELECT conv_id, secao, p, x FROM m WHERE first), n AS (SELECT conv_id, secao, p, x FROM m WHERE NOT first) "
 
 
 @query(SIDES + "SELECT conv_id, secao, coalesce(o.x, '') AS old_text, coalesce(n.x, '') AS new_text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY o.p NULLS LAST, n.p) AS BIGINT) AS pos FROM o FULL JOIN n USING (conv_id, secao)")

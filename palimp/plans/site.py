@@ -56,13 +56,13 @@ def token_lookup(t):
     return views.ids(rows, "idDocumento", ["idBulaPaciente", "idBulaProfissional"]).join(asked, ["idDocumento", "chave"])
 
 
-@query("SELECT e.event_id, e.user_id AS page, CAST(e.event_id % 40 AS BIGINT) AS mcid, o.owners[e.event_id % 40 + 1] AS owner FROM events e JOIN (SELECT user_id, list(event_type ORDER BY event_id)[1:25] AS owners FROM events GROUP BY 1) o ON o.user_id = e.user_id WHERE e.event_id % 40 < len(o.owners)")
+@query("WITH o AS (SELECT user_id, event_type AS owner, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place FROM events) SELECT e.event_id, e.user_id AS page, CAST(e.event_id % 40 AS BIGINT) AS mcid, o.owner FROM events e JOIN o ON o.user_id = e.user_id AND o.place = e.event_id % 40")
 def chunk_owner(t):
-    """Owners of chunks by their place in the page's list; places outside it have none."""
-    lists = t.events.groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), 1, 25).alias("owners"))
-    owned = lists.select("user_id", F.posexplode("owners").alias("mcid", "owner"))
-    chunks = t.events.select("event_id", "user_id", (F.col("event_id") % 40).alias("mcid"))
-    return chunks.join(owned.withColumn("mcid", F.col("mcid").cast("long")), ["user_id", "mcid"]).select("event_id", F.col("user_id").alias("page"), "mcid", "owner")
+    """Owners of chunks by their place in the page's list; places outside it have none. Lists are as long as they are."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    owned = t.events.select(F.col("user_id").alias("page"), F.col("event_type").alias("owner"), place.cast("long").alias("mcid"))
+    chunks = t.events.select("event_id", F.col("user_id").alias("page"), (F.col("event_id") % 40).alias("mcid"))
+    return chunks.join(owned, ["page", "mcid"]).select("event_id", "page", "mcid", "owner")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS ultima, count(*) AS n, string_agg(event_type, '' ORDER BY event_id) AS texto FROM events GROUP BY 1")

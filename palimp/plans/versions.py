@@ -36,6 +36,13 @@ def version_repeated_flag(t):
     return versions.repeated(t.listings).select("registro", "expediente", "tipo", "hash", "repetida")
 
 
+@query("WITH l AS (SELECT registro, expediente, data, hash FROM listings UNION ALL SELECT registro, expediente, data, situacao FROM listings), m AS (SELECT registro, hash, min((data, expediente)) AS first FROM l GROUP BY ALL) SELECT registro, expediente, bool_and(first < (data, expediente)) AS repetida FROM l JOIN m USING (registro, hash) GROUP BY ALL", "listings")
+def version_repeated_all(t):
+    """Versions with a text of each kind (an order's priority and its status) of which all were seen before."""
+    both = t.listings.unionByName(t.listings.withColumn("hash", F.col("situacao")))
+    return versions.repeated_versions(both)
+
+
 @query(CHAIN + "SELECT registro, tipo, hash, expediente, data, CAST(pos AS BIGINT) AS pos FROM chain", "listings")
 def version_chain_dedup(t):
     return versions.chain(t.listings).select("registro", "tipo", "hash", "expediente", "data", "pos")

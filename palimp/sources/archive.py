@@ -89,15 +89,6 @@ def uncommented(c: Column) -> Column:
     return F.trim(F.get(F.split(c, "#", 2), F.lit(0)))
 
 
-def write_versions(df: DataFrame, path: str) -> None:
-    """A folder for each product, so that one product's versions are read without the others'."""
-    df.write.mode("overwrite").partitionBy("registro").json(path)
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a file: an archived version's, or (binary) a PDF's bytes, whose text a caller extracts."""
     if path.endswith(".json"):

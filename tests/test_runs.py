@@ -225,6 +225,27 @@ def test_archiving_products(spark, tmp_path):
     assert ("100", "e1", "vp") in go(latest=None)
 
 
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    """catalog, feed and fetch from the command line, on the made-up service."""
+    from palimp import __main__ as command
+    from palimp.operators.catalog import stale
+
+    monkeypatch.setattr(command, "session", lambda: spark)
+    remembered = tmp_path / "service.json"
+    remembered.write_text(json.dumps({"asked": [], "generation": 0}))
+    monkeypatch.setenv("PALIMP_SERVICE", str(remembered))
+    command.main(["catalog", "-", f"{tmp_path}/cat", "--service", "tests.fake_service.fetch", "--pace", "0"])
+    assert "25" in capsys.readouterr().out and snapshots.state(spark, f"{tmp_path}/cat")["rows"] == 25
+    command.main(["catalog", "-", f"{tmp_path}/cat", "--service", "tests.fake_service.fetch", "--pace", "0"])
+    assert capsys.readouterr().out == "" and snapshots.state(spark, f"{tmp_path}/cat")["versao"] == 0
+    command.main(["feed", f"{tmp_path}/feed", f"{tmp_path}/state", "--de", "2024-01-01", "--ate", "2024-01-03", "--service", "tests.fake_service.days", "--pace", "0"])
+    assert "2024-01-03" in capsys.readouterr().out and spark.read.parquet(f"{tmp_path}/feed").count() == 6
+    with pytest.raises(SystemExit):
+        command.main(["fetch", f"{tmp_path}/archive", "999", "--service", "tests.fake_service.product_service", "--extract", "json.loads", "--pace", "0"])
+    assert "LookupError" in capsys.readouterr().out
+    assert stale(None, "2024-01-08") and stale("2024-01-01", "2024-01-08") and not stale("2024-01-02", "2024-01-08")
+
+
 class _Answers(BaseHTTPRequestHandler):
     seen: list = []
 
