@@ -7,12 +7,18 @@ layer, both fold into one table of scores for each subword bucket.
 A softmax only says which learned language is nearest, so that of foreign text and gibberish is sure of itself as well. What
 a text has of its language is its familiarity: the mean log probability of its subwords among those of the language's
 training texts, against even odds. Its threshold lies between texts held from training and texts made to be out of class.
+
+Familiarity is with the training texts' vocabulary; ordinary text in other words isn't familiar either. What all texts of a
+language share are its common words, so a text stays, however odd the rest is, if more of its words are among those of the
+language than in all but a few texts of other languages or of none.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,11 @@ TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 1200, 20_000, 256
 REJECT = 0.002
 #: Familiarity counts so many subwords of the mean in class besides a text's own: a few odd ones don't reject a short text.
 PRIOR = 20
+#: A language's common words are in this part of its training texts of so many words; a text has at least so many of them.
+COMMON, ENOUGH, SPOKEN = 0.5, 30, 3
+#: The part of the texts out of class that have fewer common words than the threshold.
+FOREIGN = 0.99
+_WORD = re.compile(r"[^\W\d_]+")
 U = np.uint64
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -73,6 +84,8 @@ class Model:
     familiar: np.ndarray  # (buckets, languages): log probability in a language's training texts, against even odds
     usual: float = 0.0  # mean familiarity of texts in class
     least_familiar: float = -np.inf  # texts of lower familiarity are rejected
+    common: dict[str, frozenset[str]] = field(default_factory=dict)  # each language's common words
+    least_common: float = 1.0  # texts with a larger part of common words stay
 
     def logits(self, n: np.ndarray) -> np.ndarray:
         total = n.sum()
@@ -92,10 +105,19 @@ class Model:
         own = n[used] @ self.familiar[used, self.languages.index(lang)]
         return float((own + PRIOR * self.usual) / (n.sum() + PRIOR))
 
-    def judge(self, n: np.ndarray) -> tuple[str, float, bool]:
-        """Language, score and whether the text is rejected."""
+    def spoken(self, text: str, lang: str) -> float:
+        """The part of a text's words that are among the common ones of a language; 0 if there are too few to tell."""
+        words = _WORD.findall(text.lower())
+        known = sum(map(self.common.get(lang, frozenset()).__contains__, words))
+        return known / len(words) if known >= SPOKEN else 0.0
+
+    def judge(self, n: np.ndarray, text: Callable[[], str] = str) -> tuple[str, float, bool]:
+        """Language, score and whether the text is rejected; `text` is asked for only if the subwords alone would reject it."""
         lang, score = self.predict(n)
-        return lang, score, lang == UNKNOWN or score < self.least or self.familiarity(n, lang) < self.least_familiar
+        if lang == UNKNOWN:
+            return lang, score, True
+        odd = score < self.least or self.familiarity(n, lang) < self.least_familiar
+        return lang, score, odd and self.spoken(text(), lang) <= self.least_common
 
 
 def strangers(raw: bytes, rng: np.random.Generator) -> list[bytes]:
@@ -123,6 +145,8 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
     # Sparse rows: the buckets of a cut and their parts of it.
     x, y, held, held_y = [], [], [], []
     seen = np.zeros((size, len(languages)))
+    long: Counter = Counter()
+    inside: dict[str, Counter] = {x: Counter() for x in languages}
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         raw = text.encode()
         if i % 5 == 4:
@@ -130,6 +154,10 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
             held_y.append(label[lang])
             continue
         seen[:, label[lang]] += vector(raw)
+        words = _WORD.findall(text.lower())
+        if len(words) >= ENOUGH:
+            long[lang] += 1
+            inside[lang].update(set(words))
         cuts = [raw]
         if len(raw) > 200:
             for n in (60, 200):
@@ -165,7 +193,8 @@ def train(texts: list[str], langs: list[str], *, seed: int = 7, epochs: int = 30
                 bias -= step * g.sum(0)
                 emb[used] -= step * 20 * grad
     familiar = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * size) * size)
-    model = Model(languages, (emb @ w).astype(np.float64), bias.astype(np.float64), 1.0, 0.0, familiar)
+    common = {x: frozenset(w for w, k in inside[x].items() if k >= COMMON * long[x]) for x in languages}
+    model = Model(languages, (emb @ w).astype(np.float64), bias.astype(np.float64), 1.0, 0.0, familiar, common=common)
     calibrate(model, held, held_y, vector, rng)
     return model
 
@@ -175,7 +204,7 @@ def calibrate(model: Model, held: list[bytes], of: list[int], vector: Callable[[
 
     Out of class are strangers() of each, and the text itself to a model that knows all languages but its own.
     """
-    own, y, outside = [], [], []
+    own, y, outside, foreign = [], [], [], []
     for raw, k in zip(held, of, strict=True):
         cuts = [raw]
         for n in (60, 200):
@@ -190,12 +219,16 @@ def calibrate(model: Model, held: list[bytes], of: list[int], vector: Callable[[
             y.append(k)
             z = own[-1][1].copy()
             z[k] = -np.inf
+            words = cut.decode("utf-8", "ignore")
             if len(z) > 1:
                 outside.append((v.sum(), v @ model.familiar[:, int(z.argmax())]))
+                foreign.append(model.spoken(words, model.languages[int(z.argmax())]))
             for other in strangers(cut, rng):
                 v = vector(other)
                 if v.sum():
-                    outside.append((v.sum(), v @ model.familiar[:, int(model.logits(v).argmax())]))
+                    nearest = int(model.logits(v).argmax())
+                    outside.append((v.sum(), v @ model.familiar[:, nearest]))
+                    foreign.append(model.spoken(other.decode("utf-8", "ignore"), model.languages[nearest]))
     if not own:
         return
     z, y = np.stack([r[1] for r in own]), np.array(y)
@@ -217,6 +250,8 @@ def calibrate(model: Model, held: list[bytes], of: list[int], vector: Callable[[
     shrunk = lambda n, x: (x + PRIOR * model.usual) / (n + PRIOR)
     low = float(np.quantile(shrunk(total, known), REJECT))
     high = float(np.quantile([shrunk(*r) for r in outside], 1 - REJECT)) if outside else low
+    if foreign:
+        model.least_common = float(np.quantile(foreign, FOREIGN))
     # Where the two overlap, clean texts stay.
     model.least_familiar = (low + high) / 2 if high < low else low
 
@@ -247,7 +282,8 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     """keep + lang_pred, score, rejected for each row, from the whole text.
 
     A null text or one without a letter is `und`, score 0, rejected. Otherwise lang_pred is a learned language (ties: the
-    first by name) and the row is rejected if its calibrated score or its familiarity is below the model's threshold.
+    first by name) and the row is rejected if its calibrated score or its familiarity is below the model's threshold and it
+    has no more common words of that language than texts out of class have.
     Repeated rows are judged each; columns beside `text` and `keep` are not read; an empty table gives an empty result.
     """
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
@@ -267,7 +303,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
                     if plain[e] == plain[a] and not any(c.isalpha() for c in buf[a:e].tobytes().decode("utf-8", "replace")):
                         lang, score, out = UNKNOWN, 0.0, True
                     else:
-                        lang, score, out = model.judge(counts(found, a + 2 * i, e + 2 * i + 2, size))
+                        lang, score, out = model.judge(counts(found, a + 2 * i, e + 2 * i + 2, size), lambda a=a, e=e, buf=buf: buf[a:e].tobytes().decode("utf-8", "replace"))
                     langs.append(lang)
                     scores.append(score)
                     rejected.append(out)

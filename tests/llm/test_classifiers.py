@@ -292,6 +292,45 @@ def test_foreign_texts_and_gibberish_are_rejected(spark, docs):
         assert np.mean([r["rejected"] for r in langid.identify(clean, model).collect()]) < 0.02
 
 
+#: Ordinary text in words that no training text has: news, letters, terms, manuals.
+ORDINARY = {
+    "en": [
+        "The government announced new measures today to support families and small businesses in the country.",
+        "We describe a distributed system that processes large amounts of data on many machines, and report its performance on several workloads.",
+        "He went home early because it was raining and nobody wanted to stay any longer in the cold.",
+        "Permission to use, copy and modify this software for any purpose is granted, provided that the above notice is in all copies of it.",
+        "Before you open the cover of the printer, make sure that it is switched off and that the cable is not connected to the wall.",
+        "My grandmother used to tell us that a walk by the sea was the best cure for a bad temper, and I think that she was right.",
+        "The committee is of the opinion that the proposal should be rejected, as it would lead to higher costs for all members.",
+        "In this chapter a method for the analysis of stellar spectra is developed and applied to observations from three telescopes.",
+    ],
+    "fr": [
+        "Le gouvernement a annoncé aujourd'hui de nouvelles mesures pour soutenir les familles et les petites entreprises du pays.",
+        "Dans la cuisine, elle a posé le panier sur la table et a regardé par la fenêtre les enfants qui jouaient dans la cour.",
+        "La société est responsable de la qualité des produits qui sont vendus dans les magasins et sur le marché.",
+    ],
+    "de": [
+        "Die Regierung hat heute neue Maßnahmen angekündigt, um Familien und kleine Unternehmen in der Stadt und auf dem Land zu unterstützen.",
+        "Der Zug nach Hamburg ist mit einer Verspätung von zwanzig Minuten in den Bahnhof eingefahren, und die Reisenden waren nicht erfreut.",
+        "In der Nacht ist es kalt, und der Wind weht von den Bergen über die Felder und das Dorf zu dem See.",
+    ],
+    "es": [
+        "El gobierno anunció hoy nuevas medidas para apoyar a las familias y a las pequeñas empresas del país.",
+        "En la casa de mi abuelo había una mesa de madera que era más vieja que todos los árboles del jardín.",
+        "La empresa es responsable de la calidad de los productos que se venden en las tiendas y en el mercado.",
+    ],
+}
+
+
+def test_ordinary_text_stays(spark, docs):
+    model = langid.fit(docs)
+    names, texts = zip(*[(lang, t) for lang, of in ORDINARY.items() for t in of], strict=True)
+    got = {r["doc_id"]: r for r in langid.identify(documents(spark, list(texts)), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(len(texts))] == list(names)
+    assert sum(got[i]["rejected"] for i in range(len(texts))) <= 1
+    assert 0 < model.least_common < 0.3 and "the" in model.common["en"]
+
+
 URLS = [None, "", "no sign", "http://a.net", "http://a.net/", "HTTP://X.EXAMPLE.NET/en/1?q#f", "http://example.net/de/", "http://badexample.net/en/", "https://example.com/de/x", "https://www.example.com/DE/x", "https://u:p@h.org/fr/", "https://h.org:80/fr/", "https://org/fr/1", "x://y?z/de/", "http://spam-farm.io/", "http://spamfarm.io/", "http://x.io/free_download", "http://x.io/?casino", "http://x.io/casino#a", "http://CASINO.example.net/en/x", "a://b://c/d", "http://example.com/de", "http://ÄÖ.Net/Ä", "http://net/", "http://a.org/ca\u017fino", "http://a.org/\u212acasino", "http://a.org/Buy_Pills", "http://a.org/buy/pills/x", "http://a.org/buypills"]
 
 
