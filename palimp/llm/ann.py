@@ -35,8 +35,8 @@ from palimp.llm.durable import durable, joined
 from palimp.llm.grouped import groups as groups_of
 
 TABLES, WIDTH, SEED = 6, 2.5, 11
-#: Part of the sample's true neighbours that the probes reach, and queries in the sample.
-SUCCESS, SAMPLE = 0.96, 128
+#: Part of the sample's true neighbours that the probes reach; queries in the sample, and of each norm band besides.
+SUCCESS, SAMPLE, OF_BAND = 0.96, 128, 12
 #: Probes of a table at most; on isotropic vectors of 256 components some thousand are used.
 MOST_PROBES = 20_000
 #: Bytes of the vectors of a group of buckets, about.
@@ -72,8 +72,15 @@ def sequence(hashes: int, probes: int, farthest: float = math.inf) -> list[tuple
     return out
 
 
+def norms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mantissa, exponent) of the rows' norms, by their largest components: no square is lost or overflows."""
+    exponent = np.frexp(np.abs(x).max(1))[1]
+    return np.sqrt((np.ldexp(x, -exponent[:, None]) ** 2).sum(1)), exponent
+
+
 def bands(x: np.ndarray) -> np.ndarray:
-    return np.ceil(2 * np.log2(np.sqrt((x * x).sum(1)))).astype(np.int64)
+    mantissa, exponent = norms(x)
+    return np.ceil(2 * np.log2(mantissa)).astype(np.int64) + 2 * exponent
 
 
 @dataclass
@@ -98,13 +105,16 @@ class Family:
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """The hash values of rows, each in its band."""
-        top = 2.0 ** (bands(x) / 2)
-        rest = np.sqrt(np.maximum(1 - (x * x).sum(1) / top**2, 0))
-        return np.floor(self.project(np.c_[x / top[:, None], rest])).astype(np.int64)
+        mantissa, exponent = norms(x)
+        # A band's largest norm is a power of two, or half an octave below one.
+        top = np.exp2(np.ceil(2 * np.log2(mantissa)) / 2)
+        rest = np.sqrt(np.maximum(1 - (mantissa / top) ** 2, 0))
+        return np.floor(self.project(np.c_[np.ldexp(x, -exponent[:, None]) / top[:, None], rest])).astype(np.int64)
 
     def asked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of queries (queries, tables): the hash values of their own buckets, and the borders (2 * hashes; below, then above) by distance."""
-        f = self.project(np.c_[q / np.sqrt((q * q).sum(1))[:, None], np.zeros(len(q))])
+        mantissa, exponent = norms(q)
+        f = self.project(np.c_[np.ldexp(q, -exponent[:, None]) / mantissa[:, None], np.zeros(len(q))])
         own = np.floor(f)
         return own.astype(np.int64), np.argsort(np.concatenate([f - own, own + 1 - f], axis=2), axis=2, kind="stable")
 
@@ -130,7 +140,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec
     A query that finds fewer than k candidates is compared with all rows instead, so short tables give all they have.
     Null and zero vectors and those with a null or non-finite component take no part; vectors meet only those of their
     own length. Rows that share a key count once, with the vector that comes first component by component; a query never
-    finds its own key. An empty table gives an empty result; other columns are not read. Bounds: `sample` queries with
+    finds its own key. An empty table gives an empty result; other columns are not read. Bounds: at most 9 * `sample` queries with
     their k neighbours and one row for each length and norm band come to the driver.
     """
     item = vectors.schema[vector].dataType
@@ -236,7 +246,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec
                     rows = rows[mine[rows] != ids[at + i]]
                     if len(rows) > k:
                         about = x[rows] @ q[i]
-                        slack = 8 * dim * np.finfo(dtype).eps * 2.0 ** (place[1] / 2) * float(np.sqrt((q[i].astype(float) ** 2).sum()))
+                        slack = 8 * dim * np.finfo(dtype).eps * 2.0 ** (place[1] / 2) * np.ldexp(*(v[0] for v in norms(q[i : i + 1].astype(np.float64))))
                         rows = rows[about >= np.partition(about, len(rows) - k)[len(rows) - k] - slack]
                     exact = (x[rows].astype(np.float64) * q[i].astype(np.float64)).sum(1)
                     top = tiles.select(exact, mine[rows], k)
@@ -293,7 +303,19 @@ def scanned():
 
 def fitted(rows: DataFrame, asked: DataFrame, family, k: int, success: float, sample: int) -> dict[tuple[int, int], float]:
     """For each length and norm band that holds neighbours of the sample, the expected distance up to which probes go."""
-    drawn = asked.orderBy(F.xxhash64("id"), "id").limit(sample).coalesce(1)
+    dtype = dict(asked.dtypes)["x"]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with their length and norm band."""
+        for b in batches:
+            for dim, ids, x in tiles.vectors_of(b, False):
+                kind = pa.list_(pa.float32() if dtype == "array<float>" else pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist(), kind), pa.array(np.full(len(ids), dim)), pa.array(bands(x))], names=["id", "x", "dim", "band"])
+
+    order = W.partitionBy("dim", "band").orderBy(F.xxhash64("id"), "id")
+    strata = asked.mapInArrow(placed, f"id long, x {dtype}, dim long, band long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= OF_BAND)
+    # Some of each band, so that what only short queries are near to is seen as well; bands are few, or hold few rows.
+    drawn = asked.orderBy(F.xxhash64("id"), "id").limit(sample).unionByName(strata.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(8 * sample)).dropDuplicates(["id"]).orderBy("id").coalesce(1)
     known: defaultdict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
     for b in drawn.toArrow().to_batches():
         for dim, ids, q in tiles.vectors_of(b, False):

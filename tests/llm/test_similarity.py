@@ -231,6 +231,47 @@ def test_recall_at_size(spark, tmp_path, shape):
     assert recall(ann.nearest(as_table(spark, x, tmp_path), every=1000).collect(), x, 1000) >= 0.9
 
 
+def test_recall_of_small_groups_with_short_vectors(spark, tmp_path):
+    """Four groups of 100 that are nearest to each other only, with norms from 1 down to 0.03 of a component: recall group by group."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 40)) * np.r_[np.ones(32), np.zeros(8)]
+    for g, scale in enumerate((1.0, 0.3, 0.1, 0.03)):
+        rows = np.arange(100) * 200 + 10 * g  # 0, 200, ... are queries of the first group, and so on
+        x[rows] = scale * (np.eye(40)[32 + 2 * g] * 3 + rng.normal(size=(100, 40)) * np.r_[np.zeros(32 + 2 * g), 0.5, 0.5, np.zeros(6 - 2 * g)])
+    got = ann.nearest(as_table(spark, x, tmp_path), every=10).where("query_id % 200 in (0, 10, 20, 30, 100)").collect()
+    x = x.astype(np.float32).astype(float)
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for g in (0, 10, 20, 30, 100):
+        parts = []
+        for q in range(g, 20_000, 200):
+            s = x @ x[q]
+            s[q] = -np.inf
+            best = np.argpartition(-s, 20)[:20]
+            parts.append(len(found[q] & set(best.tolist())) / 20)
+        assert np.mean(parts) >= 0.9, (g, np.mean(parts))
+
+
+def test_norms_without_squares(spark):
+    """Vectors whose squares are lost or overflow take part as any others; only the direction tells their neighbours apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x[1::2] *= 1e-200
+    x[0::30] *= 1e150
+    assert ann.bands(np.array([[1e-200, 0.0], [3e-320, 0.0], [1e150, 1e150], [1.0, 0.0], [1.5, 0.0]])).tolist() == [math.ceil(2 * math.log2(v)) for v in (1e-200, 3e-320, math.sqrt(2) * 1e150, 1.0, 1.5)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(rows, every=15).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    parts = []
+    for q in range(0, 300, 15):
+        s = (x * x[q]).sum(1)
+        best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:20]
+        parts.append(len(set(found[q]) & set(best)) / 20)
+    assert min(parts[1::2]) >= 0.7 and np.mean(parts) >= 0.9
+
+
 def test_candidates_come_from_probed_buckets_only(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(5).normal(size=(4000, 32))
     table = as_table(spark, x, tmp_path)
