@@ -6,6 +6,9 @@ statistics tell. A frequent token is dealt to several files by document; no task
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +29,26 @@ def _bucket(token: Column, buckets: int) -> Column:
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
     """path/postings: token, doc, tf, places (from 0), size (the document's tokens) by bucket; path/about: documents, tokens, buckets. Keys must be unique."""
     cut = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
-    each = cut.select("doc", F.size("t").alias("size"), F.posexplode("t").alias("place", "token"))
-    # A document's places of a token come from one row, so this is no hot group however frequent the token is.
-    posted = each.groupBy("token", "doc").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"), F.max("size").alias("size"))
-    placed = posted.withColumn("bucket", _bucket(F.col("token"), buckets))
-    placed.repartitionByRange("bucket", "token", "doc").sortWithinPartitions("bucket", "token", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    kind = dict(cut.dtypes)["doc"]
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each document's places by token: they come from one row, so nothing is shuffled for them."""
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("token", "doc", "tf", "places", "size")}
+            for doc, words in zip(b["doc"], b["t"], strict=True):
+                places: dict[str, list[int]] = {}
+                for i, w in enumerate(words):
+                    places.setdefault(w, []).append(i)
+                out["token"] += places.keys()
+                out["places"] += places.values()
+                out["tf"] += map(len, places.values())
+                out["doc"] += [doc] * len(places)
+                out["size"] += [len(words)] * len(places)
+            yield pd.DataFrame(out)
+
+    placed = cut.mapInPandas(posted, f"token string, doc {kind}, tf int, places array<int>, size int").withColumn("bucket", _bucket(F.col("token"), buckets))
+    # Rebalancing splits a bucket that a frequent token makes large; a task's rows are in the order of the files.
+    placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     about = cut.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("tokens")).withColumn("buckets", F.lit(buckets))
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
