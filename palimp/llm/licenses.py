@@ -1,10 +1,11 @@
 """Licence scans: a trained classifier of paragraphs by word n-grams, with an unknown class, confirmed by comparison with templates.
 
 The classifier is a multinomial logistic regression on the presence of word unigrams and bigrams, trained here from the
-templates below: each is varied by leaving out words and by strange words around it, and sentences that speak of other
-licences train the unknown class. Its probabilities are calibrated by a temperature on variations held back from
-training, and so is the least probability that counts as known; a paragraph that is likelier unknown than of any family
-is never claimed.
+templates below: each is varied by leaving out words and by strange words around it. Sentences that deny a licence, that
+only mention one or that speak of other things in a licence's words train the unknown class, and notices of licences
+with strange names the class OTHER. Its probabilities are calibrated by a temperature, and so is the least probability
+that counts as known, on whole sentences held back from training beside variations of trained ones; a paragraph that is
+likelier unknown than of any family is never claimed.
 
 A paragraph is a line, in windows of SPAN words where it is longer, or a line with those that follow it up to a blank
 one, at most LINES of them: texts that are wrapped hard are seen whole. A family is confirmed where the pairs of
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -27,18 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Least part of a template's pairs of neighbouring words that a paragraph must hold, within twice the template's length, to confirm its family.
-SIMILAR = 0.5
-#: Part of the held-back unknown variations that may pass as known.
-FALSE_KNOWN = 0.001
+#: The class of notices of a licence that is no family; it has no templates, so nothing confirms it.
+OTHER = "other"
+#: Least part of a template's pairs of neighbouring words that a paragraph must hold, within twice the template's length, to confirm its family; articles aren't counted.
+SIMILAR = 0.6
 #: Words of a window and how far the next one lies; lines that are joined at most.
 SPAN, STRIDE, LINES = 64, 32, 4
 #: What licences are called, by family; each name also stands behind "SPDX-License-Identifier:" if it is written as there.
 NAMES = {
-    "AGPL": ("GNU Affero General Public License version 3", "AGPL v3", "AGPL-3.0-only", "AGPL-3.0-or-later"),
-    "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache-2.0"),
+    "AGPL": ("GNU Affero General Public License version 3", "AGPL v3", "AGPLv3", "GNU AGPL", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "Apache-2.0": ("Apache License Version 2.0", "Apache License 2.0", "Apache 2.0", "ASL 2.0", "Apache-2.0"),
     "Artistic": ("Artistic License 2.0", "Artistic-2.0"),
-    "BSD": ("BSD License", "3-clause BSD License", "BSD-2-Clause", "BSD-3-Clause"),
+    "BSD": ("BSD License", "3-clause BSD License", "BSD", "BSD-2-Clause", "BSD-3-Clause"),
     "BSL": ("Boost Software License Version 1.0", "BSL-1.0"),
     "CC-BY": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license", "CC-BY-4.0"),
     "CC-BY-NC": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial license", "CC-BY-NC-4.0"),
@@ -47,11 +49,11 @@ NAMES = {
     "CC0": ("CC0 1.0", "CC0-1.0", "CC0 1.0 Universal public domain dedication"),
     "EPL": ("Eclipse Public License 2.0", "Eclipse Public License version 1.0", "EPL-2.0"),
     "EUPL": ("European Union Public Licence version 1.2", "EUPL-1.2"),
-    "GPL": ("GNU General Public License version 3", "GPL v3", "GNU GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "GPL": ("GNU General Public License version 3", "GPL v3", "GPLv2", "GPLv3", "GPL", "GNU GPL", "GNU GPL version 2 or later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"),
     "ISC": ("ISC License", "ISC"),
-    "LGPL": ("GNU Lesser General Public License version 2.1", "LGPL v3", "LGPL-2.1-only", "LGPL-3.0-or-later"),
+    "LGPL": ("GNU Lesser General Public License version 2.1", "LGPL v3", "LGPLv2", "LGPLv3", "LGPL", "GNU LGPL", "LGPL-2.1-only", "LGPL-3.0-or-later"),
     "MIT": ("MIT License", "MIT"),
-    "MPL": ("Mozilla Public License version 2.0", "MPL-2.0"),
+    "MPL": ("Mozilla Public License version 2.0", "MPL 2.0", "MPLv2", "MPL-2.0"),
     "Proprietary": (),
     "Unlicense": ("Unlicense",),
     "Zlib": ("zlib License", "Zlib"),
@@ -79,15 +81,25 @@ TEXTS = {
     "Unlicense": ("this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose"),
     "Zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
 }
-#: Sentences that name a licence.
-SAYINGS = ("licensed under the {}", "released under the {}", "distributed under the terms of the {}", "available under {}")
+#: Sentences that put something under a licence.
+SAYINGS = ("licensed under the {}", "released under the {}", "distributed under the terms of the {}", "available under {}", "published under the {}", "covered by the {}", "{} licensed", "license {}")
+#: How many of them can be denied, or name a strange licence.
+DENIABLE = 6
+#: What a sentence denies, before one of SAYINGS.
+DENIALS = ("is not", "was never", "is no longer", "are not", "isn't", "cannot be", "was not", "were never", "has not been", "were not", "aren't", "nothing here is")
+#: Sentences that mention a licence and put nothing under it.
+MENTIONS = ("the {}", "rejected the {}", "refused the terms of the {}", "a lecture about the {}", "the history of the {}", "instead of the {}", "incompatible with the {}", "the authors of the {}", "the {} was written long ago", "unlike the {} it has no conditions", "moved away from the {}", "a critic of the terms of the {}", "not the {}")
 TEMPLATES = {
     f: (*(say.format(n) for n in names for say in SAYINGS), *(f"SPDX-License-Identifier: {n}" for n in names if " " not in n), *TEXTS[f]) for f, names in NAMES.items()
 }
 #: Sentences that speak of other things in a licence's words.
-OTHERS = ("he lost his driver license on the way", "the restaurant needs a liquor license", "a license plate was found near the road", "the city issued a fishing license and a permit", "licensed nurses work in the public hospital", "a licensed electrician must check the work", "the club was released from the contract", "the film was released in the spring", "the new version of the story is longer", "the public library is open to any person", "the general said the troops may not move", "the foundation gave the school a free copy of the book", "software updates are distributed every month", "the terms of the agreement were published in the newspaper", "the apache people live in the west", "he studied at mit in the city", "a copy of the letter is in the file", "the source of the river is in the mountains", "the notice above the door", "rights of the workers are reserved for the court", "the work was done without warranties", "creative people work in common rooms", "this work is part of a series", "the conditions of the road", "the following list of names", "commons debate on the public budget", "free of charge for any visitor", "the document is subject to change", "international law and public order", "the author has all the time", "the form must be signed in writing")
+OTHERS = ("he lost his driver license on the way", "the restaurant needs a liquor license", "a license plate was found near the road", "the city issued a fishing license and a permit", "licensed nurses work in the public hospital", "a licensed electrician must check the work", "the club was released from the contract", "the film was released in the spring", "the new version of the story is longer", "the public library is open to any person", "the general said the troops may not move", "the foundation gave the school a free copy of the book", "software updates are distributed every month", "the terms of the agreement were published in the newspaper", "the apache people live in the west", "he studied at mit in the city", "a copy of the letter is in the file", "the source of the river is in the mountains", "the notice above the door", "rights of the workers are reserved for the court", "the work was done without warranties", "creative people work in common rooms", "this work is part of a series", "the conditions of the road", "the following list of names", "commons debate on the public budget", "free of charge for any visitor", "the document is subject to change", "international law and public order", "the author has all the time", "the form must be signed in writing", "the trade was licensed under an old law of the king", "the drug is licensed under strict conditions", "a pilot licensed under the rules of another state", "the prisoners were released under a treaty", "the food was distributed under the eyes of the guards", "the room is available under the roof", "her poems were published under another name", "the floor is covered by the carpet", "the license costs more than before", "a school licensed by the state", "the shop sells licensed toys")
 #: Words too common to be features of their own.
 COMMON = frozenset("a an and any are as at be by can for from has he his if in is it may must no not of on or shall that the this to under was were with without you your".split())
+#: Common words that are features all the same, since they tell what a sentence does with a licence; alone they make no paragraph worth a look.
+CUES = frozenset("no not under".split())
+#: Words that a notice may have or not have.
+ARTICLES = ("a", "an", "the")
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -95,14 +107,20 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def bare(words: list[str]) -> list[str]:
+    return [w for w in words if w not in ARTICLES]
+
+
 def neighbours(words: list[str]) -> set[str]:
+    words = bare(words)
     return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} or set(words)
 
 
 def grams(words: list[str]) -> set[str]:
-    """Unigrams and bigrams that hold a word that isn't common."""
-    pairs = (f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if not (a in COMMON and b in COMMON))
-    return {w for w in words if w not in COMMON} | set(pairs)
+    """Unigrams and bigrams that hold a word that isn't common, or a cue."""
+    idle = COMMON - CUES
+    pairs = (f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if not (a in idle and b in idle))
+    return {w for w in words if w not in idle} | set(pairs)
 
 
 @dataclass(frozen=True)
@@ -125,48 +143,89 @@ class Model:
         return dict(zip(self.families, (e / e.sum()).tolist(), strict=True))
 
 
+def lessons(rng: np.random.Generator, strange: list[str]) -> dict[str, list[tuple[str, bool]]]:
+    """By class: the sentences it is taught by, and whether one is held back whole. Sentences with a name are held back by turns, so that every name and every saying is learned from others."""
+
+    def turns(sentences: Sequence[str], every: int = 5) -> list[tuple[str, bool]]:
+        return [(s, i % every == every - 1) for i, s in enumerate(sentences)]
+
+    out = {}
+    for f, names in NAMES.items():
+        notices = [SAYINGS[(i + j) % len(SAYINGS)].format(n) for j, n in enumerate(names) for i in range(len(SAYINGS))]
+        out[f] = [*turns(notices), *((s, False) for s in TEMPLATES[f] if s not in notices)]
+    every_name = [n for names in NAMES.values() for n in names]
+    several = [" ".join(rng.choice(strange, int(rng.integers(1, 4)))) + str(rng.choice(["", "", " License", " Public License", " License version 2", " v3"])) for _ in range(60)]
+    out[OTHER] = turns([say.format(n) for i, n in enumerate(several) for say in SAYINGS[i % 2 : DENIABLE : 2]])
+    said = [f"{DENIALS[(i + 3 * j + k) % len(DENIALS)]} {SAYINGS[j].format(n)}" for i, n in enumerate([*every_name, *several]) for j in range(DENIABLE) for k in range(4)]
+    told = [m.format(n) for n in [*every_name, *several] for m in MENTIONS]
+    out[UNKNOWN] = [*turns(said), *turns(told), *turns(OTHERS)]
+    return out
+
+
 @cache
-def train(seed: int = 5, each: int = 240, steps: int = 400, rate: float = 2.0) -> Model:
-    """Gradient descent in numpy on variations of the fixed sentences; a fourth is held back for calibration. Each family has about `each` of them."""
+def train(seed: int = 5, each: int = 240, steps: int = 160, rate: float = 0.1) -> Model:
+    """Adam in numpy, since rare names need as long a step as common words, on variations of the fixed sentences; a fourth of them is held back for calibration, and every variation of the sentences that lessons() holds back. Each family has about `each` of them."""
     rng = np.random.default_rng(seed)
-    families = (*sorted(TEMPLATES), UNKNOWN)
+    families = (*sorted(TEMPLATES), OTHER, UNKNOWN)
     strange = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(400)]
-    known = sorted(set().union(*(grams(tokens(t)) for ts in TEMPLATES.values() for t in ts)))
+    taught = lessons(rng, strange)
+    odd, common = set(strange), sorted(COMMON)
+    naming = {w for ns in NAMES.values() for n in ns for w in tokens(n)}
+    known = sorted(g for g in set().union(*(grams(tokens(t)) for f in families for t, _ in taught[f] if t not in OTHERS)) if not odd & set(g.split()))
     column = {g: i for i, g in enumerate(known)}
-    rows, goal = [], []
-    for k, sentences in enumerate([*(TEMPLATES[f] for f in families[:-1]), OTHERS]):
-        variations = -(-(each if k < len(families) - 1 else 10 * each) // len(sentences))
-        for s in sentences:
-            words = tokens(s)
-            for v in range(variations):
-                drop = 0.0 if v < max(2, variations // 3) else 0.12
-                own = [w for w in words if rng.random() >= drop] or words
-                around = [str(rng.choice(sorted(COMMON) if rng.random() < 0.4 else strange)) for _ in range(int(rng.integers(0, 12 if v % 2 else 50)))]
-                at = int(rng.integers(0, len(around) + 1))
-                rows.append([column[g] for g in grams([*around[:at], *own, *around[at:]]) if g in column])
-                goal.append(k)
+    rows, goal, held = [], [], []
+    for k, f in enumerate(families):
+        groups = [[p for p in taught[f] if p[0] not in OTHERS], [p for p in taught[f] if p[0] in OTHERS]]
+        for sentences, wanted in zip(groups, (each if f not in (OTHER, UNKNOWN) else 16 * each, 10 * each), strict=True):
+            variations = -(-wanted // max(1, len(sentences)))
+            for s, whole in sentences:
+                words = tokens(s)
+                for v in range(variations):
+                    drop = 0.0 if v < max(2, variations // 3) or f == UNKNOWN else 0.12
+                    own = [w for w in words if w in naming or rng.random() >= drop] or words
+                    if v % 3 == 2:
+                        # Articles come and go.
+                        own = [w if w not in ARTICLES else "a" for w in own] if v % 2 else bare(own)
+                    picks = rng.random((int(rng.integers(0, 12 if v % 2 else 50)), 2)).tolist()
+                    around = [common[int(y * len(common))] if x < 0.4 else strange[int(y * len(strange))] for x, y in picks]
+                    at = int(rng.integers(0, len(around) + 1))
+                    # A denial may stand anywhere but right before a notice, which it would deny.
+                    while at and around[at - 1] in CUES:
+                        at -= 1
+                    rows.append([column[g] for g in grams([*around[:at], *own, *around[at:]]) if g in column])
+                    goal.append(k)
+                    held.append(whole or len(rows) % 4 == 0)
     # Strange text without a licence, and stray words of the templates, are unknown as well.
     for _ in range(1500):
-        words = [str(w) for w in rng.choice(strange, int(rng.integers(3, 30)))]
+        words = [strange[i] for i in rng.integers(0, len(strange), int(rng.integers(3, 30))).tolist()]
         words += [known[int(rng.integers(len(known)))].split()[0] for _ in range(int(rng.integers(0, 3)))]
         rows.append([column[g] for g in grams([str(w) for w in rng.permutation(words)]) if g in column])
         goal.append(len(families) - 1)
+        held.append(len(rows) % 4 == 0)
     x, y = np.zeros((len(rows), len(known)), np.float32), np.array(goal)
     for i, r in enumerate(rows):
         x[i, r] = 1
-    held = np.arange(len(rows)) % 4 == 3
-    w, bias = np.zeros((len(known), len(families)), np.float32), np.zeros(len(families), np.float32)
-    fit, one = x[~held], np.eye(len(families), dtype=np.float32)[y[~held]]
-    for step in range(steps):
-        z = fit @ w + bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - one) / len(fit)
-        down = rate * (1 - step / steps / 1.2)
-        w -= down * (fit.T @ g + 2e-5 * w)
-        bias -= down * g.sum(0)
-    # Sparse: weights that hardly count go, and features without any.
-    w[np.abs(w) < 0.02] = 0
+    held = np.array(held)
+
+    def fitted(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and bias from these rows."""
+        w, bias = np.zeros((len(known), len(families)), np.float32), np.zeros(len(families), np.float32)
+        fit, one = x[some], np.eye(len(families), dtype=np.float32)[y[some]]
+        mean, square = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, steps + 1):
+            z = fit @ w + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p -= one
+            g = fit.T @ p / len(fit) + 2e-5 * w
+            mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+            w -= rate * (1 - step / steps / 1.2) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+            bias -= p.mean(0)
+        # Sparse: weights that hardly count go, and features without any.
+        w[np.abs(w) < 0.02] = 0
+        return w, bias
+
+    w, bias = fitted(~held)
     z = x[held] @ w + bias
 
     def soft(t: float) -> np.ndarray:
@@ -174,9 +233,17 @@ def train(seed: int = 5, each: int = 240, steps: int = 400, rate: float = 2.0) -
         return e / e.sum(1, keepdims=True)
 
     heat = min(np.geomspace(0.05, 5, 60), key=lambda t: float(-np.log(soft(t)[np.arange(len(z)), y[held]] + 1e-12).mean()))
-    unknown = y[held] == len(families) - 1
-    best = soft(heat)[unknown][:, :-1].max(1)
-    least = float(np.quantile(best, 1 - FALSE_KNOWN))
+    # The least probability by which precision and recall of what is claimed are best together (F1).
+    top, none = soft(heat), y[held] == len(families) - 1
+    sure, right = top[:, :-1].max(1), (top[:, :-1].argmax(1) == y[held]) & ~none
+
+    def f1(bar: float) -> float:
+        claimed = (sure >= bar) & (sure >= top[:, -1])
+        return 2 * float((claimed & right).sum()) / float(claimed.sum() + (~none).sum())
+
+    least = max(np.linspace(0.3, 0.99, 70).tolist(), key=f1)
+    # What was held back teaches as well, once it has told how far the scores can be trusted.
+    w, bias = fitted(np.ones(len(rows), bool))
     weights = {g: [round(float(v), 6) for v in w[i]] for g, i in column.items() if w[i].any()}
     return Model(families, weights, [round(float(v), 6) for v in bias], round(float(heat), 6), round(least, 6))
 
@@ -199,7 +266,7 @@ def scanned(lines: str, model: Model, similar: float = SIMILAR):
     features_ = F.from_json(F.lit(json.dumps(sorted(model.weights))), "array<string>")
     bias = F.array(*(F.lit(v) for v in model.bias))
     families = F.array(*map(F.lit, model.families[:-1]))
-    shapes = {f: [{"pairs": sorted(neighbours(tokens(t))), "reach": 2 * len(tokens(t))} for t in dict.fromkeys(ts)] for f, ts in TEMPLATES.items()}
+    shapes = {f: [{"pairs": sorted(neighbours(tokens(t))), "reach": 2 * len(bare(tokens(t)))} for t in dict.fromkeys(ts)] for f, ts in TEMPLATES.items()}
     templates = F.from_json(F.lit(json.dumps(shapes)), "map<string,array<struct<pairs:array<string>,reach:int>>>")
     vocabulary = F.from_json(F.lit(json.dumps(model.words)), "array<string>")
     split = F.col(lines)
@@ -216,22 +283,27 @@ def scanned(lines: str, model: Model, similar: float = SIMILAR):
     def features(p):
         words = p["words"]
         pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda x, y: F.concat_ws(" ", x, y))
-        return F.struct(p["paragraph"].alias("paragraph"), F.when(F.size(pairs) > 0, pairs).otherwise(words).alias("pairs"), F.array_intersect(F.concat(words, pairs), features_).alias("found"))
+        return F.struct(p["paragraph"].alias("paragraph"), words.alias("words"), F.array_intersect(F.concat(words, pairs), features_).alias("found"))
 
     def sums(p):
         z = F.aggregate(p["found"], bias, lambda s, g: F.zip_with(s, F.try_element_at(weights, g), lambda x, y: x + y))
-        return F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), z.alias("z"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), z.alias("z"))
 
     def highest(p):
         z = F.slice(p["z"], 1, len(model.families) - 1)
-        return F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), p["z"].alias("z"), F.array_max(z).alias("top"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), p["z"].alias("z"), F.array_max(z).alias("top"))
 
     def name(p):
         # Of all families the one with the highest score; its probability is its share of the exponentials.
         family = F.try_element_at(families, F.array_position(p["z"], p["top"]).cast("int"))
         rest = F.aggregate(p["z"], F.lit(0.0), lambda s, v: s + F.exp((v - p["top"]) / model.temperature))
         unknown = p["top"] <= F.element_at(p["z"], -1)
-        return F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), F.when(~unknown, family).alias("family"), (1 / rest).alias("probability"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["words"].alias("words"), F.when(~unknown, family).alias("family"), (1 / rest).alias("probability"))
+
+    def paired(p):
+        words = F.filter(p["words"], lambda w: ~w.isin(*ARTICLES))
+        pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda x, y: F.concat_ws(" ", x, y))
+        return F.struct(p["paragraph"].alias("paragraph"), F.when(F.size(pairs) > 0, pairs).otherwise(words).alias("pairs"), p["family"].alias("family"), p["probability"].alias("probability"))
 
     def alignment(pairs, template):
         """The part of the template's pairs that stand within its reach, at the best place."""
@@ -242,13 +314,13 @@ def scanned(lines: str, model: Model, similar: float = SIMILAR):
 
     def compare(p):
         near = F.array_max(F.transform(F.try_element_at(templates, p["family"]), lambda t: alignment(p["pairs"], t)))
-        return F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), near.alias("similarity"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), F.coalesce(near, F.lit(0.0)).alias("similarity"))
 
     def confirm(p):
         return F.struct((p["similarity"] >= similar).alias("confirmed"), p["probability"].alias("probability"), p["similarity"].alias("similarity"), p["paragraph"].alias("paragraph"), p["family"].alias("family"))
 
     named = F.transform(F.transform(F.transform(F.transform(F.flatten(F.transform(claimed, with_next)), features), sums), highest), name)
-    judged = F.transform(F.transform(F.filter(named, lambda p: p["family"].isNotNull() & (p["probability"] >= model.least)), compare), confirm)
+    judged = F.transform(F.transform(F.transform(F.filter(named, lambda p: p["family"].isNotNull() & (p["probability"] >= model.least)), paired), compare), confirm)
     # Of the paragraphs that begin at a line the surest counts.
     best = F.transform(F.array_distinct(F.transform(judged, lambda p: p["paragraph"])), lambda i: F.array_max(F.filter(judged, lambda p: p["paragraph"] == i)))
     return F.transform(best, lambda p: F.struct(*(p[c].alias(c) for c in ("paragraph", "family", "probability", "similarity", "confirmed"))))
@@ -258,8 +330,8 @@ def scan(docs: DataFrame, model: Model | None = None, *, text: str = "text", kee
     """keep + licenses (all claimed paragraphs), license, probability and similarity (of the confirmed paragraph of highest
     probability; ties: the first) for each row.
 
-    license is `unknown` where paragraphs are claimed but none is confirmed, and null where none is claimed, as for null
-    and empty texts. `paragraph` is the line at which a paragraph begins. Repeated rows are scanned each. Columns beside
+    license is `unknown` where paragraphs are claimed but none is confirmed, as for notices of licences that are no family
+    (OTHER), and null where none is claimed, as for null and empty texts and where a licence is only denied or mentioned. `paragraph` is the line at which a paragraph begins. Repeated rows are scanned each. Columns beside
     `text` and `keep` are not read; an empty table gives an empty result.
     """
     model = model or train()
