@@ -214,7 +214,9 @@ def ancestor_chain(t):
     return layout.owners(tree, t.spark.createDataFrame([("X-P", "P")], "tag string, standard_tag string"), ["doc"])
 
 
-@query()
+@query(r"""WITH l AS (SELECT item_id AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM benchmark),
+w AS (SELECT doc, n, array_to_string(regexp_extract_all(line, '\S+'), ' ') AS text FROM l)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY n) AS pos, text FROM w WHERE text <> ''""")
 def glyph_blocks(t):
     """Blocks of glyphs laid out from texts: every sign 5 points wide, lines 12 points apart, a chunk for each line."""
     rows = lines.lines(t.benchmark.select(F.col("item_id").alias("doc"), F.col("text")), ["doc"])

@@ -1,6 +1,7 @@
 """Behaviours on small rows: segmentation, differences, pairing, tables, layouts, retries, archives."""
 
 import json
+import random
 import re
 
 import pytest
@@ -248,6 +249,39 @@ def test_owners_and_blocks(spark):
     assert [r["text"] for r in got] == ["ab c", "x y"]
 
 
+GLYPHS, OWNED = "doc int, page int, seq int, mcid int, text string, x0 double, x1 double, top double", "doc int, page int, mcid int, block string, row string"
+
+
+@pytest.mark.parametrize("share", [1, 7, 100_000])
+def test_blocks_by_shares(spark, monkeypatch, share):
+    """Two documents over pages, with paragraphs and table rows that go on from page to page, equal a plain fold whatever a task takes."""
+    monkeypatch.setattr(layout, "SHARE", share)
+    rng, signs, owned, told = random.Random(3), [], [], []
+    for doc in (1, 2):
+        runs: list[tuple] = []
+        for page in (1, 2, 3):
+            seq = 0
+            for mcid in rng.sample(range(20), 12):
+                of = rng.choice([("p1", None), ("p2", None), (f"c{mcid}", "r1"), (None, None), None])
+                if of:
+                    owned.append((doc, page, mcid, *of))
+                top = float(rng.randrange(4) * 10)
+                for k in range(rng.randrange(1, 9)):
+                    sign = (rng.choice("ab "), k * 5.0, k * 5.0 + 5, top)
+                    signs.append((doc, page, seq, mcid, *sign))
+                    seq += 1
+                    if of:
+                        name = of[1] and (True, of[1]) or (False, of[0])
+                        if not runs or runs[-1][0] != name:
+                            runs.append((name, []))
+                        runs[-1][1].append(sign)
+        texts = [t for (in_row, _), part in runs for t in (layout.visual_lines(layout.words(part)) if in_row else [" ".join(w[0] for w in layout.words(part))]) if t]
+        told += [(doc, n, t) for n, t in enumerate(texts, 1)]
+    got = layout.blocks(spark.createDataFrame(signs, GLYPHS), spark.createDataFrame(owned, OWNED)).orderBy("doc", "pos").collect()
+    assert [tuple(r) for r in got] == told and len(told) > 20
+    assert layout.blocks(spark.createDataFrame([], GLYPHS), spark.createDataFrame(owned, OWNED)).collect() == []
+
+
 def test_two_columns_and_validity(spark):
     from palimp.operators import views
 
