@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimp.sources.store import kept
+
+#: Scores of a group that are folded in one row.
+SMALL = 10_000
+
 
 def quick_ratio(pairs: DataFrame, keys: list[str], a: str, b: str, limit: int = 20_000) -> DataFrame:
     """keys + ratio: 2 * shared characters / all characters of the first `limit` signs of both; 1 for two empty texts.
@@ -19,17 +27,48 @@ def quick_ratio(pairs: DataFrame, keys: list[str], a: str, b: str, limit: int =
     return pairs.select(*keys).join(shared, keys, "left").select(*keys, F.when(F.col("size") > 0, 2 * F.col("shared") / F.col("size")).otherwise(1.0).alias("ratio"))
 
 
-def greedy(scored: DataFrame, group: list[str], i: str = "i", j: str = "j", score: str = "score") -> DataFrame:
+def greedy(scored: DataFrame, group: list[str], i: str = "i", j: str = "j", score: str = "score", small: int = SMALL) -> DataFrame:
     """group, documento, i, j: the highest score first (ties: the larger i, then j), each i and j once.
 
-    The fold runs over one group's sorted scores, so groups must be small, as the documents of one version are.
+    Groups of at most `small` scores are folded each in its row. In larger ones the pairs that are best for both their
+    members are taken, round by round; the best pair left is always one of them. Fields of group may be null; scores
+    without i or j are left out.
     """
-    rows = F.sort_array(F.collect_list(F.struct(score, i, j)), asc=False)
-    start = F.expr(f"named_struct('ui', cast(array() as array<{dict(scored.dtypes)[i]}>), 'uj', cast(array() as array<{dict(scored.dtypes)[j]}>))")
+    best = F.struct(F.col(score).alias("score"), F.col(i).alias("i"), F.col(j).alias("j"))
+    rows = scored.where(F.col(i).isNotNull() & F.col(j).isNotNull()).select(F.struct(*group).alias("__g"), best.alias("__b"))
+    large = kept(rows.groupBy("__g").count().where(F.col("count") > small).select("__g"))
+    if large.isEmpty():
+        taken = _folded(rows)
+    else:
+        taken = _folded(rows.join(large, "__g", "left_anti")).unionByName(_in_rounds(rows.join(large, "__g", "left_semi")))
+    numbered = taken.withColumn("documento", F.row_number().over(W.partitionBy("__g").orderBy(F.desc("__b"))).cast("long"))
+    return numbered.select("__g.*", "documento", F.col("__b.i").alias(i), F.col("__b.j").alias(j))
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """__g, __b of the pairs that are taken, by a fold over each group's sorted scores."""
+    kind = rows.schema["__b"].dataType
+    one, many = kind.simpleString(), {c: kind[c].dataType.simpleString() for c in ("i", "j")}
+    start = F.expr(f"named_struct('ui', cast(array() as array<{many['i']}>), 'uj', cast(array() as array<{many['j']}>), 'b', cast(array() as array<{one}>))")
 
     def take(state, row):
-        free = ~F.array_contains(state["ui"], row[i]) & ~F.array_contains(state["uj"], row[j])
-        return F.when(free, F.struct(F.array_append(state["ui"], row[i]).alias("ui"), F.array_append(state["uj"], row[j]).alias("uj"))).otherwise(state)
+        free = ~F.array_contains(state["ui"], row["i"]) & ~F.array_contains(state["uj"], row["j"])
+        more = F.struct(F.array_append(state["ui"], row["i"]).alias("ui"), F.array_append(state["uj"], row["j"]).alias("uj"), F.array_append(state["b"], row).alias("b"))
+        return F.when(free, more).otherwise(state)
+
+    ordered = rows.groupBy("__g").agg(F.sort_array(F.collect_list("__b"), asc=False).alias("__r"))
+    return ordered.select("__g", F.explode(F.aggregate("__r", start, take)["b"]).alias("__b"))
+
 
-    taken = scored.groupBy(*group).agg(rows.alias("__r")).select(*group, F.aggregate("__r", start, take).alias("__t"))
-    return taken.select(*group, F.posexplode(F.arrays_zip("__t.ui", "__t.uj")).alias("__n", "__p")).select(*group, (F.col("__n") + 1).cast("long").alias("documento"), F.col("__p.ui").alias(i), F.col("__p.uj").alias(j))
+def _in_rounds(rows: DataFrame) -> DataFrame:
+    """As _folded(), by rounds of aggregations: no row or task holds a group."""
+    left, taken = kept(rows.distinct()), []
+    while not left.isEmpty():
+        for_i = left.groupBy("__g", "__b.i").agg(F.max("__b").alias("__b")).select("__g", "__b")
+        for_j = left.groupBy("__g", "__b.j").agg(F.max("__b").alias("__b")).select("__g", F.col("__b.i").alias("i"), F.col("__b.j").alias("j"))
+        new = kept(for_i.select("__g", F.col("__b.i").alias("i"), F.col("__b.j").alias("j"), "__b").join(for_j, ["__g", "i", "j"]))
+        taken.append(new.select("__g", "__b"))
+        for c in ("i", "j"):
+            left = left.withColumn(c, F.col(f"__b.{c}")).join(new.select("__g", c), ["__g", c], "left_anti").drop(c)
+        left = kept(left)
+    return reduce(DataFrame.unionByName, taken)

@@ -282,6 +282,29 @@ def test_blocks_by_shares(spark, monkeypatch, share):
     assert layout.blocks(spark.createDataFrame([], GLYPHS), spark.createDataFrame(owned, OWNED)).collect() == []
 
 
+@pytest.mark.parametrize("small", [0, 30, 10_000])
+def test_greedy_in_rounds_and_in_one_row(spark, small):
+    """Groups of many ties, a long chain of scores that each hang on the one before, a null group, repeated and half-known scores."""
+    rng = random.Random(8)
+    rows = [(g, i, j, rng.randrange(4)) for g in (1, None) for i in range(9) for j in range(7) if rng.random() < 0.8]
+    rows += [(2, k, k, 2 * k) for k in range(20)] + [(2, k, k + 1, 2 * k + 1) for k in range(20)]
+    rows += [(3, 1, 1, 5), (3, 1, 1, 5), (3, 1, 1, 2), (3, 1, 2, None), (3, 2, 2, None), (3, None, 3, 9), (3, 3, None, 9)]
+    want = []
+    for g in (1, 2, 3, None):
+        mine = sorted({r[1:] for r in rows if r[0] == g and None not in r[1:3]}, key=lambda r: (r[2] is not None, r[2] or 0, r[0], r[1]), reverse=True)
+        used_i, used_j, n = set(), set(), 0
+        for i, j, _ in mine:
+            if i not in used_i and j not in used_j:
+                used_i.add(i)
+                used_j.add(j)
+                n += 1
+                want.append((g, n, i, j))
+    schema = "g int, i int, j int, score int"
+    got = similarity.greedy(spark.createDataFrame(rows, schema), ["g"], small=small).select("g", "documento", "i", "j").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 30
+    assert similarity.greedy(spark.createDataFrame([], schema), ["g"], small=small).collect() == []
+
+
 def test_two_columns_and_validity(spark):
     from palimp.operators import views
 
