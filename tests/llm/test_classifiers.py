@@ -65,7 +65,7 @@ def test_licences_that_are_wrapped_or_worded_otherwise(spark):
     assert [got[i] for i in range(len(texts))] == list(names) and [got[i + len(texts)] for i in range(len(texts))] == list(names)
 
 
-#: Sentences that nothing was trained or calibrated on, and the licence they put something under: None for those that only deny or mention one or speak of other things.
+#: Sentences that nothing was trained or calibrated on, though the training was changed after a look at them, and the licence they put something under: None for those that only deny or mention one or speak of other things.
 HELD_OUT = (
     ("This module may be used under the MIT License.", "MIT"),
     ("The whole repository is MIT licensed.", "MIT"),
@@ -132,7 +132,7 @@ def test_licences_of_sentences_held_out(spark):
 
 
 def test_licence_confirmation_by_hand(spark):
-    """Pairs of neighbouring words without articles: all of a template's, three of four of them, and half of them."""
+    """Whatever the article, all of a template's pairs of neighbouring words stand there; a strange licence has no template."""
     model = licenses.train()
     texts = ["licensed under the MIT License", "released under a MIT License", "SPDX-License-Identifier: MIT", "licensed under the Quokka License"]
     got = [r["licenses"] for r in licenses.scan(documents(spark, texts), model).sort("doc_id").collect()]
