@@ -1,13 +1,14 @@
 """Search of a stated query set against all rows, in tiles: packed blocks of queries meet packed blocks of candidates.
 
-Candidates are packed where they are read, into blocks of at most BLOCK rows; queries into blocks of about QUERIES. A
-tile is one pair of blocks and holds a few megabytes whatever the tables' sizes; a shared value or a common id cannot
-make a tile larger. Each tile gives the best `k` of each of its queries, and those are merged.
+Candidates are packed where they are read, into blocks of at most BLOCK rows, and dealt over places block by block; queries
+into blocks of about QUERIES, of which each place gets a copy. A tile is one pair of blocks and holds a few megabytes
+whatever the tables' sizes; a shared value or a common id cannot make a tile larger. Each tile gives the best `k` of each of its queries, and those are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,19 @@ def vectors_of(b: pa.RecordBatch, zero: bool) -> Iterator[tuple[int, np.ndarray,
         yield dim, ids[rows[good]], x[good]
 
 
-def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
-    """df (id, x), ids unique, as blocks: place (0 to groups - 1), dim, ids, vectors (row-major doubles) of the rows that take part."""
+def pack(df: DataFrame, groups: int, block: int, zero: bool, weights: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """df (id, x), ids unique, as blocks: place (0 to groups - 1), dim, kind (numpy's), ids, vectors (row-major doubles, or what `weights` makes of them) of the rows that take part."""
 
-    def packed(place: int, dim: int, ids: list[np.ndarray], x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def packed(places: Iterator[int], dim: int, ids: list[np.ndarray], x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         own, rows = np.concatenate(ids), np.concatenate(x)
         for a in range(0, len(own), block):
             part = slice(a, a + block)
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([dim], pa.int32()), pa.array([own[part].tobytes()], pa.binary()), pa.array([rows[part].tobytes()], pa.binary())], names=["place", "dim", "ids", "vectors"])
+            held = weights(rows[part]) if weights else rows[part]
+            yield pa.RecordBatch.from_arrays([pa.array([next(places)], pa.int32()), pa.array([dim], pa.int32()), pa.array([held.dtype.str]), pa.array([own[part].tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())], names=["place", "dim", "kind", "ids", "vectors"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() % groups
+        # A task deals its blocks over all places: however few tasks read the table, many work on its tiles.
+        place = (n % groups for n in count(TaskContext.get().partitionId()))
         held: dict[int, tuple[list, list]] = {}
         for b in batches:
             for dim, ids, x in vectors_of(b, zero):
@@ -75,13 +78,13 @@ def pack(df: DataFrame, groups: int, block: int, zero: bool) -> DataFrame:
         for dim, mine in held.items():
             yield from packed(place, dim, *mine)
 
-    return df.mapInArrow(blocks, "place int, dim int, ids binary, vectors binary")
+    return df.mapInArrow(blocks, "place int, dim int, kind string, ids binary, vectors binary")
 
 
-def search(vectors: DataFrame, every: int, k: int, tile: Callable[[], Callable], *, key: str, vector: str, kind: str, zero: bool) -> DataFrame:
+def search(vectors: DataFrame, every: int, k: int, tile: Callable[[], Callable], *, key: str, vector: str, kind: str, zero: bool, weights: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """query_id, rank, <key>, score (of type `kind`): the best k rows for each row whose key is divisible by `every`."""
     rows = unique(vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("x")), zero)
-    return ranked(pairs(rows, rows.where(F.col("id") % every == 0), k, tile, kind, zero), k, key)
+    return ranked(pairs(rows, rows.where(F.col("id") % every == 0), k, tile, kind, zero, weights), k, key)
 
 
 def ranked(pairs: DataFrame, k: int, key: str) -> DataFrame:
@@ -91,25 +94,29 @@ def ranked(pairs: DataFrame, k: int, key: str) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
-def pairs(rows: DataFrame, asked: DataFrame, k: int, tile: Callable[[], Callable], kind: str, zero: bool) -> DataFrame:
+def pairs(rows: DataFrame, asked: DataFrame, k: int, tile: Callable[[], Callable], kind: str, zero: bool, weights: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(query_id, id, score): the best k of each tile for each query; rows and asked are (id, x), with unique ids.
 
     tile() is called once for each task and gives a function (query ids, query matrix, ids, matrix, k) -> (index of the
-    query, id, score) arrays with up to k different ids for each query, never the query's own.
+    query, id, score) arrays with up to k different ids for each query, never the query's own. `weights` is applied to the
+    vectors as they are packed: small integers make small blocks.
     """
     n, n_asked = rows.count(), asked.count()
     groups, parts = max(SPREAD, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
-    found = pack(rows, groups, BLOCK, zero).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = pack(asked.repartition(parts), parts, QUERIES, zero).select(F.col("place").alias("part"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("place"))
-    tiles = found.join(asked, ["place", "part", "dim"]).select("dim", "ids", "vectors", "q_ids", "q_vectors")
+    # Candidates are shuffled once; queries, the smaller side, once for each place. Tiles are dealt by number, since
+    # their work isn't told by their bytes; twice as many tasks as places, so that few of them get two.
+    found = pack(rows, groups, BLOCK, zero, weights).repartition(2 * groups, "place", "dim")
+    packed = pack(asked.repartition(parts), parts, QUERIES, zero, weights).select("dim", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = packed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(2 * groups, "place", "dim")
+    tiles = found.hint("merge").join(asked, ["place", "dim"]).select("dim", "kind", "ids", "vectors", "q_kind", "q_ids", "q_vectors")
     out_type = pa.int64() if kind == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = tile()
         for b in batches:
-            for dim, ids, x, q_ids, q in zip(*(b.column(i) for i in range(5)), strict=True):
+            for dim, kind_x, ids, x, kind_q, q_ids, q in zip(*(b.column(i) for i in range(7)), strict=True):
                 ids, q_ids = (np.frombuffer(v.as_buffer(), np.int64) for v in (ids, q_ids))
-                x, q = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, dim.as_py()) for v in (x, q))
+                x, q = (np.frombuffer(v.as_buffer(), k.as_py()).reshape(-1, dim.as_py()) for v, k in ((x, kind_x), (q, kind_q)))
                 who, other, score = best(q_ids, q, ids, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(other), pa.array(score, out_type)], names=["query_id", "id", "score"])
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from palimp.llm import ann, ngram_join, topk
+from palimp.llm import ann, ngram_join, tiles, topk
 from palimp.llm.components import components
 
 from .helpers import ODD, documents, sentence
@@ -147,6 +147,25 @@ def test_accumulation_of_sparse_rows():
     assert (topk.accumulate(q, topk.postings(x), 50) == q @ x.T).all()
 
 
+def test_terms_that_most_rows_hold_are_not_scattered():
+    rng = np.random.default_rng(9)
+    x = rng.integers(-300, 300, (400, 6)) * (rng.random((400, 6)) < [0.01, 0.05, 0.2, 0.9, 1, 0])
+    lists = topk.postings(x)
+    assert [isinstance(rows, slice) for rows, _ in lists] == [False, False, True, True, True, False]
+    for scale, kind in ((1, np.int32), (1 << 20, np.int64)):
+        q = rng.integers(-300, 300, (7, 6)) * scale
+        got = topk.accumulate(q, lists, 400)
+        assert (got == q @ x.T).all() and got.dtype == kind
+    assert [topk.weights(np.array([v])).dtype for v in (0.5, 200.0, 1e8)] == [np.int16, np.int32, np.int64]
+
+
+def test_one_reader_deals_its_blocks_over_all_places(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCK", 16)
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(160)], "id long, x array<double>").coalesce(1)
+    packed = tiles.pack(rows, 10, 16, True, topk.weights).collect()
+    assert sorted(r["place"] for r in packed) == list(range(10)) and {len(r["vectors"]) for r in packed} == {16 * 2 * 2}
+
+
 def test_nearest_recall_ties_and_odd_rows(spark):
     df, x = vectors(spark, 600)
     got = {}
