@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,18 @@ def test_sql_functions(spark):
     assert doc["tipo"] == "vp" and doc["secoes"][3]["secao"] == "1"
 
 
+def test_splitting_holds_few_rows_at_once(spark, monkeypatch):
+    """A batch goes through Python's objects in shares, with the same documents."""
+    held, whole, array = [], segment.split_documents, pa.array
+    rows = [leaflet(1, 2, 3), None, [], ["1. QUALQUER TITULO", "curto"], *[leaflet(*range(1, n)) for n in range(2, 9)]]
+    monkeypatch.setattr(segment, "AT_ONCE", 3)
+    split, batch = segment.split_column().func, pa.array([["x"], *rows], pa.list_(pa.string())).slice(1)
+    monkeypatch.setattr(pa, "array", lambda x, kind: held.append(len(x)) or array(x, kind))
+    (got,) = split(iter([batch]))
+    assert got.type == segment.ARROW and max(held) == 3 and sum(held) == len(rows)
+    assert [[(d["tipo"], [tuple(s.values()) for s in d["secoes"]]) for d in ds] for ds in got.to_pylist()] == [whole(x or []) for x in rows]
+
+
 def test_owners_and_blocks(spark):
     tree = [(1, "r", "Document", None), (1, "p", "Custom", "r"), (1, "s", "Span", "p"), (1, "tr", "TR", "r"), (1, "td", "TD", "tr")]
     got = {r["element_id"]: (r["block"], r["row"]) for r in layout.owners(spark.createDataFrame(tree, "doc int, element_id string, tag string, parent_id string"), spark.createDataFrame([("Custom", "P")], "tag string, standard_tag string"), ["doc"]).collect()}
