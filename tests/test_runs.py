@@ -5,6 +5,7 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def test_state_costs_what_a_batch_brings(spark, tmp_path):
     assert touched[0] >= 200 and max(touched[1:]) <= 4
 
 
+def test_rows_are_reduced_before_the_state(monkeypatch):
+    """A task's rows come down to one for each key, the earliest (nulls last), however they are cut into batches."""
+    monkeypatch.setattr(known, "LEAST", 4)
+    rows = [("a", 3, 1), ("b", None, 2), ("a", 1, 3), (None, 5, 4), ("b", 7, 5), ("a", 1, 6), ("c", None, 7), (None, 4, 8), ("b", 9, 9)]
+    for cut in (1, 2, 9):
+        parts = [pa.RecordBatch.from_pylist([dict(zip("ktn", r, strict=True)) for r in rows[i : i + cut]], pa.schema([("k", pa.string()), ("t", pa.int64()), ("n", pa.int64())])) for i in range(0, 9, cut)]
+        got = [tuple(r.values()) for b in known._one_each(["k"], "t")(iter(parts)) for r in b.to_pylist()]
+        assert sorted(got, key=str) == sorted([("a", 1, 3), ("b", 7, 5), ("c", None, 7), (None, 4, 8)], key=str)
+
+
+def test_keys_cost_no_call_each(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("registro string, expediente string, ts timestamp").parquet(f"{tmp_path}/in")
+    plan = known.unseen(stream, ["registro", "expediente"], "ts")._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan and "TransformWithState" not in plan
+
+
 def test_keys_are_forgotten_behind_the_watermark(spark, tmp_path):
     src, schema = tmp_path / "in", "registro string, expediente string, ts timestamp"
     got = []
