@@ -18,26 +18,32 @@ def write(rows: DataFrame, folder: str, day: str = "dia") -> None:
 
 
 def serve(folder: str) -> Callable[[dict, float], dict]:
-    """A function that gives pages of the rows of the asked days; the last day asked for is held."""
-    held: dict[str, list[dict]] = {}
+    """A function that gives pages of the rows of the asked days; the last day asked for is held, and a page's rows alone are taken out of it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
 
-    def rows(day: str) -> list[dict]:
-        if day not in held:
-            import pyarrow as pa
-            import pyarrow.parquet as pq
-            from pyarrow import fs
+    held: dict[str, pa.Table | None] = {}
 
+    def rows(day: str) -> pa.Table | None:
+        if day not in held:
             where, root = fs.FileSystem.from_uri(folder)
             found = where.get_file_info(fs.FileSelector(f"{root}/day={day}", allow_not_found=True))
             parts = [pq.read_table(f.path, filesystem=where, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
             held.clear()
-            held[day] = pa.concat_tables(parts).sort_by("pos").to_pylist() if parts else []
+            held[day] = pa.concat_tables(parts).sort_by("pos") if parts else None
         return held[day]
 
     def fetch(params: dict, timeout: float) -> dict:
-        every = [r for day in days(params[FROM], params[TO]) for r in rows(day)]
         size, n = params["count"], params["page"]
-        return {"content": every[(n - 1) * size : n * size], "totalElements": len(every), "totalPages": -(-len(every) // size), "last": n * size >= len(every), "number": n}
+        content, total, first = [], 0, (n - 1) * size
+        for day in days(params[FROM], params[TO]):
+            table = rows(day)
+            if table is not None:
+                a, b = max(first - total, 0), max(first + size - total, 0)
+                content += table.slice(a, b - a).to_pylist() if a < len(table) else []
+                total += len(table)
+        return {"content": content, "totalElements": total, "totalPages": -(-total // size), "last": n * size >= total, "number": n}
 
     return fetch
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import importlib
 import json
+import sys
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
@@ -37,14 +38,15 @@ class _Days(InputPartition):
 
 class DayReader(DataSourceStreamReader):
     """Options: fetch (import path of a function as in sources.paged; subclasses may bring their own), desde, ate (the run's first and last day), run (its
-    name), days (at most in a batch), readers, count, pace, filters (JSON)."""
+    name), days (at most in a batch), readers (one, or without a pace to keep one for each day), count, pace, filters (JSON)."""
 
     def __init__(self, schema, options) -> None:
         self.names = schema.fieldNames()
         self.fetch = options.get("fetch")
         self.first, self.last, self.run = options["desde"], options["ate"], options.get("run", "")
-        self.step, self.readers = int(options.get("days", 1)), int(options.get("readers", 1))
+        self.step = int(options.get("days", 1))
         self.count, self.pace, self.params = int(options.get("count", COUNT)), float(options.get("pace", PACE)), json.loads(options.get("filters", "{}"))
+        self.readers = int(options.get("readers", 1 if self.pace else sys.maxsize))
         self.told: str | None = None
 
     def initialOffset(self) -> dict:

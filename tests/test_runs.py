@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimp.operators import changes
-from palimp.sources import archive, ingest, snapshots
+from palimp.sources import by_day, archive, ingest, snapshots
 from palimp.sources.day_feed import DayReader, covered
 from palimp.sources.paged import SCHEMA, HttpError
 from palimp.sources.service import Service, http
@@ -40,6 +40,25 @@ def test_offsets_alone_say_what_a_batch_reads(spark):
     assert len([row for p in three.partitions(start, three.latestOffset()) for row in three.read(p)]) == 10
 
 
+def test_days_have_readers_of_their_own_without_a_pace(spark):
+    start = reader(spark, desde="2024-01-01", ate="2024-01-05").initialOffset()
+    counts = []
+    for options in ({}, {"pace": "0.1"}, {"pace": "0.1", "readers": "3"}, {"readers": "2"}):
+        r = reader(spark, desde="2024-01-01", ate="2024-01-05", days="9", **options)
+        counts.append(len(r.partitions(start, r.latestOffset())))
+    assert counts == [5, 1, 3, 2]
+
+
+def test_a_page_takes_its_own_rows_alone(spark, tmp_path, monkeypatch):
+    rows = [(str(i), i, f"2024-01-0{1 + i // 7}") for i in range(17) if i // 7 != 1] + [("x", 99, "2024-01-05")]
+    by_day.write(spark.createDataFrame(rows, "idProduto string, pos int, dia string"), f"file://{tmp_path}/d")
+    monkeypatch.setattr(by_day, "days", lambda a, b: ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-05"])
+    fetch = by_day.serve(f"file://{tmp_path}/d")
+    pages = [fetch({"count": 4, "page": n, "periodoPublicacaoInicial": "", "periodoPublicacaoFinal": ""}, 1) for n in range(1, 5)]
+    assert [[r["pos"] for r in p["content"]] for p in pages] == [[0, 1, 2, 3], [4, 5, 6, 14], [15, 16, 99], []]
+    assert [(p["totalElements"], p["totalPages"], p["last"]) for p in pages] == [(11, 3, False), (11, 3, False), (11, 3, True), (11, 3, True)]
+
+
 def test_feed_stops_goes_on_and_moves_back(spark, tmp_path):
     table, state = f"{tmp_path}/t", f"{tmp_path}/c"
     batches = []
