@@ -7,13 +7,18 @@ statistics tell. A frequent token is dealt to several files by document; no task
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets of an index, and what a token is.
 BUCKETS, TOKEN = 256, r"[\p{L}\p{N}]+"
+#: Documents that go to Python at once, and tokens that are posted at once, at most (but for one document's).
+AT_ONCE, SHARE = 500, 200_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: The usual weights of frequency and length.
 K1, B = 1.2, 0.75
 
@@ -26,29 +31,45 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc, t) as token, doc, tf, places, size: they come from one row, so nothing is shuffled for them. Documents of about SHARE tokens at a time."""
+    for b in batches:
+        share = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False)) // SHARE
+        cuts = np.r_[0, np.flatnonzero(np.diff(share)) + 1, len(share)]
+        for first, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            docs, lists = b.column(0).slice(first, end - first), b.column(1).slice(first, end - first)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            known = lists.flatten().dictionary_encode()
+            whose = np.repeat(np.arange(len(sizes)), sizes)
+            code = whose * max(len(known.dictionary), 1) + known.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            at = order[starts]
+            places = pa.array((np.arange(len(whose)) - (np.cumsum(sizes) - sizes)[whose])[order], pa.int32())
+            ends = pa.array(np.r_[starts, len(whose)], pa.int32())
+            made = (known.dictionary.take(known.indices.take(pa.array(at))), docs.take(pa.array(whose[at])), pa.array(np.diff(np.r_[starts, len(whose)]), pa.int32()), pa.ListArray.from_arrays(ends, places), pa.array(sizes[whose[at]], pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(made), names=["token", "doc", "tf", "places", "size"])
+
+
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Few documents to a batch for Python while something is written; afterwards the session is as before."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
     """path/postings: token, doc, tf, places (from 0), size (the document's tokens) by bucket; path/about: documents, tokens, buckets. Keys must be unique."""
     cut = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
     kind = dict(cut.dtypes)["doc"]
-
-    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each document's places by token: they come from one row, so nothing is shuffled for them."""
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("token", "doc", "tf", "places", "size")}
-            for doc, words in zip(b["doc"], b["t"], strict=True):
-                places: dict[str, list[int]] = {}
-                for i, w in enumerate(words):
-                    places.setdefault(w, []).append(i)
-                out["token"] += places.keys()
-                out["places"] += places.values()
-                out["tf"] += map(len, places.values())
-                out["doc"] += [doc] * len(places)
-                out["size"] += [len(words)] * len(places)
-            yield pd.DataFrame(out)
-
-    placed = cut.mapInPandas(posted, f"token string, doc {kind}, tf int, places array<int>, size int").withColumn("bucket", _bucket(F.col("token"), buckets))
+    placed = cut.mapInArrow(_posted, f"token string, doc {kind}, tf int, places array<int>, size int").withColumn("bucket", _bucket(F.col("token"), buckets))
     # Rebalancing splits a bucket that a frequent token makes large; a task's rows are in the order of the files.
-    placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    with _few_at_once(docs.sparkSession):
+        placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "token", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     about = cut.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("tokens")).withColumn("buckets", F.lit(buckets))
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from palimp.functions import markup
@@ -98,3 +99,22 @@ def test_index(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(token), EqualTo(token,the)]" in plan
     postings.build(spark.createDataFrame([], "doc_id int, text string"), f"{tmp_path}/e")
     assert spark.read.parquet(f"{tmp_path}/e/about").first()["documents"] == 0
+
+
+@pytest.mark.parametrize("share", (1, 7, 200_000))
+def test_postings_are_made_by_shares(monkeypatch, share):
+    """However many documents a batch holds, few tokens are held at once."""
+    monkeypatch.setattr(postings, "SHARE", share)
+    rng = random.Random(3)
+    docs = [[rng.choice("abcdé") for _ in range(rng.choice((0, 1, 5, 30)))] for _ in range(50)] + [[]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 151)), pa.array(docs, pa.list_(pa.string()))], names=["doc", "t"]).slice(1)
+    made = list(postings._posted(iter([batch])))
+    assert max(sum(b.column("tf").to_pylist()) for b in made) <= share + 30
+    got = sorted((r["doc"], r["token"], r["tf"], r["places"], r["size"]) for b in made for r in b.to_pylist())
+    assert got == sorted((100 + i, w, d.count(w), [k for k, x in enumerate(d) if x == w], len(d)) for i, d in enumerate(docs) if i for w in set(d))
+
+
+def test_building_leaves_the_session_as_it_was(spark, tmp_path):
+    before = spark.conf.get(postings._BATCH)
+    postings.build(spark.createDataFrame([(1, "a b a")], "doc_id int, text string"), f"{tmp_path}/i", buckets=2)
+    assert spark.conf.get(postings._BATCH) == before and spark.read.parquet(f"{tmp_path}/i/postings").count() == 2
