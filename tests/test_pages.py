@@ -118,3 +118,35 @@ def test_building_leaves_the_session_as_it_was(spark, tmp_path):
     before = spark.conf.get(postings._BATCH)
     postings.build(spark.createDataFrame([(1, "a b a")], "doc_id int, text string"), f"{tmp_path}/i", buckets=2)
     assert spark.conf.get(postings._BATCH) == before and spark.read.parquet(f"{tmp_path}/i/postings").count() == 2
+
+
+def test_plain_tables_equal_the_full_reader():
+    """Random tags, well nested or not: what the short way reads, the long one reads alike; plain tables go the short way."""
+    def full(page):
+        state = markup._Grids()
+        state.feed(page)
+        while state.stack:
+            state._end_row()
+            state.stack.pop()
+        return sorted(state.found)
+
+    rng, short = random.Random(5), 0
+    pieces = ["<tr>", "<tr>", "<td>", "<td>", "<td>", "<th>", "</td>", "</th>", "</tr>", "</table>", "<table>", "<p>", "</p>", '<td rowspan="2">', "<td colspan=2>", "<th rowspan=0>", '<td colspan="2" rowspan="3">', "<b>", "<!-- -->"]
+    for _ in range(20_000):
+        page = "<p>a<table>" + "".join(rng.choice(pieces[: rng.choice((6, 9, 17, 19))]) + rng.choice(("", "x", " a  b ", "&amp;c", "&lt")) for _ in range(rng.randint(0, 12)))
+        plain = markup._plain_grids(page)
+        short += plain is not None
+        assert plain is None or plain == full(page), page
+        assert markup.grids(page) == full(page)
+    assert short > 5000
+    assert markup._plain_grids('<p>Pedido<table><tr><th>a<th>b<tr><td rowspan="2">1<td>2<tr><td>3<tr><td colspan=2>fim &amp; total</table>') is not None
+    assert all(markup._plain_grids(x) is None for x in ("<table><tr><td>a<br>b", "<table><tr><td title='>'>b", "<table><tr><td>1 < 2", "<table><TR><td>"))
+
+
+@pytest.mark.parametrize("most", (1, 20_000))
+def test_grid_by_shares(spark, monkeypatch, most):
+    monkeypatch.setattr(grids, "AT_ONCE", most)
+    rows = spark.createDataFrame([(i, "x", "<table>" + "<tr><td>a<td>b" * i if i % 3 else None) for i in range(10)], "k int, other string, page string")
+    got = grids.grid(rows, ["other", "k"], "page")
+    assert got.columns == ["other", "k", "tabela", "linha", "coluna", "texto", "cabecalho", "propria"]
+    assert sorted((r["k"], r["linha"], r["coluna"], r["texto"]) for r in got.collect()) == [(i, n + 1, c + 1, "ab"[c]) for i in range(10) if i % 3 for n in range(i) for c in range(2)]
