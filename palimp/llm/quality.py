@@ -7,6 +7,9 @@ A document's log odds are its own plus the difference between its path's and the
 group sums left out: its site's odds take the place of the global ones. Sums are combined before they are shuffled, so a
 host with a third of all rows is no burden.
 
+Every labelled row counts: four fifths, by a hash of the key, train the regression by Newton's method, whose gradient and
+Hessian are sums over the tasks' rows; the good ones of the other fifth are all held against the threshold.
+
 A document goes where it is more likely bad than good; if that took more than the part REJECT of the good rows that were
 kept from training, the threshold is lowered to what takes that part. The threshold is set on the very scores that it
 judges, site evidence included.
@@ -15,7 +18,7 @@ judges, site evidence included.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from pyspark.sql import types as T
 from palimp.llm import textvec as tv
 from palimp.llm.durable import durable, few_at_once, joined
 
-#: About so many labelled rows, drawn by a hash of the key, train the classifier; their features come to the driver.
-TRAIN_ROWS = 4000
+#: One labelled row in so many, by a hash of the key, is kept from training; features of a row.
+HELD, WIDTH = 5, 24
+#: Labels that are few enough to be broadcast; beyond, features are joined to them, not texts.
+FEW = 200_000
 #: Part of the good calibration rows that may go.
 REJECT = 0.002
 #: Host and path of a document, where nothing else is said.
@@ -78,32 +83,62 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     bias: float
-    held: np.ndarray  # places of the good rows that were kept from training
-    good: tuple[tuple[float, str | None, str | None], ...] = ()  # log odds, host and path of these rows
+    good: DataFrame | None = None  # __logit, __host and __path of all good rows that were kept from training
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
 
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log odds within their bounds, for any number of rows."""
+        return np.clip(self.logits(x), -MOST_LOGIT, MOST_LOGIT) if len(x) else np.empty(0)
+
+
+def matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a batch (x, y)."""
+    return np.asarray(b.column(0).flatten()).reshape(-1, WIDTH), np.asarray(b.column(1)).astype(float)
+
+
+def summed(rows: DataFrame, make) -> np.ndarray | None:
+    """The sum of make(features, labels) over rows (x, y); each task gives one array of a fixed size. None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if len(b):
+                made = make(*matrix(b))
+                total = made if total is None else total + made
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    parts = [np.array(r["s"]) for r in rows.select("x", "y").mapInArrow(run, "s array<double>").collect()]
+    return np.sum(parts, 0) if parts else None
+
+
+def train(rows: DataFrame, *, ridge: float = 1e-3, steps: int = 60) -> Model | None:
+    """Newton's method on rows (x, y), whose sums alone come to the driver. None without both labels."""
+    found = summed(rows, lambda x, y: np.r_[len(x), y.sum(), x.sum(0), (x * x).sum(0)])
+    if found is None or not 0 < found[1] < found[0]:
+        return None
+    n, mean = found[0], found[2 : 2 + WIDTH] / found[0]
+    scale = np.maximum(np.sqrt(np.maximum(found[2 + WIDTH :] / n - mean**2, 0)), 1e-3)
+    w = np.zeros(WIDTH + 1)
+    keep = np.r_[np.full(WIDTH, ridge * n), 0]
+
+    def at(w: np.ndarray):
+        def gradient(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            return np.r_[z.T @ (p - y), ((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).ravel()]
+
+        return gradient
 
-def train(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-3, steps: int = 60) -> Model:
-    """Newton's method on every row but each fifth, whose good ones are kept for the threshold. Without both labels nothing is rejected."""
-    if not len(x) or len(set(y.tolist())) < 2:
-        width = x.shape[1] if x.ndim == 2 and len(x) else len(features(np.empty(0, np.uint8), np.zeros(2, np.int64), tv.Powers())[0])
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 4.0, np.empty(0, np.int64))
-    held = np.arange(len(x)) % 5 == 4
-    fit, goal = x[~held], y[~held].astype(float)
-    model = Model(fit.mean(0), np.maximum(fit.std(0), 1e-3), np.zeros(x.shape[1]), 0.0, np.flatnonzero(held & (y == 1)))
-    z = np.c_[np.clip((fit - model.mean) / model.scale, -8, 8), np.ones(len(fit))]
-    w = np.zeros(z.shape[1])
-    keep = np.r_[np.full(x.shape[1], ridge * len(fit)), 0]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        move = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(keep + 1e-9), z.T @ (p - goal) + keep * w)
-        w -= move * min(1.0, 4 / (np.abs(move).max() + 1e-12))
+        found = summed(rows, at(w))
+        move = np.linalg.solve(found[WIDTH + 1 :].reshape(WIDTH + 1, -1) + np.diag(keep + 1e-9), found[: WIDTH + 1] + keep * w)
+        w = w - move * min(1.0, 4 / (np.abs(move).max() + 1e-12))
         if np.abs(move).max() < 1e-8:
             break
-    model.weights, model.bias = w[:-1], float(w[-1])
-    return model
+    return Model(mean, scale, w[:-1], float(w[-1]))
 
 
 def described(docs: DataFrame, keep: tuple[str, ...], text: str, emit, columns: T.StructType) -> DataFrame:
@@ -114,33 +149,42 @@ def described(docs: DataFrame, keep: tuple[str, ...], text: str, emit, columns:
         powers = tv.Powers()
         for b in batches:
             x = [features(buf, offs, powers) for _, buf, offs in tv.slices(b.column(len(keep)))]
-            made = emit(np.concatenate(x)) if x else emit(np.empty((0, 24)))
+            made = emit(np.concatenate(x)) if x else emit(np.empty((0, WIDTH)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *made], names=[*keep, *columns.fieldNames()])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, T.StructType([*kept.schema.fields, *columns.fields]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", host: str = HOST, path: str = PATH, rows: int = TRAIN_ROWS) -> Model:
-    """Trains on about `rows` labelled documents, drawn by a hash of the key (label 0 or 1; of several labels of a key the smallest counts, of several texts the first in order)."""
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", host: str = HOST, path: str = PATH) -> Model:
+    """Trains on all labelled documents (label 0 or 1; of several labels of a key the smallest counts, of several texts the one whose features come first). Without both labels nothing is rejected."""
     known = durable(labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).groupBy("k").agg(F.min("y").alias("y")))
-    draw = F.pmod(F.xxhash64("k", F.lit("quality")), F.lit(1 << 30))
-    drawn = known.where(draw < int(min(1.0, rows / max(known.count(), 1)) * (1 << 30)))
-    source = docs.select(F.col(f"`{key}`").alias("k"), F.struct(F.col(f"`{text}`").cast("string").alias("t"), F.expr(host).cast("string").alias("h"), F.expr(path).cast("string").alias("p")).alias("x"))
-    sample = source.join(F.broadcast(drawn), "k").groupBy("k", "y").agg(F.min("x").alias("x")).select(draw.alias("d"), "y", "x.*")
+    n = known.count()
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.expr(host).cast("string").alias("h"), F.expr(path).cast("string").alias("p"), F.col(f"`{text}`").cast("string").alias("t"))
     as_list = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-    found = described(sample, ("d", "y", "h", "p"), "t", lambda x: [pa.array(list(x), pa.list_(pa.float64()))], as_list).collect()
-    found.sort(key=lambda r: (r["d"], r["y"]))
-    x = np.array([r["x"] for r in found])
-    model = train(x, np.array([r["y"] for r in found]))
-    odds = np.clip(model.logits(x[model.held]), -MOST_LOGIT, MOST_LOGIT).tolist() if len(model.held) else []
-    model.good = tuple((z, found[i]["h"], found[i]["p"]) for z, i in zip(odds, model.held.tolist(), strict=True))
-    return model
+    told = lambda rows, keep: described(rows, keep, "t", lambda x: [pa.array(list(x), pa.list_(pa.float64()))], as_list)
+    found = told(rows.join(F.broadcast(known), "k"), ("k", "y", "h", "p")) if n <= FEW else told(rows, ("k", "h", "p")).join(known, "k")
+    held = F.pmod(F.xxhash64("k", F.lit("quality")), F.lit(HELD)) == HELD - 1
+    one = found.groupBy("k", "y").agg(F.min(F.struct("x", "h", "p")).alias("r")).select("k", held.alias("held"), "y", "r.x", "r.h", "r.p")
+    # In order within tasks, so that sums are the same again.
+    one = durable(one.sortWithinPartitions("k"))
+    model = train(one.where(~F.col("held")))
+    if model is None:
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 4.0)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(odds(matrix(b)[0])), b.column(2), b.column(3)], names=["__logit", "__host", "__path"])
+
+    odds = model.odds
+    good = durable(one.where(F.col("held") & (F.col("y") == 1)).select("x", "y", "h", "p").mapInArrow(judged, "__logit double, __host string, __path string"))
+    return replace(model, good=good)
 
 
 def evidence(docs: DataFrame, model: Model, *, host: str, path: str, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """keep + __host, __path and __logit, the document's own log odds of being good."""
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.expr(host).cast("string").alias("__host"), F.expr(path).cast("string").alias("__path"), F.col(f"`{text}`").cast("string").alias("__in"))
-    return described(rows, (*keep, "__host", "__path"), "__in", lambda x: [pa.array(np.clip(model.logits(x), -MOST_LOGIT, MOST_LOGIT) if len(x) else np.empty(0))], T.StructType([T.StructField("__logit", T.DoubleType())]))
+    odds = replace(model, good=None).odds
+    return described(rows, (*keep, "__host", "__path"), "__in", lambda x: [pa.array(odds(x))], T.StructType([T.StructField("__logit", T.DoubleType())]))
 
 
 def strength(groups: DataFrame, total: str, n: str, mean) -> tuple[F.Column, ...]:
@@ -185,12 +229,16 @@ def combine(scored: DataFrame, groups: DataFrame, mean: float) -> DataFrame:
 
 
 def threshold(model: Model, groups: DataFrame, mean: float) -> float:
-    """The score below which documents go; 0 without good calibration rows."""
-    if not model.good:
+    """The score below which documents go: by the quantile REJECT of all good rows that were kept from training; 0 without any."""
+    n = model.good.count() if model.good is not None else 0
+    if not n:
         return 0.0
-    rows = groups.sparkSession.createDataFrame(list(model.good), "__logit double, __host string, __path string")
-    scores = [r["score"] for r in combine(rows, groups, mean).select("score").collect()]
-    return min(0.5, float(np.quantile(scores, REJECT)) * 0.9)
+    at = REJECT * (n - 1)
+    # The quantile lies between two scores of the lowest part REJECT; no others leave their tasks.
+    low = combine(model.good, groups, mean).select("score").orderBy("score").limit(min(int(at) + 2, n))
+    above, *below = (r["score"] for r in low.orderBy(F.desc("score")).limit(2).collect())
+    below = below[0] if below else above
+    return min(0.5, (below + (at - int(at)) * (above - below)) * 0.9)
 
 
 def classify(docs: DataFrame, model: Model, *, host: str = HOST, path: str = PATH, keep: tuple[str, ...] = ("doc_id",), text: str = "text", store: bool = True) -> DataFrame:

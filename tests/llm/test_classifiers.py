@@ -169,6 +169,27 @@ def test_quality_keeps_good_and_rejects_bad(spark, docs):
     assert unlabelled == docs.count()
 
 
+@pytest.mark.parametrize("few", (0, 200_000))
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch, few):
+    """Model and threshold are those of all 6,000 labelled rows, whichever side of the join is dealt."""
+    monkeypatch.setattr(quality, "FEW", few)
+    rng = random.Random(6)
+    rows = [(i, i % 3 and 1, " ".join(rng.choice(("word", "Text", "of", "42", "x|x") if i % 3 else ("$$", "!!", "AA", "of", "1|2")) for _ in range(rng.randint(1, 30))), "ab"[i % 2], "en") for i in range(6000)]
+    data = spark.createDataFrame(rows, "doc_id long, quality int, text string, source string, lang string")
+    model = quality.fit(data, data.select("doc_id", "quality"))
+    keys = {r["doc_id"]: r["h"] for r in data.select("doc_id", F.expr("pmod(xxhash64(doc_id, 'quality'), 5) = 4").alias("h")).collect()}
+    texts = [r[2].encode() for r in rows]
+    x = quality.features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), quality.tv.Powers())
+    fit, y = x[[not keys[i] for i in range(6000)]], np.array([r[1] for r in rows if not keys[r[0]]])
+    assert model.mean == pytest.approx(fit.mean(0)) and model.scale == pytest.approx(np.maximum(fit.std(0), 1e-3), rel=1e-6)
+    z, w = np.c_[np.clip((fit - model.mean) / model.scale, -8, 8), np.ones(len(fit))], np.r_[model.weights, model.bias]
+    assert np.abs(z.T @ (1 / (1 + np.exp(-z @ w)) - y) + np.r_[np.full(24, 1e-3 * len(fit)), 0] * w).max() < 1e-4
+    assert model.good.count() == sum(keys[r[0]] and r[1] for r in rows)
+    groups, mean = quality.posteriors(quality.evidence(data, model, host=quality.HOST, path=quality.PATH, keep=()))
+    scores = [r["score"] for r in quality.combine(model.good, groups, mean).collect()]
+    assert quality.threshold(model, groups, mean) == pytest.approx(min(0.5, np.quantile(scores, quality.REJECT) * 0.9))
+
+
 def test_quality_of_odd_rows_and_posteriors(spark):
     data = documents(spark, [*ODD, *ODD])
     model = quality.fit(data, spark.createDataFrame([], "doc_id long, quality int"))
